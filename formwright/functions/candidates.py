@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from formwright import vocabulary as v
 from formwright.functions.arrays import let
-from formwright.functions.text import digits, java_pattern, matches
+from formwright.functions.text import digits, java_pattern, search, match_starts
 
 CANDIDATES = (
     "array<struct<type_ord:int,field_name:string,value:string,confidence:double,"
@@ -43,52 +43,75 @@ def type_ord(field_name: Column) -> Column:
 
 _MONTH_INITIALS = "[" + "".join(sorted({name[0] for name in v.MONTHS})) + "]"
 
+# In the order of extraction; the last entry tells whether case is ignored.
+_SEARCHES = (
+    ("SSN", v.SSN_PATTERNS, False),
+    ("WAGE_AMOUNT", v.AMOUNT_PATTERNS, False),
+    ("DATE", v.DATE_PATTERNS, True),
+    ("EMPLOYER_EIN", v.EIN_PATTERNS, False),
+)
+
 
-def _first_character(pattern: str) -> str:
-    return r"\d" if pattern.startswith(r"\b\d") else _MONTH_INITIALS
+def pattern_candidates(text: Column, *fields: str) -> Column:
+    """Pattern candidates of the given fields (all if none is given), repeats included.
 
+    They come in the order their patterns are tried, and by place within a pattern.
+    """
 
-def _pattern_field(
-    text: Column, field: str, patterns: tuple[str, ...], ignore_case: bool = False
-) -> Column:
-    """Candidates of one field, in the order its patterns are tried, repeats included."""
-    found = [matches(text, java_pattern(p, _first_character(p), ignore_case)) for p in patterns]
-    spans = found[0] if len(found) == 1 else F.concat(*found)
-    return F.transform(
-        spans,
-        lambda s: F.struct(
+    def searched(field: str, pattern: str, ignore_case: bool) -> Column:
+        first = r"\d" if pattern.startswith(r"\b\d") else _MONTH_INITIALS
+        return F.struct(
             F.lit(v.FIELD_TYPES.index(field)).alias("type_ord"),
             F.lit(field).alias("field_name"),
-            s["value"].alias("value"),
             F.lit(v.PATTERN_CONFIDENCE[field]).alias("confidence"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
+            search(text, java_pattern(pattern, first, ignore_case)).alias("hits"),
+        )
+
+    def located(s: Column) -> Column:
+        found = s["hits"]["found"]
+        starts = match_starts(found, s["hits"]["gaps"])
+        listed = let(starts, lambda at: F.transform(found, lambda x, i: one(s, x, F.get(at, i))))
+        return F.when(F.size(found) > 0, listed).otherwise(F.array().cast(CANDIDATES))
+
+    def one(s: Column, value: Column, start: Column) -> Column:
+        return F.struct(
+            s["type_ord"].alias("type_ord"),
+            s["field_name"].alias("field_name"),
+            value.alias("value"),
+            s["confidence"].alias("confidence"),
+            start.alias("start"),
+            (start + F.length(value)).alias("end"),
             F.lit(True).alias("from_pattern"),
-        ),
+        )
+
+    searches = [
+        searched(field, pattern, ignore_case)
+        for field, patterns, ignore_case in _SEARCHES
+        if not fields or field in fields
+        for pattern in patterns
+    ]
+    found = F.flatten(F.transform(F.array(*searches), located))
+    kept = F.filter(
+        found, lambda c: (c["field_name"] != "EMPLOYER_EIN") | ~likely_ssn(c["value"])
     )
+    return F.when(text.isNotNull(), kept).otherwise(F.array().cast(CANDIDATES))
 
 
 def ssn_candidates(text: Column) -> Column:
-    return _pattern_field(text, "SSN", v.SSN_PATTERNS)
+    return pattern_candidates(text, "SSN")
 
 
 def amount_candidates(text: Column) -> Column:
-    return _pattern_field(text, "WAGE_AMOUNT", v.AMOUNT_PATTERNS)
+    return pattern_candidates(text, "WAGE_AMOUNT")
 
 
 def date_candidates(text: Column) -> Column:
-    return _pattern_field(text, "DATE", v.DATE_PATTERNS, ignore_case=True)
+    return pattern_candidates(text, "DATE")
 
 
 def ein_candidates(text: Column) -> Column:
-    found = _pattern_field(text, "EMPLOYER_EIN", v.EIN_PATTERNS)
-    return F.filter(found, lambda c: ~likely_ssn(c["value"]))
-
-
-def pattern_candidates(text: Column) -> Column:
-    return F.concat(
-        ssn_candidates(text), amount_candidates(text), date_candidates(text), ein_candidates(text)
-    )
+    """Numbers in the form of an employer number that are not likely an SSN."""
+    return pattern_candidates(text, "EMPLOYER_EIN")
 
 
 def model_candidates(entities: Column) -> Column:

@@ -49,30 +49,17 @@ def word_tokens(value: Column) -> Column:
     return F.regexp_extract_all(F.lower(value), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All non-overlapping matches: array of (value, start, end), offsets in code points.
+def search(text: Column, pattern: str) -> Column:
+    """(found, gaps): all non-overlapping matches, and the lengths of the text between them."""
 
-    The text between matches comes from `split` with the same pattern; a match starts after all
-    earlier gaps and matches and its own gap.
-    """
-    found = F.coalesce(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>")
-    )
-
-    def located(m: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-        return let(gaps, lambda g: let(running_total(steps(m, g)), lambda r: spans(m, g, r)))
-
-    def steps(m: Column, gaps: Column) -> Column:
-        return F.transform(m, lambda x, i: F.get(gaps, i) + F.length(x))
+    def result(found: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        return F.struct(found.alias("found"), F.when(F.size(found) > 0, gaps).alias("gaps"))
 
-    def spans(m: Column, gaps: Column, before: Column) -> Column:
-        return F.transform(m, lambda x, i: span(x, F.get(before, i) + F.get(gaps, i)))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), result)
 
-    def span(value: Column, start: Column) -> Column:
-        return F.struct(
-            value.alias("value"), start.alias("start"), (start + F.length(value)).alias("end")
-        )
 
-    nothing = F.array().cast("array<struct<value:string,start:int,end:int>>")
-    return let(found, lambda m: F.when(F.size(m) > 0, located(m)).otherwise(nothing))
+def match_starts(found: Column, gaps: Column) -> Column:
+    """Where each match starts, in code points: after all earlier gaps and matches and its own gap."""
+    steps = F.zip_with(found, gaps, lambda x, gap: gap + F.coalesce(F.length(x), F.lit(0)))
+    return F.zip_with(running_total(steps), gaps, lambda before, gap: before + gap)

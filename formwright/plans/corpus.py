@@ -6,12 +6,15 @@ of its run. Nothing is shuffled for it: every column is an expression over the o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formwright.functions.text import strip
-from formwright.operators.classify import type_name
 from formwright.operators.text_assembly import with_text
+from formwright.operators.tokens import encoded_tags
+from formwright.sources.synthetic import synthetic_sequences
+from formwright.vocabulary import DOCUMENT_TYPES
 
 TITLES = (
     "W-2 Wage and Tax Statement",
@@ -39,48 +42,42 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
 
 
-def _padded(number: Column, width: int) -> Column:
-    return F.lpad(number.cast("string"), width, "0")
+def _case(*choices: str, key: str = "doc_id") -> str:
+    """SQL for the choice that the key's remainder names."""
+    return f"get(array({', '.join(choices)}), int({key} % {len(choices)}))"
 
 
-def _money(cents: Column) -> Column:
-    whole = F.format_number((cents / 100).cast("bigint"), 0)
-    return F.concat(F.lit("$"), whole, F.lit("."), _padded(cents % 100, 2))
+def _literals(texts: Iterable[str]) -> list[str]:
+    return ["'" + text.replace("'", "\\'") + "'" for text in texts]
 
 
-def _located(text: Column, value: Column) -> tuple[Column, Column]:
-    start = F.instr(text, value) - 1
-    return start, start + F.length(value)
+def _type_name(label: str) -> str:
+    return f"get(array({', '.join(_literals(DOCUMENT_TYPES))}), int({label}))"
 
 
 def with_document(rows: DataFrame) -> DataFrame:
     """Adds the document's columns to rows with `o_orderkey` and `o_orderdate`."""
-    k = F.col("o_orderkey")
-    label = (k % 8).cast("int")
-    title = F.get(F.array(*[F.lit(t) for t in TITLES]), label)
-    parts = rows.select(
+    k = "o_orderkey"
+    parts = rows.selectExpr(
         "*",
-        k.alias("doc_id"),
-        label.alias("label_id"),
-        type_name(label).alias("true_type"),
-        F.concat(F.lit("Customer "), k.cast("string")).alias("_name"),
-        F.concat_ws(
-            "-",
-            _padded((k * 7919 + 13) % 1000, 3),
-            _padded((k * 31 + 7) % 100, 2),
-            _padded((k * 104729 + 1) % 10000, 4),
-        ).alias("_ssn"),
-        F.concat_ws("-", _padded(k * 17 % 100, 2), _padded(k * 999983 % 10000000, 7)).alias("_ein"),
-        _money(k * 4241 % 200000000).alias("_wages"),
-        F.date_format("o_orderdate", "MM/dd/yyyy").alias("_date"),
-        _padded(k * 21000021 % 1000000000, 9).alias("_routing"),
-        title.alias("_title"),
+        f"{k} AS doc_id",
+        f"int({k} % 8) AS label_id",
+        f"{_type_name(f'{k} % 8')} AS true_type",
+        f"concat('Customer ', {k}) AS _name",
+        f"concat_ws('-', lpad(({k} * 7919 + 13) % 1000, 3, '0'), lpad(({k} * 31 + 7) % 100, 2, '0'), "
+        f"lpad(({k} * 104729 + 1) % 10000, 4, '0')) AS _ssn",
+        f"concat_ws('-', lpad({k} * 17 % 100, 2, '0'), lpad({k} * 999983 % 10000000, 7, '0')) AS _ein",
+        f"concat('$', format_number(({k} * 4241 % 200000000) div 100, 0), '.', "
+        f"lpad({k} * 4241 % 100, 2, '0')) AS _wages",
+        "date_format(o_orderdate, 'MM/dd/yyyy') AS _date",
+        f"lpad({k} * 21000021 % 1000000000, 9, '0') AS _routing",
+        f"{_case(*_literals(TITLES), key=k)} AS _title",
     )
-    text = F.format_string(
-        "Form %s Name: %s SSN: %s EIN: %s Wages: %s Date: %s Routing: %s",
-        *[f"_{name}" for name in ("title", "name", "ssn", "ein", "wages", "date", "routing")],
+    return parts.selectExpr(
+        "*",
+        "format_string('Form %s Name: %s SSN: %s EIN: %s Wages: %s Date: %s Routing: %s', "
+        "_title, _name, _ssn, _ein, _wages, _date, _routing) AS text",
     )
-    return parts.withColumn("text", text)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,87 +87,78 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_pages(docs: DataFrame) -> DataFrame:
     """Adds `raw`: the text as a page with line breaks and a blank line."""
-    page = F.replace(F.col("text"), F.lit(" SSN:"), F.lit("\n\n SSN:"))
-    return docs.withColumn("raw", F.replace(page, F.lit(" Wages:"), F.lit("\nWages:")))
+    page = r"replace(replace(text, ' SSN:', '\n\n SSN:'), ' Wages:', '\nWages:')"
+    return docs.selectExpr("*", f"{page} AS raw")
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
     """Adds `lines` as an OCR engine would report them: own confidences, blank lines left out."""
-    k = F.col("doc_id")
-    split = F.transform(
-        F.split("raw", "\n", -1),
-        lambda line, i: F.struct(
-            i.alias("line_no"),
-            strip(line).alias("text"),
-            ((F.lit(70) + (k * 7 + i * 13) % 30) / 100).alias("confidence"),
-        ),
-    )
-    return raw_pages(docs).withColumn("lines", F.filter(split, lambda x: x["text"] != ""))
+    lines = r"""filter(transform(split(raw, '\n', -1), (line, i) -> struct(
+        i AS line_no, trim(line) AS text, (70 + (doc_id * 7 + i * 13) % 30) / 100D AS confidence)),
+        x -> x.text <> '')"""
+    return raw_pages(docs).selectExpr("*", f"{lines} AS lines")
 
 
 def with_entities(docs: DataFrame) -> DataFrame:
     """Adds `entities`, what a field model found: a name, the number twice, and noise."""
-    k, text = F.col("doc_id"), F.col("text")
-
-    def entity(ordinal: int, group: str, word: Column, known: bool = True) -> Column:
-        start, end = _located(text, word)
-        missing = F.lit(None).cast("int")
-        return F.struct(
-            F.lit(group).alias("entity_group"),
-            word.alias("word"),
-            ((k * 13 + ordinal * 29) % 100 / 100).alias("score"),
-            (start if known else missing).alias("start"),
-            (end if known else missing).alias("end"),
+
+    def entity(ordinal: int, group: str, word: str, known: bool = True) -> str:
+        start = f"instr(text, {word}) - 1" if known else "int(NULL)"
+        return (
+            f"struct('{group}' AS entity_group, {word} AS word, "
+            f"(doc_id * 13 + {ordinal * 29}) % 100 / 100D AS score, "
+            f"{start} AS start, {start} + length({word}) AS end)"
         )
 
-    return docs.withColumn(
-        "entities",
-        F.array(
-            entity(0, "PERSON", F.col("_name")),
-            entity(1, "SSN", F.col("_ssn")),
-            entity(2, "MISC", F.lit("noise"), known=False),
-            entity(3, "ssn", F.col("_ssn")),
-        ),
+    entities = (
+        entity(0, "PERSON", "_name"),
+        entity(1, "SSN", "_ssn"),
+        entity(2, "MISC", "'noise'", known=False),
+        entity(3, "ssn", "_ssn"),
     )
+    return docs.selectExpr("*", f"array({', '.join(entities)}) AS entities")
 
 
 def with_true_entities(docs: DataFrame) -> DataFrame:
     """Adds `true_entities`; every tenth document lacks its date."""
-    text = F.col("text")
-
-    def entity(field: str, value: Column) -> Column:
-        start, end = _located(text, value)
-        return F.struct(
-            F.lit(field).alias("field_name"),
-            value.alias("value"),
-            start.alias("start"),
-            end.alias("end"),
+
+    def entity(field: str, value: str) -> str:
+        start = f"instr(text, {value}) - 1"
+        return (
+            f"struct('{field}' AS field_name, {value} AS value, {start} AS start, "
+            f"{start} + length({value}) AS end)"
         )
 
-    always = F.array(
-        entity("SSN", F.col("_ssn")),
-        entity("WAGE_AMOUNT", F.col("_wages")),
-        entity("EMPLOYEE_NAME", F.col("_name")),
+    always = ", ".join(
+        entity(field, value)
+        for field, value in (("SSN", "_ssn"), ("WAGE_AMOUNT", "_wages"), ("EMPLOYEE_NAME", "_name"))
+    )
+    dated = f"array({always}, {entity('DATE', '_date')})"
+    return docs.selectExpr(
+        "*", f"CASE WHEN doc_id % 10 = 0 THEN array({always}) ELSE {dated} END AS true_entities"
     )
-    dated = F.array_append(always, entity("DATE", F.col("_date")))
-    return docs.withColumn("true_entities", F.when(F.col("doc_id") % 10 == 0, always).otherwise(dated))
+
+
+PATH = "concat('docs/', doc_id, '.jpg')"
+ERROR = "CASE WHEN doc_id % 97 = 0 THEN 'unreadable' END"
 
 
 def with_run(docs: DataFrame) -> DataFrame:
     """Adds the record of the document's run, and a prediction to evaluate."""
-    k, label = F.col("doc_id"), F.col("label_id")
-    following = (label + 1) % 8
-    return docs.withColumns(
-        {
-            "path": F.concat(F.lit("docs/"), k.cast("string"), F.lit(".jpg")),
-            "expected_type": type_name(F.when(k % 7 == 0, following).otherwise(label)),
-            "processing_time_seconds": (k * 53 % 1200) / 100,
-            "user_corrections": F.when(k % 4 != 0, k % 3),
-            "arrival": F.col("o_orderdate").cast("timestamp"),
-            "error": F.when(k % 97 == 0, F.lit("unreadable")),
-            "pred_type": type_name(F.when(k % 5 == 0, following).otherwise(label)),
-            "pred_confidence": (k * 37 % 100) / 100,
-        }
+
+    def shifted_every(n: int) -> str:
+        return _type_name(f"CASE WHEN doc_id % {n} = 0 THEN (label_id + 1) % 8 ELSE label_id END")
+
+    return docs.selectExpr(
+        "*",
+        f"{PATH} AS path",
+        f"{shifted_every(7)} AS expected_type",
+        "(doc_id * 53 % 1200) / 100D AS processing_time_seconds",
+        "CASE WHEN doc_id % 4 <> 0 THEN doc_id % 3 END AS user_corrections",
+        "CAST(o_orderdate AS TIMESTAMP) AS arrival",
+        f"{ERROR} AS error",
+        f"{shifted_every(5)} AS pred_type",
+        "(doc_id * 37 % 100) / 100D AS pred_confidence",
     )
 
 
@@ -201,3 +189,84 @@ def entity_table(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "e.*", "ord")
 
 
+
+
+def field_values(docs: DataFrame) -> DataFrame:
+    """(doc_id, field_name, value): for every document a value of each field type, in many shapes."""
+
+    def dated(pattern: str) -> str:
+        return f"date_format(o_orderdate, '{pattern}')"
+
+    four = "lpad(doc_id % 10000, 4, '0')"
+    values = {
+        "SSN": _case(
+            "_ssn", "replace(_ssn, '-', '')", r"concat(' \t', _ssn, '\n')", "substr(_ssn, 1, 8)"
+        ),
+        "EMPLOYER_EIN": _case("_ein", "replace(_ein, '-', '')", "substr(_ein, 1, 6)"),
+        "WAGE_AMOUNT": _case(
+            "_wages", "concat('-', _wages)", "'--5'", "concat(_wages, '5')", "'invalid amount'",
+            "'1d'", "'1_000'", "'$'", "concat(doc_id, 'e3')", "'nan'", "string(doc_id + 9999990)",
+            "' '",
+        ),
+        "TAX_WITHHELD": "_wages",
+        "FEDERAL_TAX": "concat(doc_id, '.5')",
+        "STATE_TAX": "concat('.', doc_id)",
+        "SOCIAL_SECURITY_TAX": "'-inf'",
+        "MEDICARE_TAX": "string(NULL)",
+        "DATE": _case(
+            dated("MM/dd/yyyy"), dated("MM-dd-yyyy"), dated("yyyy-MM-dd"), dated("MM/dd/yy"),
+            dated("MM-dd-yy"), dated("yy-MM-dd"), dated("MMMM d, yyyy"), dated("MMM d, yyyy"),
+            dated("d MMMM yyyy"), dated("d MMM yyyy"), f"concat('13/45/', {dated('yyyy')})",
+            f"concat('02/30/', {dated('yyyy')})", dated("MMMM d yyyy"),
+        ),
+        "PHONE_NUMBER": _case(
+            f"concat('555-123-', {four})", f"concat('1 (555) 123-', {four})",
+            f"concat('2-555-123-', {four})", four,
+        ),
+        "EMAIL": _case(
+            "concat('user', doc_id, '@email.com')", "concat('user', doc_id, '@domain')",
+            "'no-at-sign'", "'a.b+c%d@x-y.co'",
+        ),
+        "ACCOUNT_NUMBER": "string(doc_id * 104729)",
+        "ROUTING_NUMBER": _case("_routing", "'021000021'", "substr(_routing, 1, 5)"),
+        "EMPLOYER_NAME": _case(r"'O\'Neil, Sons'", r"'-.\'-.'", "concat('Shop ', doc_id)"),
+        "EMPLOYEE_NAME": _case("'John Doe'", "_name", "'J'", "'A. B.'"),
+        "ADDRESS": _case("concat(doc_id, ' Main Street')", "'Main Street North'", "'1 Elm'"),
+        "OTHER": "'x'",
+    }
+    rows = ", ".join(f"struct('{n}' AS field_name, {value} AS value)" for n, value in values.items())
+    return docs.selectExpr("doc_id", f"inline(array({rows}))")
+
+
+def labelled_samples(docs: DataFrame) -> DataFrame:
+    """(sample_id, text, label): labels as read from a file, some of them unusable."""
+    k = F.col("doc_id")
+    label = (
+        F.when(k % 19 == 0, F.lit(None).cast("string"))
+        .when(k % 17 == 0, F.lit("2.5"))
+        .when(k % 13 == 0, F.lit("9"))
+        .otherwise((k % 8).cast("string"))
+    )
+    return docs.select(k.alias("sample_id"), "text", label.alias("label"))
+
+
+def tagged_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq_id, tokens, tags, scores): token sequences with the score of each tag."""
+    sequences = synthetic_sequences(orders(spark, sf_dir), "o_orderkey")
+    scores = F.transform("tokens", lambda _, i: (F.col("seq_id") * 13 + i * 29) % 100 / 100)
+    return sequences.withColumn("scores", scores)
+
+
+def encoded_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq_id, tokens, true_ids, pred_ids): tags not filled up, lower-case ones in every fifth."""
+    sequences = synthetic_sequences(orders(spark, sf_dir), "o_orderkey", padded=False)
+    odd = F.col("seq_id") % 5 == 2
+    tags = F.when(odd, F.transform("tags", F.lower)).otherwise(F.col("tags"))
+    encoded = sequences.withColumn("true_ids", encoded_tags(F.col("tokens"), tags))
+    return encoded.withColumn(
+        "pred_ids",
+        F.transform(
+            "true_ids",
+            lambda x, i: F.when((F.col("seq_id") + i) % 6 == 0, F.lit(0)).otherwise(x),
+        ),
+    )
