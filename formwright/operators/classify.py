@@ -171,9 +171,7 @@ class KeywordClassifier:
             in_row = self.vocabulary_size <= self.ROW_LIMIT
         if in_row:
             scores = self._scores_in_row(_limited(word_tokens(F.col("text")), token_limit))
-            return docs.withColumn(
-                "probabilities", F.when(F.col("text").isNotNull(), softmax(scores))
-            )
+            return docs.withColumn("probabilities", softmax(scores))
         scored = self._scores_by_join(docs, token_limit)
         return docs.join(
             scored.select("doc_id", softmax(F.col("scores")).alias("probabilities")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,14 @@ def with_ranked_fields(
 
     Everything happens inside the document's row, so a corpus of any size needs no shuffle here.
     """
+    return docs.withColumn("ranked", _ranked_column(entities, min_confidence))
+
+
+@cache
+def _ranked_column(entities: str | None, min_confidence: float) -> Column:
+    """Kept because the expression has some hundred parts, each a call to the JVM to build."""
     found = all_candidates(F.col("text"), None if entities is None else F.col(entities))
-    return docs.withColumn("ranked", ranked_fields(found, min_confidence))
+    return ranked_fields(found, min_confidence)
 
 
 def map_entities(entities: DataFrame) -> DataFrame:

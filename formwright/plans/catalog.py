@@ -64,10 +64,17 @@ def classifier(spark: SparkSession, sf_dir: str) -> cls.KeywordClassifier:
 
 
 ENGINE = DocumentEngine(as_of=AS_OF)
+CUSTOM_ENGINE = DocumentEngine(weights=CUSTOM_WEIGHTS, as_of=AS_OF)
+REVIEW_ENGINE = DocumentEngine(weights=REVIEW_WEIGHTS, as_of=AS_OF)
+
+
+@cache
+def _engine(application: str, sf_dir: str) -> DocumentEngine:
+    return DocumentEngine(_trained(application, sf_dir), as_of=AS_OF)
 
 
 def engine(spark: SparkSession, sf_dir: str) -> DocumentEngine:
-    return DocumentEngine(classifier(spark, sf_dir), as_of=AS_OF)
+    return _engine(spark.sparkContext.applicationId, sf_dir)
 
 
 # ---- sources ------------------------------------------------------------------------------------
@@ -330,8 +337,7 @@ def composite_confidence(spark, sf_dir):
 
 @query
 def custom_weights(spark, sf_dir):
-    custom = DocumentEngine(weights=CUSTOM_WEIGHTS, as_of=AS_OF)
-    return _field_scores(custom, c.runs(spark, sf_dir))
+    return _field_scores(CUSTOM_ENGINE, c.runs(spark, sf_dir))
 
 
 @query
@@ -419,9 +425,8 @@ def validate_documents(spark, sf_dir):
 @query
 def review_queue(spark, sf_dir):
     """Poor scans: the mean confidence is mostly that of the OCR."""
-    reviewer = DocumentEngine(weights=REVIEW_WEIGHTS, as_of=AS_OF)
     docs = c.runs(spark, sf_dir).withColumn("ocr_confidence", F.col("pred_confidence"))
-    return reviewer.review_queue(docs, REVIEW_K).withColumn(
+    return REVIEW_ENGINE.review_queue(docs, REVIEW_K).withColumn(
         "average_confidence", r9("average_confidence")
     )
 

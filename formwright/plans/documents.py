@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,17 @@ class DocumentEngine:
             return self.validators
         return default_validators(None if self.as_of is None else F.lit(self.as_of).cast("date"))
 
+    # Built once per engine: these expressions have many parts, each a call to the JVM.
+    @cached_property
+    def _fields(self) -> Column:
+        return scored_fields(
+            F.col("ranked"), F.col("ocr_confidence"), self.weights, self._rules()
+        )
+
+    @cached_property
+    def _summary(self) -> Column:
+        return confidence_summary(F.col("fields"))
+
     def extract(self, docs: DataFrame) -> DataFrame:
         """Adds `ranked`, the distinct field candidates in type order and by rank."""
         entities = "entities" if "entities" in docs.columns else None
@@ -53,10 +65,7 @@ class DocumentEngine:
 
     def score(self, docs: DataFrame) -> DataFrame:
         """Adds `ranked` and `fields`, the same with validation and composite confidence."""
-        fields = scored_fields(
-            F.col("ranked"), F.col("ocr_confidence"), self.weights, self._rules()
-        )
-        return self.extract(docs).withColumn("fields", fields)
+        return self.extract(docs).withColumn("fields", self._fields)
 
     def classify(self, docs: DataFrame) -> DataFrame:
         """Adds `document_type` and `classification_confidence`."""
@@ -105,7 +114,7 @@ class DocumentEngine:
                 metadata("ocr_processor", "ocr_processor", "string"),
                 metadata("image_path", "path", "string"),
             ).alias("processing_metadata"),
-            confidence_summary(F.col("fields")).alias("confidence_summary"),
+            self._summary.alias("confidence_summary"),
         )
 
     def field_rows(self, docs: DataFrame, *keep: str) -> DataFrame:
@@ -114,9 +123,7 @@ class DocumentEngine:
 
     def summaries(self, docs: DataFrame) -> DataFrame:
         """One row per document: the confidence summary as columns."""
-        return self.score(docs).select("doc_id", confidence_summary(F.col("fields")).alias("s")).select(
-            "doc_id", "s.*"
-        )
+        return self.score(docs).select("doc_id", self._summary.alias("s")).select("doc_id", "s.*")
 
     def extraction_summaries(self, docs: DataFrame) -> DataFrame:
         """One row per document: counts of entities and field types."""
@@ -143,7 +150,7 @@ class DocumentEngine:
 
         `expected_type` and `processing_time_seconds` are used where `docs` has them.
         """
-        summary = confidence_summary(F.col("fields"))["average_confidence"]
+        summary = self._summary["average_confidence"]
         scored = self.classify(self.score(docs).withColumn("_mean", summary))
         expected = F.col("expected_type") if "expected_type" in docs.columns else F.lit(None)
         seconds = (
@@ -176,7 +183,7 @@ class DocumentEngine:
             "doc_id",
             "processing_time_seconds",
             "user_corrections",
-            confidence_summary(F.col("fields"))["average_confidence"].alias("average_confidence"),
+            self._summary["average_confidence"].alias("average_confidence"),
             F.size("fields").alias("n_fields"),
             F.size(F.filter("fields", lambda f: f["confidence"] > 0.8)).alias("n_high"),
         )
