@@ -17,9 +17,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind `value` once and use it many times in `body`.
 
     A column that is used several times may be inlined by the optimizer and then evaluated once per
-    use; a lambda variable never is.
+    use; a lambda variable never is. The binding is the end of an aggregation over no elements, which
+    is the cheapest form of it.
     """
-    return F.transform(F.array(value), body)[0]
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
 
 
 def total(values: Column, zero: Column | None = None) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from formwright import vocabulary as v
 from formwright.functions.arrays import let
-from formwright.functions.text import digits, java_pattern, search, match_starts
+from formwright.functions.text import digits, java_pattern, piece_starts, pieces, unmarked
 
 CANDIDATES = (
     "array<struct<type_ord:int,field_name:string,value:string,confidence:double,"
@@ -58,20 +58,23 @@ def pattern_candidates(text: Column, *fields: str) -> Column:
     They come in the order their patterns are tried, and by place within a pattern.
     """
 
-    def searched(field: str, pattern: str, ignore_case: bool) -> Column:
+    def searched(t: Column, field: str, pattern: str, ignore_case: bool) -> Column:
         first = r"\d" if pattern.startswith(r"\b\d") else _MONTH_INITIALS
         return F.struct(
             F.lit(v.FIELD_TYPES.index(field)).alias("type_ord"),
             F.lit(field).alias("field_name"),
             F.lit(v.PATTERN_CONFIDENCE[field]).alias("confidence"),
-            search(text, java_pattern(pattern, first, ignore_case)).alias("hits"),
+            pieces(t, java_pattern(pattern, first, ignore_case)).alias("cut"),
         )
 
     def located(s: Column) -> Column:
-        found = s["hits"]["found"]
-        starts = match_starts(found, s["hits"]["gaps"])
-        listed = let(starts, lambda at: F.transform(found, lambda x, i: one(s, x, F.get(at, i))))
-        return F.when(F.size(found) > 0, listed).otherwise(F.array().cast(CANDIDATES))
+        cut = s["cut"]
+        places = F.sequence(F.lit(1), F.size(cut) - 2, F.lit(2))
+        listed = let(
+            piece_starts(cut),
+            lambda at: F.transform(places, lambda i: one(s, F.get(cut, i), F.get(at, i))),
+        )
+        return F.when(F.size(cut) > 1, listed).otherwise(F.array().cast(CANDIDATES))
 
     def one(s: Column, value: Column, start: Column) -> Column:
         return F.struct(
@@ -84,17 +87,20 @@ def pattern_candidates(text: Column, *fields: str) -> Column:
             F.lit(True).alias("from_pattern"),
         )
 
-    searches = [
-        searched(field, pattern, ignore_case)
-        for field, patterns, ignore_case in _SEARCHES
-        if not fields or field in fields
-        for pattern in patterns
-    ]
-    found = F.flatten(F.transform(F.array(*searches), located))
-    kept = F.filter(
-        found, lambda c: (c["field_name"] != "EMPLOYER_EIN") | ~likely_ssn(c["value"])
-    )
-    return F.when(text.isNotNull(), kept).otherwise(F.array().cast(CANDIDATES))
+    def all_of(t: Column) -> Column:
+        searches = [
+            searched(t, field, pattern, ignore_case)
+            for field, patterns, ignore_case in _SEARCHES
+            if not fields or field in fields
+            for pattern in patterns
+        ]
+        found = F.flatten(F.transform(F.array(*searches), located))
+        kept = F.filter(
+            found, lambda c: (c["field_name"] != "EMPLOYER_EIN") | ~likely_ssn(c["value"])
+        )
+        return F.when(t.isNotNull(), kept).otherwise(F.array().cast(CANDIDATES))
+
+    return let(unmarked(text), all_of)
 
 
 def ssn_candidates(text: Column) -> Column:
@@ -148,17 +154,16 @@ def ranked_fields(candidates: Column, min_confidence: float = 0.3) -> Column:
     def keyed(c: Column, i: Column) -> Column:
         accepted = F.coalesce(c["confidence"] > min_confidence, F.lit(False))
         standing = (
-            F.when(c["from_pattern"], F.lit(2)).when(accepted, F.lit(0)).otherwise(F.lit(1))
+            F.when(c["from_pattern"], F.lit(2))
+            .when(accepted & ~F.isnan(c["confidence"]), F.lit(0))
+            .otherwise(F.lit(1))
         )
         return F.struct(
             c["type_ord"].alias("type_ord"),
             c["value"].alias("value"),
             standing.alias("standing"),
             i.alias("arrival"),
-            c["field_name"].alias("field_name"),
-            c["confidence"].alias("confidence"),
-            c["start"].alias("start"),
-            c["end"].alias("end"),
+            c.alias("candidate"),
         )
 
     def first_of_equals(rows: Column) -> Column:
@@ -167,7 +172,7 @@ def ranked_fields(candidates: Column, min_confidence: float = 0.3) -> Column:
             repeated = (previous["type_ord"] == row["type_ord"]) & previous["value"].eqNullSafe(
                 row["value"]
             )
-            return ((i == 0) | ~repeated) & (row["standing"] != 1)
+            return (row["standing"] != 1) & ((i == 0) | ~repeated)
 
         return F.filter(rows, is_first)
 
@@ -177,22 +182,21 @@ def ranked_fields(candidates: Column, min_confidence: float = 0.3) -> Column:
                 rows,
                 lambda r: F.struct(
                     r["type_ord"].alias("type_ord"),
-                    (-r["confidence"]).alias("descending"),
+                    (-r["candidate"]["confidence"]).alias("descending"),
                     r["arrival"].alias("arrival"),
-                    r["field_name"].alias("field_name"),
-                    r["value"].alias("value"),
-                    r["confidence"].alias("confidence"),
-                    r["start"].alias("start"),
-                    r["end"].alias("end"),
+                    r["candidate"].alias("candidate"),
                 ),
             )
         )
 
     def numbered(rows: Column) -> Column:
         types = F.transform(rows, lambda r: r["type_ord"])
-        firsts = F.transform(
-            F.sequence(F.lit(0), F.lit(len(v.FIELD_TYPES) - 1)),
-            lambda t: F.array_position(types, t).cast("int"),
+        firsts = let(
+            types,
+            lambda t: F.transform(
+                F.sequence(F.lit(0), F.lit(len(v.FIELD_TYPES) - 1)),
+                lambda ord_: F.array_position(t, ord_).cast("int"),
+            ),
         )
         return let(
             firsts,
@@ -200,13 +204,12 @@ def ranked_fields(candidates: Column, min_confidence: float = 0.3) -> Column:
                 rows,
                 lambda r, i: F.struct(
                     r["type_ord"].alias("type_ord"),
-                    r["field_name"].alias("field_name"),
+                    r["candidate"]["field_name"].alias("field_name"),
                     (i + 2 - F.get(first, r["type_ord"])).alias("field_rank"),
-                    r["value"].alias("value"),
-                    r["confidence"].alias("confidence"),
-                    r["start"].alias("start"),
-                    r["end"].alias("end"),
-                    r["arrival"].alias("arrival"),
+                    r["candidate"]["value"].alias("value"),
+                    r["candidate"]["confidence"].alias("confidence"),
+                    r["candidate"]["start"].alias("start"),
+                    r["candidate"]["end"].alias("end"),
                 ),
             ),
         )

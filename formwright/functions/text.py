@@ -49,17 +49,23 @@ def word_tokens(value: Column) -> Column:
     return F.regexp_extract_all(F.lower(value), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def search(text: Column, pattern: str) -> Column:
-    """(found, gaps): all non-overlapping matches, and the lengths of the text between them."""
+_MARK = "\u0001"
 
-    def result(found: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, -1), F.length)
-        return F.struct(found.alias("found"), F.when(F.size(found) > 0, gaps).alias("gaps"))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), result)
+def unmarked(text: Column) -> Column:
+    """The text with the character that marks matches replaced by another control character."""
+    return F.when(text.contains(_MARK), F.translate(text, _MARK, "\u0002")).otherwise(text)
 
 
-def match_starts(found: Column, gaps: Column) -> Column:
-    """Where each match starts, in code points: after all earlier gaps and matches and its own gap."""
-    steps = F.zip_with(found, gaps, lambda x, gap: gap + F.coalesce(F.length(x), F.lit(0)))
-    return F.zip_with(running_total(steps), gaps, lambda before, gap: before + gap)
+def pieces(text: Column, pattern: str) -> Column:
+    """The text cut at its matches: gap, match, gap, match, ..., gap.
+
+    `text` is `unmarked`, and the pattern matches no control characters. Marking the matches and
+    cutting at the marks takes one run of the pattern.
+    """
+    return F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+
+
+def piece_starts(cut: Column) -> Column:
+    """Where each piece starts, in code points."""
+    return running_total(F.transform(cut, F.length))

@@ -169,10 +169,12 @@ class DocumentEngine:
 
     def review_queue(self, docs: DataFrame, k: int) -> DataFrame:
         """The k documents of lowest mean confidence among those below 0.5."""
+        # Filtered within the row: a filter on the column would be pushed below the projection and
+        # evaluate the extraction once more.
+        low = F.filter(F.array(self._summary), lambda s: s["average_confidence"] < 0.5)
         return (
-            self.summaries(docs)
+            rows_of(self.score(docs), low, "doc_id")
             .select("doc_id", "average_confidence", "total_results")
-            .filter(F.col("average_confidence") < 0.5)
             .orderBy("average_confidence", "doc_id")
             .limit(k)
         )

@@ -12,7 +12,7 @@ _LOCAL_ROOT: str | None = None
 
 
 def build_session(app_name: str = "formwright", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the engine expects; keyword names use `_` for `.`."""
+    """A session with the settings the engine expects, and those given as `conf`."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -22,7 +22,7 @@ def build_session(app_name: str = "formwright", master: str | None = None, **con
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
     }
-    settings.update({key.replace("_", "."): value for key, value in conf.items()})
+    settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
