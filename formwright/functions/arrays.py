@@ -49,9 +49,12 @@ def running_total(values: Column) -> Column:
         firsts = F.sequence(F.lit(1), F.size(v), F.lit(_BLOCK))
         blocks = F.transform(firsts, lambda first: F.slice(v, first, F.lit(_BLOCK)))
         return let(
-            blocks, lambda b: let(_scan(F.transform(b, total), F.lit(0)), lambda s: joined(b, s))
+            blocks, lambda b: let(_scan(sums_of(b), F.lit(0)), lambda s: joined(b, s))
         )
 
+    def sums_of(blocks: Column) -> Column:
+        return F.transform(blocks, lambda block: total(block))
+
     def joined(blocks: Column, bases: Column) -> Column:
         summed = F.transform(
             blocks,

@@ -114,29 +114,40 @@ def classification_metrics(confusion: DataFrame) -> DataFrame:
 
 
 def classification_report(confusion: DataFrame) -> DataFrame:
-    """Per-class rows with accuracy, macro and weighted averages."""
-    classes = per_class_metrics(confusion)
-    macro = classes.agg(
-        F.lit("macro avg").alias("label"),
-        *[F.avg(name).alias(name) for name in ("precision", "recall", "f1")],
-        F.sum("support").alias("support"),
-    )
-    overall = classification_metrics(confusion)
-    weighted = overall.select(
-        F.lit("weighted avg").alias("label"),
-        "precision",
-        "recall",
-        "f1",
-        F.col("total_samples").alias("support"),
+    """Per-class rows with accuracy, macro and weighted averages.
+
+    The averages are the subtotal of a rollup over the classes, so the data is gone through once.
+    """
+    measures = ("precision", "recall", "f1")
+    totals = (
+        per_class_metrics(confusion)
+        .rollup("label")
+        .agg(
+            *[F.avg(name).alias(name) for name in measures],
+            *[_weighted(name).alias(f"weighted_{name}") for name in measures],
+            F.sum("support").alias("support"),
+        )
     )
-    accuracy = overall.select(
-        F.lit("accuracy").alias("label"),
-        F.lit(None).cast("double").alias("precision"),
-        F.lit(None).cast("double").alias("recall"),
-        F.col("accuracy").alias("f1"),
-        F.col("total_samples").alias("support"),
+
+    def row(label: Column, precision: Column, recall: Column, f1: Column) -> Column:
+        return F.struct(
+            label.alias("label"),
+            precision.alias("precision"),
+            recall.alias("recall"),
+            f1.alias("f1"),
+            F.col("support").alias("support"),
+        )
+
+    plain = [F.col(name) for name in measures]
+    weighted = [F.col(f"weighted_{name}") for name in measures]
+    nothing = F.lit(None).cast("double")
+    averages = F.array(
+        row(F.lit("accuracy"), nothing, nothing, F.col("weighted_recall")),
+        row(F.lit("macro avg"), *plain),
+        row(F.lit("weighted avg"), *weighted),
     )
-    return classes.unionByName(accuracy).unionByName(macro).unionByName(weighted)
+    of_class = F.array(row(F.col("label"), *plain))
+    return rows_of(totals, F.when(F.col("label").isNull(), averages).otherwise(of_class))
 
 
 def prediction_distributions(predictions: DataFrame) -> DataFrame:

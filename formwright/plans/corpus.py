@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from formwright.functions.arrays import rows_of
 from formwright.operators.text_assembly import with_text
 from formwright.operators.tokens import encoded_tags
 from formwright.sources.synthetic import synthetic_sequences
@@ -185,10 +186,8 @@ def run_documents(docs: DataFrame) -> DataFrame:
 
 def entity_table(docs: DataFrame) -> DataFrame:
     """(doc_id, entity_group, word, score, start, end, ord): the model entities as a table."""
-    rows = docs.select("doc_id", F.posexplode("entities").alias("ord", "e"))
-    return rows.select("doc_id", "e.*", "ord")
-
-
+    numbered = F.transform("entities", lambda e, i: F.struct(e.alias("e"), i.alias("ord")))
+    return rows_of(docs, numbered, "doc_id").select("doc_id", "e.*", "ord")
 
 
 def field_values(docs: DataFrame) -> DataFrame:
@@ -235,7 +234,7 @@ def field_values(docs: DataFrame) -> DataFrame:
         "OTHER": "'x'",
     }
     rows = ", ".join(f"struct('{n}' AS field_name, {value} AS value)" for n, value in values.items())
-    return docs.selectExpr("doc_id", f"inline(array({rows}))")
+    return docs.selectExpr("doc_id", f"inline_outer(array({rows}))")
 
 
 def labelled_samples(docs: DataFrame) -> DataFrame:
