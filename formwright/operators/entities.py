@@ -133,5 +133,9 @@ def ranked_rows(docs: DataFrame) -> DataFrame:
 
 
 def field_counts(rows: DataFrame) -> DataFrame:
-    """Fields per document type and field name, with subtotals (NULL stands for all)."""
-    return rows.rollup("document_type", "field_name").agg(F.count("*").alias("n_fields"))
+    """Fields per document type and field name, with subtotals (NULL stands for all).
+
+    The rows are counted once; the subtotals come from those few counts.
+    """
+    counts = rows.groupBy("document_type", "field_name").agg(F.count("*").alias("n"))
+    return counts.rollup("document_type", "field_name").agg(F.sum("n").alias("n_fields"))

@@ -37,8 +37,11 @@ def choose_provider(
 def _apply(
     df: DataFrame, source: str, column: str, type_name: str, make: Callable[[], Callable], shape
 ) -> DataFrame:
-    """`df` with the result of a model on `source`, and `error` where it failed."""
-    kept = [f for f in df.schema.fields if f.name not in (column, "error")]
+    """`df` with the result of a model on `source`, and `error` where it failed.
+
+    Image bytes are not handed back: nothing after this needs them.
+    """
+    kept = [f for f in df.schema.fields if f.name not in (column, "error", "content")]
     result = T.StructType(kept).add(column, T._parse_datatype_string(type_name)).add("error", "string")
     earlier = "error" in df.columns
 

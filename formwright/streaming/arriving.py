@@ -47,9 +47,11 @@ def score_stream(
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # two tables are written from it
         good = batch.filter(F.col("error").isNull())
         process(good).write.mode("overwrite").parquet(f"{path}/results/batch={number}")
         failures(batch).write.mode("overwrite").parquet(f"{path}/failures/batch={number}")
+        batch.unpersist()
 
     return (
         docs.writeStream.foreachBatch(write)

@@ -3,7 +3,12 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, os.path.dirname(HERE))
+# Python workers import the package and the test modules (for the hooks' functions) as well.
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    [os.path.dirname(HERE), HERE, os.environ.get("PYTHONPATH", "")]
+)
 
 from formwright import build_session  # noqa: E402
 
