@@ -42,6 +42,7 @@ def ein_score(value: Column) -> Column:
     )
 
 
+_DIGITS = r"^\d+\.?\d*$"  # what most amounts are; the general form is tried after it
 _PLAIN_NUMBER = r"^\s*[+-]?(\d(_?\d)*\.?(\d(_?\d)*)?|\.\d(_?\d)*)([eE][+-]?\d(_?\d)*)?\s*$"
 _WORD_NUMBER = r"(?i)^\s*[+-]?(inf|infinity|nan)\s*$"
 
@@ -52,7 +53,7 @@ def amount_score(value: Column) -> Column:
     plain = let(bare, lambda b: F.when(b.startswith("-"), F.substr(b, F.lit(2))).otherwise(b))
 
     def rule(text: Column) -> Column:
-        number = F.when(
+        number = F.when(text.rlike(_DIGITS), text.try_cast("double")).when(
             text.rlike(_PLAIN_NUMBER) | text.rlike(_WORD_NUMBER),
             strip(F.translate(text, "_", "")).try_cast("double"),
         )

@@ -140,7 +140,7 @@ class KeywordClassifier:
 
         return F.aggregate(tokens, F.array(*[F.lit(p) for p in self.priors]), add)
 
-    def _scores_by_join(self, docs: DataFrame, limit: int | None, salts: int = 16) -> DataFrame:
+    def _scores_by_join(self, docs: DataFrame, limit: int | None, salts: int = 64) -> DataFrame:
         """(doc_id, scores). Frequent tokens are spread over `salts` copies of the model."""
         tokens = F.coalesce(_limited(word_tokens(F.col("text")), limit), F.array().cast("array<string>"))
         # The empty token is in no model: it keeps documents without any known token.

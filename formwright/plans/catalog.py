@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,31 +49,26 @@ def r9(name: str) -> Column:
     return F.round(name, 9).alias(name)
 
 
-@cache
-def _trained(application: str, sf_dir: str) -> cls.KeywordClassifier:
-    spark = SparkSession.getActiveSession()
-    return cls.KeywordClassifier.fit(
-        synthetic.synthetic_texts(c.orders(spark, sf_dir), "o_orderkey")
-    )
-
-
-def classifier(spark: SparkSession, sf_dir: str) -> cls.KeywordClassifier:
-    """The model trained on the synthetic texts of the orders, once per session and folder."""
-    return _trained(spark.sparkContext.applicationId, sf_dir)
-
-
 ENGINE = DocumentEngine(as_of=AS_OF)
 CUSTOM_ENGINE = DocumentEngine(weights=CUSTOM_WEIGHTS, as_of=AS_OF)
 REVIEW_ENGINE = DocumentEngine(weights=REVIEW_WEIGHTS, as_of=AS_OF)
+_TRAINED: dict[tuple[str, str], DocumentEngine] = {}
 
 
-@cache
-def _engine(application: str, sf_dir: str) -> DocumentEngine:
-    return DocumentEngine(_trained(application, sf_dir), as_of=AS_OF)
+def engine(spark: SparkSession, sf_dir: str) -> DocumentEngine:
+    """An engine with the model trained on the synthetic texts of the orders.
 
+    It is trained once per application and folder.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        samples = synthetic.synthetic_texts(c.orders(spark, sf_dir), "o_orderkey")
+        _TRAINED[key] = DocumentEngine(cls.KeywordClassifier.fit(samples), as_of=AS_OF)
+    return _TRAINED[key]
 
-def engine(spark: SparkSession, sf_dir: str) -> DocumentEngine:
-    return _engine(spark.sparkContext.applicationId, sf_dir)
+
+def classifier(spark: SparkSession, sf_dir: str) -> cls.KeywordClassifier:
+    return engine(spark, sf_dir).classifier
 
 
 # ---- sources ------------------------------------------------------------------------------------

@@ -14,7 +14,8 @@ _MULTIPLIER = 48_271
 def read_labelled_texts(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, text, label) of a JSON object with parallel arrays `texts` and `labels`.
 
-    Positions only one of the arrays has give NULL on the other side; see `label_violations`.
+    Positions only one of the arrays has give NULL on the other side; see `label_violations`. The
+    object is read as one row: sets too large for that come as a table of the same columns.
     """
     data = spark.read.schema("texts array<string>, labels array<string>").json(path, multiLine=True)
     return data.select(F.posexplode(F.arrays_zip("texts", "labels")).alias("sample_id", "s")).select(
