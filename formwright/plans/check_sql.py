@@ -558,7 +558,7 @@ LEFT JOIN (SELECT doc_id, string_agg(field_name, ', ' ORDER BY o) AS names FROM
   GROUP BY doc_id) USING (doc_id)""")
 sql("review_queue", "types fieldtypes docs ents cands ranked runs scored", f"""
 SELECT doc_id, round(mean, 9) AS average_confidence, n::INT AS total_results FROM summaries
-WHERE mean < 0.5::DOUBLE ORDER BY mean, doc_id LIMIT {catalog.REVIEW_K}""",
+WHERE mean < 0.5::DOUBLE ORDER BY round(mean, 9), doc_id LIMIT {catalog.REVIEW_K}""",
     scored=scored("(SELECT doc_id, pred_confidence FROM runs)", (0.6, 0.1, 0.3), "pred_confidence"))
 
 sql("train_weights", "types samples weights",

@@ -168,14 +168,18 @@ class DocumentEngine:
         return scored.select("doc_id", check.alias("c")).select("doc_id", "c.*")
 
     def review_queue(self, docs: DataFrame, k: int) -> DataFrame:
-        """The k documents of lowest mean confidence among those below 0.5."""
+        """The k documents of lowest mean confidence among those below 0.5.
+
+        Means equal to nine decimals are ties, which go by id: what they differ by beyond that is the
+        order their scores were added in.
+        """
         # Filtered within the row: a filter on the column would be pushed below the projection and
         # evaluate the extraction once more.
         low = F.filter(F.array(self._summary), lambda s: s["average_confidence"] < 0.5)
         return (
             rows_of(self.score(docs), low, "doc_id")
             .select("doc_id", "average_confidence", "total_results")
-            .orderBy("average_confidence", "doc_id")
+            .orderBy(F.round("average_confidence", 9), "doc_id")
             .limit(k)
         )
 

@@ -207,3 +207,16 @@ def test_unseen_candidates_against_a_loop(spark):
     k = spark.createDataFrame(known, "doc_id int, field_name string, value string")
     got = {(r.doc_id, r.field_name, r.value, r.start) for r in ent.unseen_candidates(c, k).collect()}
     assert got == expected
+
+
+def test_one_document_with_most_of_the_matches(spark):
+    """A text with 60,000 numbers beside small ones: nothing is cut, and the work is about linear."""
+    big = " ".join(f"{i % 97},{i % 1000:03d}" for i in range(60_000))
+    rows = [(0, big)] + [(i, f"$ {i} {i}") for i in range(1, 50)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    ranked = ent.with_ranked_fields(df)
+    sizes = {r.doc_id: r.n for r in ranked.select("doc_id", F.size("ranked").alias("n")).collect()}
+    expected = {m.group() for m in re.finditer(v.AMOUNT_PATTERNS[1], big)}
+    assert sizes[0] == len(expected)
+    first = ent.ranked_rows(ranked.filter("doc_id = 0")).orderBy(F.desc("start")).first()
+    assert big[first.start : first.end] == first.value
