@@ -202,18 +202,22 @@ def in_bitmap(bitmap_bytes: np.ndarray, values: np.ndarray, bits: int) -> np.nda
     return (bitmap_bytes[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1 == 1
 
 
-def join_counted(rows: DataFrame, keyed: DataFrame, key: list[str], count: str, share: int = 500) -> DataFrame:
-    """`rows` left-joined with `keyed`, which has one row a key and in `count` how many rows have that key.
+def join_counted(
+    rows: DataFrame, keyed: DataFrame, key: list[str], count: str, how: str = "left", share: int = 500
+) -> DataFrame:
+    """`rows` joined (`left`, `inner` or `left_semi`) with `keyed`, one row a key.
 
-    Keys with more than one in `share` of the rows are broadcast: there can be no more than `share` of them.
-    The others are joined by shuffle, where none is large. Both inputs are read twice; give written tables.
+    `keyed` tells in `count` how many rows have the key. Keys with more than one in `share` of those counted are
+    broadcast: there can be no more than `share` of them. The others are joined by shuffle, where none is
+    large. Both inputs are read twice; give written tables.
     """
     total = keyed.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     hot = F.broadcast(keyed.where(F.col(count) > total // share))
     cold = keyed.where(F.col(count) <= total // share)
-    return rows.join(hot, key, "inner").unionByName(
-        rows.join(hot.select(*key), key, "left_anti").join(cold, key, "left")
-    )
+    if how == "left_semi":
+        hot, cold = F.broadcast(hot.select(*key)), cold.select(*key)
+    rest = rows.join(hot.select(*key), key, "left_anti").join(cold, key, how)
+    return rows.join(hot, key, "inner" if how == "left" else how).unionByName(rest)
 
 
 def labelled_sample(

@@ -29,6 +29,7 @@ from formwright.llm.common import (
     bitmap,
     fresh,
     in_bitmap,
+    join_counted,
     map_rows,
     mix,
     row_key,
@@ -122,26 +123,24 @@ def repeated_intervals(
     gram = min(GRAM, width)
     source = docs.select(*row_key(doc_id, text), text_bytes(text).alias("text"))
     runs = written(_runs(source, width, gram), "runs")
-    anchors = runs.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
-    shared = written(runs.join(anchors, "v", "left_semi"), "shared-runs")
+    anchors = written(runs.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "anchors")
+    shared = written(join_counted(runs, anchors, ["v"], "c", "left_semi"), "shared-runs")
     kinds = written(
         shared.groupBy("v", "r1", "r2").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "a", "n")).alias("one")),
         "run-kinds",
     )
-    mixed = kinds.groupBy("v").agg(F.count("*").alias("kinds")).where("kinds > 1").select("v")
-    samples = written(
-        kinds.join(mixed, "v", "left_semi").select("one.*", "c"), "mixed-runs"
-    )
+    mixed = written(kinds.groupBy("v").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed-anchors")
+    samples = written(join_counted(kinds, mixed, ["v"], "kinds", "left_semi").select("one.*", "c"), "mixed-runs")
     wanted = samples.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "n")).alias("runs"))
     may = _may_have(samples)
     windows = written(
         _windows(source.where(may(F.xxhash64("k1", "k2"))).join(wanted, ["k1", "k2"]), width), "mixed-windows"
     )
-    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
-    whole = shared.join(kinds.where("c > 1").select("v", "r1", "r2"), ["v", "r1", "r2"], "left_semi").select(
+    again = written(windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1"), "repeated-windows")
+    whole = join_counted(shared, kinds.where("c > 1"), ["v", "r1", "r2"], "c", "left_semi").select(
         "k1", "k2", F.col("a").alias("first"), (F.col("a") + F.col("n") + (width - 1)).alias("end")
     )
-    single = windows.join(again, ["w1", "w2"], "left_semi").select(
+    single = join_counted(windows, again, ["w1", "w2"], "c", "left_semi").select(
         "k1", "k2", F.col("s").alias("first"), (F.col("s") + width).alias("end")
     )
     gathered = whole.unionByName(single).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "end")).alias("parts"))
