@@ -103,7 +103,8 @@ def links(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
         f"ELSE shiftrightunsigned(a ^ b, 64 - {SEGMENT_BITS} * i) END"
     )
     chain = F.bit_count(F.shiftrightunsigned(turned, 64 - 3 * SEGMENT_BITS)) <= budget * 3 // SEGMENTS
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & chain & (F.bit_count(differ) <= budget))
+    # Both sides are many times the table they come from, by whose size Spark would choose to broadcast one.
+    pairs = left.hint("merge").join(right.hint("merge"), (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & chain & (F.bit_count(differ) <= budget))
     return pairs.select("a", "b").distinct()
 
 
