@@ -16,6 +16,9 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
+#: Rows of an Arrow batch that are held as Python objects at once.
+ROWS_AT_A_TIME = 512
+
 U64 = np.uint64
 
 
@@ -54,12 +57,12 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]
 
 
 def map_rows(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """Applies a function from columns to columns to every Arrow batch."""
+    """Applies a function from columns to columns, a few hundred rows at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from as_batches(rows(batch.to_pydict()), target)
+            for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
+                yield from as_batches(rows(batch.slice(start, ROWS_AT_A_TIME).to_pydict()), target)
 
     target = arrow_schema(df.sparkSession, schema)
     return df.mapInArrow(run, schema)
