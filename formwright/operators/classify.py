@@ -17,6 +17,8 @@ from formwright.session import new_path
 from formwright.vocabulary import DOCUMENT_TYPES, UNKNOWN_TYPE
 
 N_TYPES = len(DOCUMENT_TYPES)
+#: Tokens are counted in so many slots, at most 65,536; the model's size does not grow with the vocabulary.
+SLOTS = 1 << 14
 
 
 def _types() -> Column:
@@ -27,21 +29,26 @@ def type_name(label_id: Column) -> Column:
     return F.get(_types(), label_id)
 
 
-def token_counts(labelled: DataFrame) -> DataFrame:
-    """(token, counts): occurrences of each token per class, from rows (text, label_id)."""
-    tokens = values_of(labelled, word_tokens(F.col("text")), "token", "label_id")
-    per_class = tokens.groupBy("token").agg(
+def slot_of(token: Column) -> Column:
+    """The token's slot: the first 16 bits of its MD5, modulo `SLOTS`."""
+    return F.conv(F.substring(F.md5(token), 1, 4), 16, 10).cast("int") % F.lit(SLOTS)
+
+
+def slot_counts(labelled: DataFrame) -> DataFrame:
+    """(slot, counts): occurrences of each slot's tokens per class, from rows (text, label_id)."""
+    slots = values_of(labelled, F.transform(word_tokens(F.col("text")), slot_of), "slot", "label_id")
+    per_class = slots.groupBy("slot").agg(
         *[F.count_if(F.col("label_id") == i).alias(f"c{i}") for i in range(N_TYPES)]
     )
-    return per_class.select("token", F.array(*[f"c{i}" for i in range(N_TYPES)]).alias("counts"))
+    return per_class.select("slot", F.array(*[f"c{i}" for i in range(N_TYPES)]).alias("counts"))
 
 
 @dataclass(frozen=True)
 class KeywordClassifier:
-    """Token counts per class as a written table, and the few numbers that turn them into weights.
+    """Slot counts per class as a written table, and the few numbers that turn them into weights.
 
-    Models up to `ROW_LIMIT` tokens become a constant of the plan and are looked up inside the
-    document's row. Larger ones are joined on the token. Results are the same.
+    The weights, at most `SLOTS` rows, are a constant of the plan and are looked up inside the document's
+    row, whatever the vocabulary. Slots without training tokens count for no class.
     """
 
     counts: DataFrame
@@ -49,32 +56,29 @@ class KeywordClassifier:
     label_counts: tuple[int, ...]
     vocabulary_size: int
 
-    ROW_LIMIT: ClassVar[int] = 20_000
     META: ClassVar[str] = (
         "vocabulary_size bigint, token_totals array<bigint>, label_counts array<bigint>"
     )
 
     @classmethod
     def fit(cls, labelled: DataFrame, path: str | None = None) -> KeywordClassifier:
-        """Train on (text, label_id) rows and write the model to `path`."""
+        """Train on (text, label_id) rows and write the model to `path`, which must be new."""
         spark = labelled.sparkSession
         path = path or new_path(spark, "classifier")
         labels = labelled.agg(*[F.count_if(F.col("label_id") == i) for i in range(N_TYPES)]).first()
-        return cls._write(token_counts(labelled), tuple(labels), path)
+        return cls._write(slot_counts(labelled), tuple(labels), path)
 
     @classmethod
     def _write(
         cls, counts: DataFrame, label_counts: tuple[int, ...], path: str
     ) -> KeywordClassifier:
         spark = counts.sparkSession
-        counts.write.mode("overwrite").parquet(f"{path}/counts")
+        counts.write.parquet(f"{path}/counts")
         counts = spark.read.parquet(f"{path}/counts")
         size, *totals = counts.agg(
             F.count("*"), *[F.coalesce(F.sum(F.get("counts", i)), F.lit(0)) for i in range(N_TYPES)]
         ).first()
-        spark.createDataFrame([(size, totals, list(label_counts))], cls.META).write.mode(
-            "overwrite"
-        ).parquet(f"{path}/meta")
+        spark.createDataFrame([(size, totals, list(label_counts))], cls.META).write.parquet(f"{path}/meta")
         return cls.load(spark, path)
 
     @classmethod
@@ -88,6 +92,7 @@ class KeywordClassifier:
         )
 
     def save(self, path: str) -> KeywordClassifier:
+        """Write the model to a new `path`."""
         return self._write(self.counts, self.label_counts, path)
 
     @property
@@ -96,43 +101,33 @@ class KeywordClassifier:
         return [math.log((c + 1) / (n + N_TYPES)) for c in self.label_counts]
 
     def weights(self) -> DataFrame:
-        """(token, weights): log probability of the token in each class, add-one smoothed."""
+        """(slot, weights): log probability of the slot in each class, add-one smoothed."""
         smoothed = [
             F.log((F.get("counts", i) + 1) / F.lit(float(t + self.vocabulary_size)))
             for i, t in enumerate(self.token_totals)
         ]
-        return self.counts.select("token", F.array(*smoothed).alias("weights"))
+        return self.counts.select("slot", F.array(*smoothed).alias("weights"))
 
     def weight_rows(self) -> DataFrame:
-        """(token, label_id, weight)"""
-        return self.weights().select(
-            "token", F.posexplode("weights").alias("label_id", "weight")
-        )
-
-    def _slot(self, token: Column) -> Column:
-        return F.pmod(F.hash(token), F.lit(max(self.vocabulary_size, 1)))
+        """(slot, label_id, weight)"""
+        return self.weights().select("slot", F.posexplode("weights").alias("label_id", "weight"))
 
     @cached_property
-    def _slots(self) -> Column:
-        """The model as a constant: for each slot the map of its tokens, mostly one.
+    def _by_slot(self) -> Column:
+        """The weights as a constant, NULL for slots without any.
 
         Written as JSON, which the optimizer turns into one literal value.
         """
-        if self.vocabulary_size > self.ROW_LIMIT:
-            raise ValueError("the model is too large for a row lookup")
-        slots: list[dict[str, list[float]]] = [{} for _ in range(max(self.vocabulary_size, 1))]
-        rows = self.weights().select(self._slot(F.col("token")).alias("slot"), "token", "weights")
-        for slot, token, weights in rows.collect():  # at most ROW_LIMIT rows
-            slots[slot][token] = weights
-        return F.from_json(F.lit(json.dumps(slots)), "array<map<string,array<double>>>")
+        rows = dict(self.weights().collect())  # at most SLOTS rows
+        listed = [rows.get(slot) for slot in range(SLOTS)]
+        return F.from_json(F.lit(json.dumps(listed)), "array<array<double>>")
 
-    def _scores_in_row(self, tokens: Column) -> Column:
-        slots = self._slots
+    def _scores(self, tokens: Column) -> Column:
+        by_slot = self._by_slot
 
         def add(scores: Column, token: Column) -> Column:
-            found = F.try_element_at(F.get(slots, self._slot(token)), token)
             return let(
-                found,
+                F.get(by_slot, slot_of(token)),
                 lambda w: F.when(w.isNull(), scores).otherwise(
                     F.zip_with(scores, w, lambda a, b: a + b)
                 ),
@@ -140,50 +135,17 @@ class KeywordClassifier:
 
         return F.aggregate(tokens, F.array(*[F.lit(p) for p in self.priors]), add)
 
-    def _scores_by_join(self, docs: DataFrame, limit: int | None, salts: int = 64) -> DataFrame:
-        """(doc_id, scores). Frequent tokens are spread over `salts` copies of the model."""
-        tokens = F.coalesce(_limited(word_tokens(F.col("text")), limit), F.array().cast("array<string>"))
-        # The empty token is in no model: it keeps documents without any known token.
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")
-        texts = docs.filter(F.col("text").isNotNull())
-        rows = values_of(texts, F.array_append(tokens, F.lit("")), "token", "doc_id", salt)
-        model = self.weights().select(
-            "token", "weights", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-        )
-        sums = (
-            rows.groupBy("doc_id", "salt", "token")
-            .agg(F.count("*").alias("n"))
-            .join(model, ["token", "salt"], "left")
-            .groupBy("doc_id")
-            .agg(*[F.sum(F.get("weights", i) * F.col("n")).alias(f"s{i}") for i in range(N_TYPES)])
-        )
-        scores = [F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + p for i, p in enumerate(self.priors)]
-        return sums.select("doc_id", F.array(*scores).alias("scores"))
-
-    def with_probabilities(
-        self, docs: DataFrame, token_limit: int | None = None, in_row: bool | None = None
-    ) -> DataFrame:
+    def with_probabilities(self, docs: DataFrame, token_limit: int | None = None) -> DataFrame:
         """Adds `probabilities` (one per class, in class order); NULL where the text is NULL.
 
         The whole text counts unless `token_limit` is given.
         """
-        if in_row is None:
-            in_row = self.vocabulary_size <= self.ROW_LIMIT
-        if in_row:
-            scores = self._scores_in_row(_limited(word_tokens(F.col("text")), token_limit))
-            return docs.withColumn("probabilities", softmax(scores))
-        scored = self._scores_by_join(docs, token_limit)
-        return docs.join(
-            scored.select("doc_id", softmax(F.col("scores")).alias("probabilities")),
-            "doc_id",
-            "left",
-        )
+        scores = self._scores(_limited(word_tokens(F.col("text")), token_limit))
+        return docs.withColumn("probabilities", softmax(scores))
 
-    def classify(
-        self, docs: DataFrame, token_limit: int | None = None, in_row: bool | None = None
-    ) -> DataFrame:
+    def classify(self, docs: DataFrame, token_limit: int | None = None) -> DataFrame:
         """Adds `document_type` and `classification_confidence`."""
-        return with_document_type(self.with_probabilities(docs, token_limit, in_row))
+        return with_document_type(self.with_probabilities(docs, token_limit))
 
     def info(self) -> dict[str, object]:
         return {

@@ -79,7 +79,7 @@ def nest_entities(entities: DataFrame, min_confidence: float = 0.3) -> DataFrame
     Copies are merged before anything is collected: of equal words of a group the first above the
     threshold counts, or else the first one. What is left is bounded by the document's own text.
     """
-    accepted = F.col("score") > min_confidence
+    accepted = (F.col("score") > min_confidence) & ~F.isnan("score")
     key = F.when(accepted, F.lit(0)).otherwise(F.lit(1)) * F.lit(1 << 40) + F.col("ord")
     merged = (
         entities.groupBy("doc_id", F.upper("entity_group").alias("entity_group"), "word")

@@ -182,18 +182,67 @@ def token_metrics(tokens: DataFrame) -> DataFrame:
 # ---- entities -----------------------------------------------------------------------------------
 
 
-def entity_rows(docs: DataFrame, array: str) -> DataFrame:
-    """(doc_id, field_name, value, start, end) of an array of fields; missing offsets defaulted."""
-    rows = F.transform(
+def entity_keys(array: str) -> Column:
+    """What entities of an array of fields are matched by; missing offsets defaulted."""
+    return F.transform(
         F.col(array),
         lambda f: F.struct(
             f["field_name"].alias("field_name"),
             f["value"].alias("value"),
-            F.coalesce(f["start"], F.lit(0)).alias("start"),
-            F.coalesce(f["end"], F.length(f["value"])).alias("end"),
+            F.coalesce(f["start"], F.lit(0)).cast("int").alias("start"),
+            F.coalesce(f["end"], F.length(f["value"])).cast("int").alias("end"),
         ),
     )
-    return rows_of(docs, rows, "doc_id")
+
+
+def entity_rows(docs: DataFrame, array: str) -> DataFrame:
+    """(doc_id, field_name, value, start, end) of an array of fields; missing offsets defaulted."""
+    return rows_of(docs, entity_keys(array), "doc_id")
+
+
+def with_matches(docs: DataFrame, predicted: str = "ranked", truth: str = "true_entities") -> DataFrame:
+    """Adds `found`, `wrong` and `missed`: the distinct entities of both sides, of one, of the other.
+
+    Both are arrays of the same row, so nothing is shuffled. Documents without either array have none.
+    """
+    none = F.expr("cast(array() AS array<struct<field_name: string, value: string, start: int, end: int>>)")
+    sides = docs.withColumns(
+        {"_predicted": F.coalesce(entity_keys(predicted), none), "_true": F.coalesce(entity_keys(truth), none)}
+    )
+    return sides.withColumns(
+        {
+            "found": F.array_intersect("_predicted", "_true"),
+            "wrong": F.array_except("_predicted", "_true"),
+            "missed": F.array_except("_true", "_predicted"),
+        }
+    ).drop("_predicted", "_true")
+
+
+def matched_rows(docs: DataFrame) -> DataFrame:
+    """The entities of documents `with_matches` as rows, as `match_entities` gives them for two tables."""
+
+    def flagged(name: str, in_pred: int, in_true: int) -> Column:
+        return F.transform(
+            name,
+            lambda e: F.struct(
+                *[e[k].alias(k) for k in ENTITY_KEY[1:]],
+                F.lit(in_pred).alias("in_pred"),
+                F.lit(in_true).alias("in_true"),
+            ),
+        )
+
+    both = F.concat(flagged("found", 1, 1), flagged("wrong", 1, 0), flagged("missed", 0, 1))
+    return rows_of(docs, both, "doc_id")
+
+
+def match_sizes(docs: DataFrame) -> DataFrame:
+    """Per document `with_matches` how many entities were found, wrong and missed."""
+    return docs.select(
+        "doc_id",
+        F.size("found").cast("long").alias("tp"),
+        F.size("wrong").cast("long").alias("fp"),
+        F.size("missed").cast("long").alias("fn"),
+    )
 
 
 def match_entities(predicted: DataFrame, truth: DataFrame) -> DataFrame:
@@ -251,6 +300,16 @@ def ner_metrics(matches: DataFrame) -> DataFrame:
     return _match_scores(matches.agg(*_match_counts()))
 
 
+def ner_metrics_of_sizes(sizes: DataFrame) -> DataFrame:
+    """The same from `match_sizes`, or sums of them."""
+    return _match_scores(sizes.agg(*[F.sum(n).alias(n) for n in ("tp", "fp", "fn")]))
+
+
+def ner_doc_match_of_sizes(sizes: DataFrame) -> DataFrame:
+    """`ner_doc_match` from `match_sizes`, which has a row for every document."""
+    return _doc_match(sizes)
+
+
 def ner_per_type(matches: DataFrame) -> DataFrame:
     """The same per field type; all types are listed."""
     counts = matches.groupBy("field_name").agg(*_match_counts())
@@ -267,7 +326,10 @@ def ner_doc_match(docs: DataFrame, matches: DataFrame) -> DataFrame:
     marks = matches.select("doc_id", "in_pred", "in_true").unionAll(
         docs.select("doc_id", F.lit(0).alias("in_pred"), F.lit(0).alias("in_true"))
     )
-    per_doc = marks.groupBy("doc_id").agg(*_match_counts())
+    return _doc_match(marks.groupBy("doc_id").agg(*_match_counts()))
+
+
+def _doc_match(per_doc: DataFrame) -> DataFrame:
     return per_doc.agg(
         F.avg(((F.col("fp") == 0) & (F.col("fn") == 0)).cast("int")).alias("exact_match_accuracy"),
         F.avg((F.col("tp") > 0).cast("int")).alias("partial_match_accuracy"),
@@ -327,7 +389,10 @@ def run_metrics(results: DataFrame) -> DataFrame:
 
 
 def business_value(metrics: DataFrame) -> DataFrame:
-    """One row: mean of the speed, confidence, field and correction scores that can be computed."""
+    """One row: mean of the speed, confidence, field and correction scores that can be computed.
+
+    The mean is 0 for a run without documents.
+    """
     one = F.lit(1.0)
     fields = ratio(F.col("total_fields_extracted"), F.col("total_documents") * 10)
     scored = metrics.select(
@@ -335,12 +400,14 @@ def business_value(metrics: DataFrame) -> DataFrame:
         F.col("average_confidence").alias("confidence_score"),
         F.least(one, fields).alias("field_score"),
         F.greatest(F.lit(0.0), one - F.col("correction_rate")).alias("correction_score"),
+        "total_documents",
     )
-    factors = F.array_compact(F.array(*scored.columns))
+    factors = F.array_compact(F.array(*scored.columns[:-1]))
     mean = F.aggregate(factors, F.lit(0.0), lambda acc, x: acc + x) / F.size(factors)
     return scored.withColumn(
-        "business_value_score", F.when(F.size(factors) > 0, mean).otherwise(F.lit(0.0))
-    )
+        "business_value_score",
+        F.when((F.size(factors) > 0) & (F.col("total_documents") > 0), mean).otherwise(F.lit(0.0)),
+    ).drop("total_documents")
 
 
 # ---- summary ------------------------------------------------------------------------------------

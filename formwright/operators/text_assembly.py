@@ -58,10 +58,13 @@ def mean_confidence(lines: Column) -> Column:
 
 
 def with_text(docs: DataFrame, lines: str = "lines") -> DataFrame:
-    """Adds `text` and `ocr_confidence` from an array of lines; stays within the row."""
-    return docs.withColumns(
-        {"text": joined_text(F.col(lines)), "ocr_confidence": mean_confidence(F.col(lines))}
-    )
+    """Adds `text` and `ocr_confidence` from an array of lines; stays within the row.
+
+    A source with text but no lines (NULL) keeps its text.
+    """
+    own = F.col("text") if "text" in docs.columns else F.lit(None).cast("string")
+    text = F.when(F.col(lines).isNull(), own).otherwise(joined_text(F.col(lines)))
+    return docs.withColumns({"text": text, "ocr_confidence": mean_confidence(F.col(lines))})
 
 
 def assemble_text(lines: DataFrame, docs: DataFrame | None = None, block: int = 4096) -> DataFrame:

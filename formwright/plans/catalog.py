@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from formwright.functions import candidates as cand
 from formwright.functions.arrays import rows_of
+from formwright.functions.scoring import confidence_summary as confidence_summary_of
 from formwright.functions.validators import default_validators, field_score
 from formwright.operators import classify as cls
 from formwright.operators import entities as ent
@@ -97,6 +98,49 @@ def assemble_text(spark, sf_dir):
     return asm.assemble_text(lines).select("doc_id", "text", r6("ocr_confidence"))
 
 
+@query
+def text_only_sources(spark, sf_dir):
+    """Every third source has text but no lines, every fifth neither."""
+    k = F.col("doc_id")
+    docs = c.with_lines(c.documents(spark, sf_dir)).withColumns(
+        {"lines": F.when(k % 3 > 0, F.col("lines")), "text": F.when(k % 5 > 0, F.col("text"))}
+    )
+    return asm.with_text(docs).select("doc_id", "text", r6("ocr_confidence"))
+
+
+@query
+def nested_entities(spark, sf_dir):
+    """Model entities as a table, some scores not a number, nested by document."""
+    rows = c.entity_table(c.with_entities(c.documents(spark, sf_dir)))
+    odd = F.when((F.col("ord") == 1) & (F.col("doc_id") % 2 == 0), F.lit(float("nan"))).otherwise(F.col("score"))
+    nested = ent.nest_entities(rows.withColumn("score", odd))
+    listed = F.filter("entities", lambda e: e["score"] > 0.3)
+    return rows_of(nested, F.filter(listed, lambda e: ~F.isnan(e["score"])), "doc_id").select(
+        "doc_id", "entity_group", "word", r6("score")
+    )
+
+
+def _digits_model():
+    """A stand-in for a field model: finds the first run of digits, and fails on texts of some customers."""
+    import re
+
+    def find(text):
+        number = re.search("[0-9]+", text)
+        if text.count("7") > 6:
+            raise ValueError("too many sevens")
+        return [{"entity_group": "SSN", "word": number[0], "score": 0.5}]
+
+    return find
+
+
+@query
+def hook_entities(spark, sf_dir):
+    """Whole texts through a field model that fails on some: results of the good ones, errors of the others."""
+    docs = c.documents(spark, sf_dir).select("doc_id", "text", (F.col("doc_id") + (1 << 53) + 1).alias("big"))
+    found = hooks.model_entities(docs, _digits_model)
+    return found.select("doc_id", "big", F.get("entities", F.lit(0))["word"].alias("word"), "error")
+
+
 @query
 def label_checks(spark, sf_dir):
     samples = c.labelled_samples(c.documents(spark, sf_dir))
@@ -194,7 +238,7 @@ def extract_ein(spark, sf_dir):
 @query
 def extract_amounts_prose(spark, sf_dir):
     """Amounts in the whole texts of the `documents` table."""
-    docs = c.spread(c.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = ent.candidate_rows(docs, cand.amount_candidates(F.col("text")))
     return rows.select("doc_id", "arrival", "value", "start", "end")
 
@@ -448,7 +492,7 @@ def class_probabilities(spark, sf_dir):
 
 
 def _prose(spark, sf_dir) -> DataFrame:
-    return c.spread(c.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return c.table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 @query
@@ -468,6 +512,46 @@ def classify_token_limit(spark, sf_dir):
     return limited.select("doc_id", "document_type", r6("classification_confidence"))
 
 
+def _prose_model(spark, sf_dir) -> cls.KeywordClassifier:
+    """Trained on whole texts of the `documents` table, with types by id."""
+    return cls.KeywordClassifier.fit(
+        _prose(spark, sf_dir).select("text", (F.col("doc_id") % 8).cast("int").alias("label_id"))
+    )
+
+
+@query
+def train_prose(spark, sf_dir):
+    return _prose_model(spark, sf_dir).weight_rows().withColumn("weight", r6("weight"))
+
+
+@query
+def classify_trained_prose(spark, sf_dir):
+    return _prose_model(spark, sf_dir).classify(_prose(spark, sf_dir)).select(
+        "doc_id", "document_type", r6("classification_confidence")
+    )
+
+
+@query
+def holdout_report(spark, sf_dir):
+    """Split, train on one part, classify the other, report on it."""
+    samples = synthetic.synthetic_texts(c.orders(spark, sf_dir), "o_orderkey")
+    parts = training.split(samples, "sample_id", "label_id")
+    model = cls.KeywordClassifier.fit(parts.filter("is_train"))
+    held = model.classify(parts.filter("NOT is_train")).select(
+        cls.type_name(F.col("label_id")).alias("true_label"), F.col("document_type").alias("pred_label")
+    )
+    return ev.classification_report(ev.confusion_counts(held)).select(
+        "label", *_measures("precision", "recall", "f1"), "support"
+    )
+
+
+@query
+def split_int_ids(spark, sf_dir):
+    """The same split for ids of four bytes."""
+    sequences = c.orders(spark, sf_dir).select((F.col("o_orderkey") + 100_000).cast("int").alias("seq_id"))
+    return training.split(sequences, "seq_id")
+
+
 @query
 def stratified_split(spark, sf_dir):
     samples = synthetic.synthetic_texts(c.orders(spark, sf_dir), "o_orderkey")
@@ -555,11 +639,13 @@ def metric_distributions(spark, sf_dir):
     return d.select(*_measures(*d.columns))
 
 
+def _matched(spark, sf_dir) -> DataFrame:
+    docs = c.with_true_entities(c.with_entities(c.documents(spark, sf_dir)))
+    return ev.with_matches(ENGINE.extract(docs))
+
+
 def _matches(spark, sf_dir) -> DataFrame:
-    docs = ENGINE.extract(c.with_true_entities(c.with_entities(c.documents(spark, sf_dir))))
-    return ev.match_entities(
-        ev.entity_rows(docs, "ranked"), ev.entity_rows(docs, "true_entities")
-    )
+    return ev.matched_rows(_matched(spark, sf_dir))
 
 
 @query
@@ -587,7 +673,7 @@ _MATCH_COLUMNS = ("true_positives", "false_positives", "false_negatives")
 
 @query
 def ner_metrics(spark, sf_dir):
-    return ev.ner_metrics(_matches(spark, sf_dir)).select(
+    return ev.ner_metrics_of_sizes(ev.match_sizes(_matched(spark, sf_dir))).select(
         *_measures("precision", "recall", "f1"), *_MATCH_COLUMNS
     )
 
@@ -601,8 +687,7 @@ def ner_per_type(spark, sf_dir):
 
 @query
 def ner_doc_match(spark, sf_dir):
-    docs = c.orders(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"))
-    return ev.ner_doc_match(docs, _matches(spark, sf_dir)).select(
+    return ev.ner_doc_match_of_sizes(ev.match_sizes(_matched(spark, sf_dir))).select(
         *_measures("exact_match_accuracy", "partial_match_accuracy"), "total_documents"
     )
 
@@ -632,12 +717,61 @@ def business_value(spark, sf_dir):
     return v.select(*_measures(*v.columns))
 
 
+@query
+def entity_match_tables(spark, sf_dir):
+    """The same as `entity_match`, for sides that come as tables of their own."""
+    docs = ENGINE.extract(c.with_true_entities(c.with_entities(c.documents(spark, sf_dir))))
+    return ev.match_entities(
+        ev.entity_rows(docs, "ranked"), ev.entity_rows(docs, "true_entities")
+    )
+
+
+def _evaluation_cells(spark, sf_dir) -> DataFrame:
+    """Sums of all that the evaluation needs, per pair of true and predicted type, from one pass.
+
+    The text of the assembled lines is the document's text, so one extraction serves entities and runs.
+    """
+    docs = ENGINE.score(c.run_documents(c.documents(spark, sf_dir)))
+    found = ev.with_matches(docs)
+    good = F.col("error").isNull()
+    mean = confidence_summary_of(F.col("fields"))["average_confidence"]
+    rows = found.select(
+        F.col("true_type").alias("true_label"),
+        F.col("pred_type").alias("pred_label"),
+        F.size("found").alias("tp"),
+        F.size("wrong").alias("fp"),
+        F.size("missed").alias("fn"),
+        F.when(good, F.col("processing_time_seconds")).alias("seconds"),
+        F.when(good, mean).alias("confidence"),
+        F.when(good, F.size("fields")).alias("n_fields"),
+        F.when(good, F.coalesce("user_corrections", F.lit(0))).alias("corrections"),
+        good.cast("int").alias("good"),
+    )
+    sums = ("tp", "fp", "fn", "seconds", "confidence", "n_fields", "corrections", "good")
+    cells = rows.groupBy("true_label", "pred_label").agg(
+        F.count("*").alias("n"), *[F.sum(name).alias(name) for name in sums]
+    )
+    path = new_path(spark, "evaluation")
+    cells.write.parquet(path)  # a row for each pair of types
+    return spark.read.parquet(path)
+
+
 @query
 def evaluation_summary(spark, sf_dir):
+    cells = _evaluation_cells(spark, sf_dir)
+    run = cells.agg(*[F.sum(n).alias(n) for n in ("seconds", "confidence", "n_fields", "corrections", "good")])
+    per_document = lambda name: ev.ratio(F.col(name), F.col("good"))
+    metrics = run.select(
+        per_document("seconds").alias("average_time"),
+        per_document("confidence").alias("average_confidence"),
+        F.col("n_fields").alias("total_fields_extracted"),
+        per_document("corrections").alias("correction_rate"),
+        F.col("good").alias("total_documents"),
+    )
     return ev.evaluation_summary(
-        ev.classification_metrics(_confusion(spark, sf_dir)),
-        ev.ner_metrics(_matches(spark, sf_dir)),
-        ev.business_value(_run_metrics(spark, sf_dir)),
+        ev.classification_metrics(cells.select("true_label", "pred_label", "n")),
+        ev.ner_metrics_of_sizes(cells),
+        ev.business_value(metrics),
     ).withColumn("score", r6("score"))
 
 
@@ -647,11 +781,23 @@ def evaluation_summary(spark, sf_dir):
 @query
 def stream_scores(spark, sf_dir):
     """Orders arrive twice; each document is processed once, failures go to their own table."""
-    arriving.use_disk_state(spark)
-    model = engine(spark, sf_dir)
     source = arriving.arriving_files(spark, sf_dir, "orders.parquet")
-    keys = source.select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("arrival"))
-    once = arriving.first_arrivals(keys.union(keys).withColumnRenamed("o_orderkey", "doc_id"))
+    return _streamed(spark, sf_dir, source.union(source))
+
+
+@query
+def stream_scores_files(spark, sf_dir):
+    """Orders arrive in three files, a batch each, with times out of order: none is lost."""
+    folder = new_path(spark, "arriving")
+    c.table(spark, sf_dir, "orders").repartition(3, "o_orderkey").write.parquet(folder)
+    return _streamed(spark, sf_dir, arriving.arriving_files(spark, folder, "*.parquet", 1))
+
+
+def _streamed(spark, sf_dir, source: DataFrame) -> DataFrame:
+    model = engine(spark, sf_dir)
+    once = source.select(
+        F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("timestamp").alias("arrival")
+    )
 
     def documents_of(batch: DataFrame) -> DataFrame:
         rows = batch.select(
@@ -679,7 +825,6 @@ def stream_scores(spark, sf_dir):
 
 @query
 def stream_metrics(spark, sf_dir):
-    arriving.use_disk_state(spark)
     source = arriving.arriving_files(spark, sf_dir, "orders.parquet")
     runs = c.with_run(c.with_document(source)).select(
         "arrival",

@@ -243,8 +243,9 @@ samples AS (
   FROM orders JOIN examples ON label_id = o_orderkey % 8 AND e = o_orderkey % 3)"""
 
 CTE["weights"] = """
-sample_tokens AS (
+sample_words AS (
   SELECT label_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM samples),
+sample_tokens AS (SELECT label_id, ('0x' || substr(md5(token), 1, 4))::INT % 16384 AS token FROM sample_words),
 vocab AS (SELECT DISTINCT token FROM sample_tokens),
 token_n AS (SELECT token, label_id, count(*) AS n FROM sample_tokens GROUP BY ALL),
 label_n AS (SELECT label_id, count(*) AS n FROM sample_tokens GROUP BY ALL),
@@ -262,8 +263,9 @@ priors AS (
 def classified(source: str, limit: int | None = None) -> str:
     cut = f"[1:{limit}]" if limit else ""
     return (
-        "doc_tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), "
+        "doc_words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), "
         f"'[\\p{{L}}\\p{{N}}]+'){cut}) AS token FROM {source}),\n"
+        "doc_tokens AS (SELECT doc_id, ('0x' || substr(md5(token), 1, 4))::INT % 16384 AS token FROM doc_words),\n"
         "doc_sums AS (SELECT doc_id, label_id, sum(weight) AS s FROM doc_tokens JOIN weights "
         "USING (token) GROUP BY ALL),\n"
         f"logits AS (SELECT d.doc_id, p.label_id, p.doc_type, prior + coalesce(s, 0) AS x "
@@ -398,6 +400,18 @@ SELECT doc_id, i AS line_no, trim(line) AS text, 0.9::DOUBLE AS confidence, 0::D
 FROM raw_lines WHERE trim(line) <> ''""")
 sql("assemble_text", DOCS + " pages ocr",
     "SELECT doc_id, text, round(ocr_confidence, 6) AS ocr_confidence FROM ocr")
+sql("text_only_sources", DOCS + " pages ocr", """
+SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN o.text WHEN doc_id % 5 > 0 THEN d.text END AS text,
+  CASE WHEN doc_id % 3 > 0 THEN round(ocr_confidence, 6) ELSE 0.8::DOUBLE END AS ocr_confidence
+FROM docs d JOIN ocr o USING (doc_id)""")
+sql("nested_entities", DOCS + " ents", """
+SELECT doc_id, upper(entity_group) AS entity_group, word, round(arg_min(score, ord), 6) AS score
+FROM ents WHERE score > 0.3 AND NOT (ord = 1 AND doc_id % 2 = 0) GROUP BY 1, 2, 3""")
+sql("hook_entities", DOCS, """
+SELECT doc_id, doc_id + 9007199254740993 AS big,
+  CASE WHEN sevens <= 6 THEN regexp_extract(text, '[0-9]+') END AS word,
+  CASE WHEN sevens > 6 THEN 'too many sevens' END AS error
+FROM (SELECT *, length(text) - length(replace(text, '7', '')) AS sevens FROM docs)""")
 sql("label_checks", "", """
 SELECT problem, count(*) AS n FROM (SELECT CASE
   WHEN o_orderkey % 19 = 0 THEN 'texts and labels must have same length'
@@ -562,7 +576,11 @@ WHERE mean < 0.5::DOUBLE ORDER BY round(mean, 9), doc_id LIMIT {catalog.REVIEW_K
     scored=scored("(SELECT doc_id, pred_confidence FROM runs)", (0.6, 0.1, 0.3), "pred_confidence"))
 
 sql("train_weights", "types samples weights",
-    "SELECT token, label_id::INT AS label_id, round(weight, 6) AS weight FROM weights")
+    "SELECT token AS slot, label_id::INT AS label_id, round(weight, 6) AS weight FROM weights")
+PROSE_SAMPLES = "samples AS (SELECT doc_id AS sample_id, (doc_id % 8)::INT AS label_id, text FROM documents)"
+sql("train_prose", "types samples weights",
+    "SELECT token AS slot, label_id::INT AS label_id, round(weight, 6) AS weight FROM weights",
+    samples=PROSE_SAMPLES)
 CLASSIFIED = """
 SELECT doc_id, document_type, round(classification_confidence, 6) AS classification_confidence
 FROM classified"""
@@ -571,6 +589,8 @@ sql("class_probabilities", "types docs samples weights classified",
     "SELECT doc_id, doc_type AS document_type, round(p, 6) AS p FROM probs")
 sql("classify_prose", "types samples weights classified", CLASSIFIED,
     classified=classified("documents"))
+sql("classify_trained_prose", "types samples weights classified", CLASSIFIED,
+    samples=PROSE_SAMPLES, classified=classified("documents"))
 sql("classify_token_limit", "types samples weights classified", CLASSIFIED,
     classified=classified("documents", CLASSIFIER_TOKEN_LIMIT))
 LEHMER = "((o_orderkey % 2147483647) * 48271) % 2147483647"
@@ -582,6 +602,11 @@ sql("random_split", "", f"""
 SELECT o_orderkey AS seq_id,
   row_number() OVER (ORDER BY {LEHMER}, o_orderkey) <= count(*) OVER () * 4 // 5 AS is_train
 FROM orders""")
+sql("split_int_ids", "", """
+SELECT (o_orderkey + 100000)::INT AS seq_id,
+  row_number() OVER (ORDER BY (((o_orderkey + 100000) % 2147483647) * 48271) % 2147483647, o_orderkey)
+    <= count(*) OVER () * 4 // 5 AS is_train
+FROM orders""")
 sql("model_stats", "types samples weights", f"""
 SELECT 0.3::DOUBLE AS weight_ocr, 0.4::DOUBLE AS weight_ner, 0.3::DOUBLE AS weight_validation,
   8 AS num_classes, {quoted(', '.join(DOCUMENT_TYPES))} AS document_types, count(*) AS vocabulary_size,
@@ -632,6 +657,21 @@ UNION ALL SELECT 'weighted avg', round(precision, 6), round(recall, 6), round(f1
   FROM overall""",
     per_class=per_class("(SELECT true_type AS true_label, document_type AS pred_label "
                         "FROM docs JOIN classified USING (doc_id))"))
+HELD_OUT = CTE["samples"].replace("samples AS (", "all_samples AS (") + """,
+parted AS (SELECT *, row_number() OVER (PARTITION BY label_id
+    ORDER BY ((sample_id % 2147483647) * 48271) % 2147483647, sample_id)
+  <= count(*) OVER (PARTITION BY label_id) * 4 // 5 AS is_train FROM all_samples),
+samples AS (SELECT sample_id, label_id, text FROM parted WHERE is_train),
+held AS (SELECT sample_id AS doc_id, label_id, text FROM parted WHERE NOT is_train)"""
+sql("holdout_report", "types samples weights classified per_class", CLASSES + """
+UNION ALL SELECT 'accuracy', NULL, NULL, round(accuracy, 6), total_samples FROM overall
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
+  sum(support)::BIGINT FROM per_class
+UNION ALL SELECT 'weighted avg', round(precision, 6), round(recall, 6), round(f1, 6), total_samples
+  FROM overall""",
+    samples=HELD_OUT, classified=classified("held"),
+    per_class=per_class("(SELECT doc_type AS true_label, document_type AS pred_label "
+                        "FROM held JOIN types USING (label_id) JOIN classified USING (doc_id))"))
 sql("metric_distributions", DOCS + " runs", """
 SELECT round(avg(pred_confidence), 6) AS average_confidence,
   round(stddev_pop(pred_confidence), 6) AS confidence_std, round(min(pred_confidence), 6) AS min_confidence,
@@ -642,6 +682,7 @@ SELECT round(avg(pred_confidence), 6) AS average_confidence,
 MATCHED = RANKED + " truth matches"
 KEY = 'doc_id, field_name, value, start_ AS start, end_ AS "end"'
 sql("entity_match", MATCHED, f"SELECT {KEY}, in_pred, in_true FROM matches")
+SQL["entity_match_tables"] = SQL["entity_match"]
 sql("entities_tp", RANKED + " truth matches", f"""
 SELECT {KEY} FROM (SELECT * FROM pred INTERSECT SELECT * FROM truth)""")
 sql("entities_fp", MATCHED, f"SELECT {KEY} FROM (SELECT * FROM pred EXCEPT SELECT * FROM truth)")
@@ -694,6 +735,7 @@ FROM listed""")
 sql("stream_scores", SCORED + " runs " + " ".join(NB), """
 SELECT doc_id, document_type, n::INT AS total_results, round(mean, 9) AS average_confidence
 FROM runs JOIN summaries USING (doc_id) JOIN classified USING (doc_id) WHERE error IS NULL""")
+SQL["stream_scores_files"] = SQL["stream_scores"]
 sql("stream_metrics", DOCS + " runs", """
 SELECT w AS window_start, w + INTERVAL 30 DAY AS window_end, count(*) AS total_documents,
   round(avg(seconds), 6) AS average_time, round(stddev_pop(seconds), 6) AS time_std,

@@ -33,14 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Gives every core work where a small input would fill only a few tasks; else unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+#: How many partitions the orders' keys are dealt into before texts are made of them; unset, they stay as read.
+PARTITIONS = "spark.formwright.corpusPartitions"
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
+    keys = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    partitions = spark.conf.get(PARTITIONS, None)
+    return keys.repartition(int(partitions), "o_orderkey") if partitions else keys
 
 
 def _case(*choices: str, key: str = "doc_id") -> str:

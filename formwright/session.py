@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 _LOCAL_ROOT: str | None = None
+_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def build_session(app_name: str = "formwright", master: str | None = None, **conf: str) -> SparkSession:
@@ -21,6 +23,8 @@ def build_session(app_name: str = "formwright", master: str | None = None, **con
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Keeps the state of large streams on the executors' disks and in the checkpoint, not on the heap.
+        "spark.sql.streaming.stateStore.providerClass": _STATE_STORE,
     }
     settings.update(conf)
     for key, value in settings.items():
@@ -38,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is None:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     if _LOCAL_ROOT is None:
         _LOCAL_ROOT = tempfile.mkdtemp(prefix="formwright-")

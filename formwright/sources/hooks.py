@@ -1,7 +1,7 @@
 """User-supplied models: OCR of image bytes and field models over texts.
 
-Both run as `mapInPandas` over batches of rows, with the model made once per task. A document that
-fails becomes a row with `error` set; the others go on.
+Both run as pandas functions over the one column they read, with the model made once per task; the other
+columns stay where they are. A document that fails becomes a row with `error` set; the others go on.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from formwright.functions.candidates import MODEL_ENTITIES
 from formwright.operators.text_assembly import LINES, text_lines
@@ -26,12 +25,34 @@ def choose_provider(
     providers: Mapping[str, Callable[..., Any]], order: Sequence[str], keys: Mapping[str, str]
 ) -> tuple[str, Callable[..., Any]]:
     """The first provider of `order` whose key is there; the last one needs none."""
-    for name in order[:-1]:
-        if keys.get(name):
-            return name, providers[name]
+    return next(_candidates(providers, order, keys))
+
+
+def _candidates(providers, order, keys) -> Iterator[tuple[str, Callable[..., Any]]]:
     if not order or order[-1] not in providers:
         raise ValueError(f"unknown OCR provider: {order[-1] if order else None}")
-    return order[-1], providers[order[-1]]
+    for name in order[:-1]:
+        if keys.get(name):
+            yield name, providers[name]
+    yield order[-1], providers[order[-1]]
+
+
+def make_first_provider(
+    providers: Mapping[str, Callable[..., Any]], order: Sequence[str], keys: Mapping[str, str]
+) -> tuple[str, Any, dict[str, str]]:
+    """The first provider that can be made, and the errors of those before it.
+
+    Providers with a key are called with it, the last one without. If none can be made, the last error stands.
+    """
+    failed: dict[str, str] = {}
+    for name, make in _candidates(providers, order, keys):
+        try:
+            return name, make(keys[name]) if name != order[-1] else make(), failed
+        except Exception as problem:
+            if name == order[-1]:
+                raise
+            failed[name] = str(problem) or type(problem).__name__
+    raise ValueError("no OCR provider")
 
 
 def _apply(
@@ -39,31 +60,42 @@ def _apply(
 ) -> DataFrame:
     """`df` with the result of a model on `source`, and `error` where it failed.
 
-    Image bytes are not handed back: nothing after this needs them.
+    Rows that failed earlier are passed over. Image bytes are not kept: nothing after this needs them.
     """
-    kept = [f for f in df.schema.fields if f.name not in (column, "error", "content")]
-    result = T.StructType(kept).add(column, T._parse_datatype_string(type_name)).add("error", "string")
-    earlier = "error" in df.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model = make()
-        for batch in batches:
+        for values, skipped in batches:
             results, errors = [], []
-            before = batch["error"] if earlier else [None] * len(batch)
-            for value, failed in zip(batch[source], before):
-                out, error = None, failed
-                if failed is None:
+            for value, skip in zip(values, skipped):
+                out, error = None, None
+                if not skip:
                     try:
                         out = shape(model(value))
                     except Exception as problem:  # a bad document must not stop the others
                         error = str(problem) or type(problem).__name__
                 results.append(out)
                 errors.append(error)
-            yield batch.drop(columns=["error"], errors="ignore").assign(
-                **{column: results, "error": errors}
-            )[result.names]
+            yield pd.DataFrame({"result": results, "error": errors}, dtype=object)
+
+    # As a random function it is neither moved nor repeated by the optimizer.
+    model = F.pandas_udf(run, f"result: {type_name}, error: string").asNondeterministic()
+    earlier = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
+    done = fresh_name(df, "_model")
+    applied = df.withColumn(done, model(F.col(source), earlier.isNotNull()))
+    kept = [c for c in df.columns if c not in (column, "error", "content")]
+    return applied.select(
+        *kept,
+        F.col(done)["result"].alias(column),
+        F.coalesce(earlier, F.col(done)["error"]).alias("error"),
+    )
+
 
-    return df.mapInPandas(run, result)
+def fresh_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores in front until no column has it."""
+    while name in df.columns:
+        name = "_" + name
+    return name
 
 
 def ocr_lines(images: DataFrame, make_reader: Callable[[], ReadLines]) -> DataFrame:

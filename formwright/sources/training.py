@@ -23,6 +23,25 @@ def read_labelled_texts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_labelled_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, text, label) of line-delimited JSON with these fields, read in parallel."""
+    return spark.read.schema("sample_id bigint, text string, label string").json(path)
+
+
+def read_sequence_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(seq_id, tokens, tags) of line-delimited JSON with these fields, read in parallel."""
+    return _same_length(
+        spark.read.schema("seq_id bigint, tokens array<string>, tags array<string>").json(path)
+    )
+
+
+def _same_length(sequences: DataFrame) -> DataFrame:
+    tags = F.when(F.size("tokens") == F.size("tags"), F.col("tags")).otherwise(
+        F.raise_error(F.lit("texts and labels must have same length"))
+    )
+    return sequences.withColumn("tags", tags)
+
+
 def label_violations(samples: DataFrame) -> DataFrame:
     """Samples that cannot be used, with the reason: unequal lengths, no integer, out of range."""
     label = F.col("label")
@@ -61,7 +80,7 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
 
 def split_key(key: Column) -> Column:
     """A number below 2**31 - 1 that orders whole-number ids as if at random."""
-    return F.pmod(key, F.lit(_MODULUS)) * _MULTIPLIER % _MODULUS
+    return F.pmod(key.cast("bigint"), F.lit(_MODULUS)) * _MULTIPLIER % _MODULUS
 
 
 def split(samples: DataFrame, key: str, label: str | None = None) -> DataFrame:
@@ -70,10 +89,12 @@ def split(samples: DataFrame, key: str, label: str | None = None) -> DataFrame:
     A label may hold most of the data, so no label is sorted as a whole. Keys fall into 65,536 equal
     ranges; their counts tell in which range of a label the border lies, only that range is ranked,
     and the border itself (one row per label of a closed vocabulary) is what all samples are compared
-    with. `key` is unique.
+    with. `key` is unique; keys that are not whole numbers are ordered by their hash.
     """
+    whole_numbers = samples.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    number = F.col(key) if whole_numbers else F.xxhash64(key)
     place = samples.withColumns(
-        {"_label": F.col(label) if label else F.lit(0), "_key": split_key(F.col(key))}
+        {"_label": F.col(label) if label else F.lit(0), "_key": split_key(number)}
     )
     ranges = place.groupBy("_label", F.shiftright("_key", 15).alias("_range")).agg(
         F.count("*").alias("n")
@@ -88,7 +109,7 @@ def split(samples: DataFrame, key: str, label: str | None = None) -> DataFrame:
     )
     in_range = place.select(
         "_label", "_key", F.col(key).alias("_id"), F.shiftright("_key", 15).alias("_range")
-    ).join(F.broadcast(border_range), ["_label", "_range"])
+    ).join(border_range, ["_label", "_range"])
     rank = F.row_number().over(whole.orderBy("_key", "_id"))
     border = (
         in_range.withColumn("rank", rank)
@@ -97,7 +118,7 @@ def split(samples: DataFrame, key: str, label: str | None = None) -> DataFrame:
     )
     is_train = F.struct("_key", F.col(key).alias("_id")) <= F.col("_border")
     return (
-        place.join(F.broadcast(border), "_label", "left")
+        place.join(border, "_label", "left")
         .withColumn("is_train", F.coalesce(is_train, F.lit(False)))
         .drop("_label", "_key", "_border")
     )

@@ -10,14 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from formwright.operators.evaluate import distribution
 
-# Keeps the state of large streams on the executors' disks and in the checkpoint, not on the heap.
-_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_disk_state(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE_STORE)
-
-
 def arriving_files(
     spark: SparkSession, folder: str, name_glob: str, max_files: int | None = None
 ) -> DataFrame:
@@ -29,9 +21,13 @@ def arriving_files(
     return reader.parquet(folder)
 
 
-def first_arrivals(docs: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Documents whose id did not occur within the watermark; `arrival` is their event time."""
-    return docs.withWatermark("arrival", delay).dropDuplicatesWithinWatermark(["doc_id"])
+def first_of_each(batch: DataFrame) -> DataFrame:
+    """Of the rows that share a `doc_id`, the one that arrived first (of equally early ones any).
+
+    Only the least row is kept while rows are merged, before and after the shuffle.
+    """
+    row = F.struct(*batch.columns)
+    return batch.groupBy("doc_id").agg(F.min_by(row, "arrival").alias("_row")).select("_row.*")
 
 
 def score_stream(
@@ -39,19 +35,37 @@ def score_stream(
     process: Callable[[DataFrame], DataFrame],
     failures: Callable[[DataFrame], DataFrame],
     path: str,
+    delay: str = "1 day",
 ) -> StreamingQuery:
-    """Processes what has arrived and stops; results and failures go to tables under `path`.
+    """Processes what has arrived and stops; every document once, however late it comes.
 
-    Each batch writes folders of its own number, so a batch that is run again after a failure
+    `docs` has doc_id, arrival and error. Under `path` go the tables `results` and `failures`; `seen`, with the
+    ids and times of all documents so far, which each batch is compared with; and `late`, the ids of documents
+    that came more than `delay` behind the latest one of earlier batches. Late documents are processed like
+    any other. Each batch writes folders of its own number, so a batch that is run again after a failure
     replaces what it had written and nothing is doubled.
     """
+    seen_schema = "doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", arrival timestamp, batch bigint"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()  # two tables are written from it
-        good = batch.filter(F.col("error").isNull())
-        process(good).write.mode("overwrite").parquet(f"{path}/results/batch={number}")
-        failures(batch).write.mode("overwrite").parquet(f"{path}/failures/batch={number}")
-        batch.unpersist()
+        spark = batch.sparkSession
+        empty = spark.createDataFrame([], seen_schema)
+        # The first batch has nothing to compare with; later ones leave out what a failed run of theirs wrote.
+        seen = spark.read.schema(seen_schema).parquet(f"{path}/seen") if number else empty
+        seen = seen.where(F.col("batch") < number)
+        fresh = first_of_each(batch).join(seen.select("doc_id"), "doc_id", "left_anti")
+        fresh = fresh.persist()  # four tables are written from it
+        latest = seen.agg(F.max("arrival")).first()[0]
+        late = fresh.where(F.col("arrival") < F.lit(latest).cast("timestamp") - F.expr(f"INTERVAL {delay}"))
+        tables = {
+            "results": process(fresh.filter(F.col("error").isNull())),
+            "failures": failures(fresh),
+            "late": late.select("doc_id", "arrival"),
+            "seen": fresh.select("doc_id", "arrival"),
+        }
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        fresh.unpersist()
 
     return (
         docs.writeStream.foreachBatch(write)

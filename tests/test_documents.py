@@ -11,8 +11,9 @@ from formwright.functions.scoring import (
     normalized_weights,
     structured_values,
 )
+from formwright.operators.entities import nest_entities
 from formwright.operators.text_assembly import assemble_text, text_lines, with_text
-from formwright.plans import catalog, corpus
+from formwright.plans import catalog
 
 
 def fields(*rows):
@@ -131,18 +132,34 @@ def executed(df):
 @pytest.mark.parametrize("name", ["confidence_summary", "document_report", "validate_documents", "best_values"])
 def test_documents_are_processed_without_a_shuffle(spark, sf_dir, name):
     plan = executed(catalog.QUERIES[name](spark, sf_dir))
-    # The only exchange spreads the keys of the small test file over the cores.
-    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 1
+    assert "Exchange" not in plan
     assert "Join" not in plan and "Window" not in plan and "Python" not in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in plan
 
 
-def test_matching_takes_one_shuffle_at_most(spark, sf_dir):
+def test_matching_stays_within_the_row(spark, sf_dir):
     plan = executed(catalog.QUERIES["entity_match"](spark, sf_dir))
-    assert "Join" not in plan
-    assert plan.count("Exchange hashpartitioning") - plan.count("REPARTITION_BY_NUM") <= 1
+    assert "Join" not in plan and "Exchange" not in plan
+    for name in ("ner_metrics", "ner_doc_match", "ner_per_type"):
+        plan = executed(catalog.QUERIES[name](spark, sf_dir))
+        assert "hashpartitioning(doc_id" not in plan and plan.count("FileScan") == 1
+    tables = executed(catalog.QUERIES["entity_match_tables"](spark, sf_dir))
+    assert "Join" not in tables and tables.count("Exchange hashpartitioning") == 1
+
+
+def test_text_without_lines_is_kept(spark):
+    df = spark.createDataFrame(
+        [(1, "own", None), (2, "own", [("a", 0.5), ("b", 0.7)]), (3, None, None), (4, "own", [])],
+        "doc_id int, text string, lines array<struct<text: string, confidence: double>>",
+    )
+    got = {r.doc_id: (r.text, r.ocr_confidence) for r in with_text(df).collect()}
+    assert got == {1: ("own", 0.8), 2: ("a b", pytest.approx(0.6)), 3: (None, 0.8), 4: ("", 0.0)}
 
 
-def test_spread_leaves_large_inputs_alone(spark):
-    df = spark.range(100).repartition(16)
-    assert corpus.spread(df, "id") is df
+def test_scores_that_are_not_numbers_are_no_matches(spark):
+    rows = [(1, "SSN", "x", float("nan"), 0, 1, 0), (1, "SSN", "x", 0.9, 2, 3, 1)]
+    table = spark.createDataFrame(
+        rows, "doc_id int, entity_group string, word string, score double, start int, end int, ord int"
+    )
+    nested = nest_entities(table).first().entities
+    assert [(e.word, e.score) for e in nested] == [("x", 0.9)]

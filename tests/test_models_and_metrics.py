@@ -1,5 +1,6 @@
 """Classifier, token spans, and evaluation measures."""
 
+import hashlib
 import math
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from formwright.functions.candidates import CANDIDATES
 from formwright.operators import evaluate as ev
 from formwright.operators import tokens as tok
-from formwright.operators.classify import KeywordClassifier, probability_map
+from formwright.operators.classify import SLOTS, KeywordClassifier, probability_map, type_name
 from formwright.sources.synthetic import create_synthetic_texts
 from formwright.vocabulary import BIO_TAGS, DOCUMENT_TYPES, FIELD_TYPES
 
@@ -24,22 +25,43 @@ TEXTS = [
 ]
 
 
-def test_row_lookup_equals_join(spark, model):
+def test_classes(spark, model):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
     for limit in (None, 3):
-        a, b = (
-            {
-                r.doc_id: (r.document_type, round(r.classification_confidence, 9))
-                for r in model.classify(docs, limit, in_row).collect()
-            }
-            for in_row in (True, False)
-        )
-        assert a == b and len(a) == len(TEXTS)
+        a = {
+            r.doc_id: (r.document_type, round(r.classification_confidence, 9))
+            for r in model.classify(docs, limit).collect()
+        }
+        assert len(a) == len(TEXTS)
         assert a[0][0] == "W-2" and a[1][0] == "1099-R" and a[3][0] == "Bank Statement"
         assert a[6] == ("Unknown", 0.0)
         assert a[4] == a[5] == ("W-2", 0.125)  # equal priors: the first class
 
 
+def test_rows_of_one_id_are_classified_apart(spark, model):
+    docs = spark.createDataFrame([(1, TEXTS[1]), (1, TEXTS[3])], "doc_id int, text string")
+    assert [r.document_type for r in model.classify(docs).collect()] == ["1099-R", "Bank Statement"]
+
+
+def slot(token):
+    return int(hashlib.md5(token.encode()).hexdigest()[:4], 16) % SLOTS
+
+
+def test_large_vocabularies_stay_in_the_row(spark):
+    """30,000 tokens in 16,384 slots: one lookup, no join, no exchange."""
+    samples = spark.range(3000).selectExpr(
+        "array_join(transform(sequence(1, 10), i -> concat('t', id * 10 + i)), ' ') AS text", "int(id % 8) AS label_id"
+    )
+    large = KeywordClassifier.fit(samples)
+    assert 10_000 < large.vocabulary_size <= SLOTS
+    docs = samples.selectExpr("1 AS doc_id", "text")
+    plan = large.classify(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "Broadcast" not in plan
+    got = large.classify(samples.selectExpr("label_id", "text")).filter("document_type <> 'Unknown'")
+    right = got.filter(F.col("document_type") == type_name(F.col("label_id"))).count()
+    assert right > 2700
+
+
 def test_probabilities_sum_to_one(spark, model):
     docs = spark.createDataFrame([(0, TEXTS[1])], "doc_id int, text string")
     got = model.with_probabilities(docs).select(probability_map(F.col("probabilities"))).first()[0]
@@ -50,11 +72,11 @@ def test_probabilities_sum_to_one(spark, model):
 def test_model_against_a_loop(spark):
     samples = [("a b b", 0), ("b c", 1), ("C, c!", 1)]
     small = KeywordClassifier.fit(spark.createDataFrame(samples, "text string, label_id int"))
-    got = {(r.token, r.label_id): r.weight for r in small.weight_rows().collect()}
+    got = {(r.slot, r.label_id): r.weight for r in small.weight_rows().collect()}
     assert len(got) == 3 * len(DOCUMENT_TYPES)
-    assert got["b", 0] == pytest.approx(math.log(3 / 6))
-    assert got["c", 1] == pytest.approx(math.log(4 / 7))
-    assert got["c", 0] == pytest.approx(math.log(1 / 6))
+    assert got[slot("b"), 0] == pytest.approx(math.log(3 / 6))
+    assert got[slot("c"), 1] == pytest.approx(math.log(4 / 7))
+    assert got[slot("c"), 0] == pytest.approx(math.log(1 / 6))
     assert small.priors[1] == pytest.approx(math.log(3 / 11))
 
 
@@ -63,6 +85,8 @@ def test_save_and_load(spark, model, tmp_path):
     loaded = KeywordClassifier.load(spark, str(tmp_path / "model"))
     assert loaded.info() == model.info()
     assert sorted(loaded.weight_rows().collect()) == sorted(model.weight_rows().collect())
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        loaded.save(str(tmp_path / "model"))
 
 
 def test_bio_spans(spark):
@@ -124,6 +148,22 @@ def test_entity_measures(spark):
     assert ev.true_positives(matches).count() == 2
 
 
+def test_matches_within_the_row_equal_those_of_tables(spark):
+    fields = "array<struct<field_name: string, value: string, start: int, end: int>>"
+    rows = [
+        (1, [("SSN", "a", 0, 1), ("SSN", "a", 0, 1), ("DATE", "b", None, None)], [("SSN", "a", 0, 1), ("DATE", "b", 0, 1)]),
+        (2, [("DATE", "b", 0, 1)], [("DATE", "b", 0, 2)]), (3, [], [("SSN", "c", 0, 1)]), (4, None, None), (5, [("EMAIL", "x", 3, 4)], None),
+    ]
+    docs = spark.createDataFrame(rows, f"doc_id int, ranked {fields}, true_entities {fields}")
+    by_table = ev.match_entities(ev.entity_rows(docs, "ranked"), ev.entity_rows(docs, "true_entities"))
+    found = ev.with_matches(docs)
+    in_row = ev.matched_rows(found).select(*by_table.columns)
+    assert sorted(in_row.collect()) == sorted(by_table.collect())
+    sizes = ev.match_sizes(found)
+    assert ev.ner_metrics_of_sizes(sizes).first() == ev.ner_metrics(by_table).first()
+    assert ev.ner_doc_match_of_sizes(sizes).first() == ev.ner_doc_match(docs.select("doc_id"), by_table).first()
+
+
 def test_missing_offsets_default(spark):
     df = spark.createDataFrame([(1, [(0, "SSN", "abc", 0.9, None, None, False)])], f"doc_id int, e {CANDIDATES}")
     assert ev.entity_rows(df, "e").first()[2:] == ("abc", 0, 3)
@@ -141,7 +181,7 @@ def test_run_metrics_and_business_value(spark):
     b = ev.business_value(metrics).first()
     assert b.business_value_score == pytest.approx((0.2 + 0.6 + 1.0 + 0.5) / 4)
     empty = ev.business_value(ev.run_metrics(df.limit(0))).first()
-    assert empty.confidence_score is None
+    assert empty.confidence_score is None and empty.business_value_score == 0.0
 
 
 def test_summary_status_bands(spark):

@@ -163,3 +163,42 @@ def test_result_sinks(spark, tmp_path):
     sinks.write_classification_details(details, str(tmp_path / "details"))
     read = spark.read.csv(str(tmp_path / "details"), header=True, escape='"').first()
     assert read.text == 'say "hi", ok'
+
+
+def test_split_of_large_int_ids_and_text_keys(spark):
+    ids = spark.range(40_000, 50_000).select(F.col("id").cast("int").alias("id"))
+    assert training.split(ids, "id").filter("is_train").count() == 8_000
+    names = ids.select(F.concat(F.lit("n"), F.col("id")).alias("name"))
+    assert training.split(names, "name").filter("is_train").count() == 8_000
+
+
+def test_line_delimited_training_sets(spark, tmp_path):
+    texts, tags = tmp_path / "t.json", tmp_path / "s.json"
+    texts.write_text('{"sample_id": 1, "text": "a", "label": 3}\n{"sample_id": 2, "text": "b"}\n')
+    got = training.read_labelled_lines(spark, str(texts))
+    assert [tuple(r) for r in got.collect()] == [(1, "a", "3"), (2, "b", None)]
+    assert training.label_violations(got).count() == 1
+    tags.write_text('{"seq_id": 1, "tokens": ["a"], "tags": ["O"]}\n')
+    assert training.read_sequence_lines(spark, str(tags)).first().tags == ["O"]
+    tags.write_text('{"seq_id": 1, "tokens": ["a"], "tags": []}\n')
+    with pytest.raises(Exception, match="same length"):
+        training.read_sequence_lines(spark, str(tags)).collect()
+
+
+def test_hooks_leave_other_columns_alone(spark):
+    rows = [(1, "a", 9007199254740993), (2, "b", None), (3, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, big bigint")
+    found = hooks.model_entities(docs, lambda: lambda text: [{"entity_group": "X", "word": text.upper(), "score": 1}])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInPandas" not in plan
+    got = {r.doc_id: (r.big, r.error is None) for r in found.collect()}
+    assert got == {1: (9007199254740993, True), 2: (None, True), 3: (5, False)}
+
+
+def test_provider_that_cannot_be_made_falls_back():
+    def broken(key):
+        raise RuntimeError(f"no service for {key}")
+
+    providers = {"remote": broken, "local": lambda: "reader"}
+    name, made, failed = hooks.make_first_provider(providers, ("remote", "local"), {"remote": "k"})
+    assert (name, made, failed) == ("local", "reader", {"remote": "no service for k"})

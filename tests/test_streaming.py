@@ -42,8 +42,7 @@ def test_files_arriving_over_several_batches(spark, tmp_path):
     engine = DocumentEngine(as_of="2026-01-01")
 
     def run():
-        arriving.use_disk_state(spark)
-        docs = arriving.first_arrivals(arriving.arriving_files(spark, folder, "*.parquet", 1))
+        docs = arriving.arriving_files(spark, folder, "*.parquet", 1)
         arriving.score_stream(docs, engine.process, hooks.failures, out).awaitTermination()
         results = spark.read.parquet(f"{out}/results").select("doc_id", "extracted_fields").collect()
         failed = spark.read.parquet(f"{out}/failures").collect()
@@ -56,6 +55,20 @@ def test_files_arriving_over_several_batches(spark, tmp_path):
     assert run() == ([1, 3], [2])
 
 
+def test_late_documents_are_processed_and_listed(spark, tmp_path):
+    """The first file is days ahead of the second; nothing of the second is lost."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for day, ids in (("2024-03-01", (1, 2)), ("2024-01-01", (3, 4, 2)), ("2024-03-02", (5,))):
+        rows = [(i, f"{day} 0{i}:00:00") for i in ids]
+        df = spark.createDataFrame(rows, "doc_id int, arrival string").withColumn("arrival", F.col("arrival").cast("timestamp"))
+        df.withColumns({"error": F.lit(None).cast("string"), "path": F.lit("p")}).coalesce(1).write.mode("append").parquet(folder)
+        arriving.score_stream(
+            arriving.arriving_files(spark, folder, "*.parquet", 1), lambda b: b.select("doc_id"), hooks.failures, out
+        ).awaitTermination()
+    assert sorted(r.doc_id for r in spark.read.parquet(f"{out}/results").collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r.doc_id for r in spark.read.parquet(f"{out}/late").collect()) == [3, 4]
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     folder = str(tmp_path / "runs")
 
