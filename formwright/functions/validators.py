@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formwright import vocabulary as v
@@ -18,28 +18,30 @@ def _score(value: float) -> Column:
     return F.lit(float(value))
 
 
+def _ssn_of(d: Column) -> Column:
+    return (
+        F.when(F.length(d) != 9, _score(0))
+        .when(d.rlike("^(000|666|9)"), _score(0))
+        .when((F.substring(d, 4, 2) == "00") | (F.substring(d, 6, 4) == "0000"), _score(0))
+        .when(d.rlike("012|123|234|345|456|567|678|789"), _score(0.2))
+        .when(d.rlike(r"(\d{2,4})\1"), _score(0.3))
+        .otherwise(_score(0.9))
+    )
+
+
 def ssn_score(value: Column) -> Column:
-    def rule(d: Column) -> Column:
-        return (
-            F.when(F.length(d) != 9, _score(0))
-            .when(d.rlike("^(000|666|9)"), _score(0))
-            .when((F.substring(d, 4, 2) == "00") | (F.substring(d, 6, 4) == "0000"), _score(0))
-            .when(d.rlike("012|123|234|345|456|567|678|789"), _score(0.2))
-            .when(d.rlike(r"(\d{2,4})\1"), _score(0.3))
-            .otherwise(_score(0.9))
-        )
+    return let(digits(value), _ssn_of)
 
-    return let(digits(value), rule)
+
+def _ein_of(d: Column) -> Column:
+    return (
+        F.when(F.length(d) != 9, _score(0)).when(d.rlike("^(0|99)"), _score(0.3)).otherwise(_score(0.8))
+    )
 
 
 def ein_score(value: Column) -> Column:
     """Prefixes 10 to 98 are valid."""
-    return let(
-        digits(value),
-        lambda d: F.when(F.length(d) != 9, _score(0))
-        .when(d.rlike("^(0|99)"), _score(0.3))
-        .otherwise(_score(0.8)),
-    )
+    return let(digits(value), _ein_of)
 
 
 _DIGITS = r"^\d+\.?\d*$"  # what most amounts are; the general form is tried after it
@@ -49,27 +51,30 @@ _WORD_NUMBER = r"(?i)^\s*[+-]?(inf|infinity|nan)\s*$"
 
 def amount_score(value: Column) -> Column:
     """`$`, `,` and one leading `-` are dropped before the number is read."""
-    bare = F.translate(value, "$,", "")
-    plain = let(bare, lambda b: F.when(b.startswith("-"), F.substr(b, F.lit(2))).otherwise(b))
+    plain = let(F.translate(value, "$,", ""), _unsigned)
+    return let(plain, lambda text: let(_number_of(text), lambda n: _amount_of(text, n)))
 
-    def rule(text: Column) -> Column:
-        number = F.when(text.rlike(_DIGITS), text.try_cast("double")).when(
-            text.rlike(_PLAIN_NUMBER) | text.rlike(_WORD_NUMBER),
-            strip(F.translate(text, "_", "")).try_cast("double"),
-        )
-        return let(number, lambda n: graded(text, n))
 
-    def graded(text: Column, n: Column) -> Column:
-        decimals = F.when(text.contains("."), F.length(F.substring_index(text, ".", -1)))
-        return (
-            F.when(n.isNull(), _score(0.1))
-            .when(~F.isnan(n) & (n < 0), _score(0.3))
-            .when(~F.isnan(n) & (n > 10_000_000), _score(0.2))
-            .when(decimals > 2, _score(0.4))
-            .otherwise(_score(0.9))
-        )
+def _unsigned(bare: Column) -> Column:
+    return F.when(bare.startswith("-"), F.substr(bare, F.lit(2))).otherwise(bare)
 
-    return let(plain, rule)
+
+def _number_of(text: Column) -> Column:
+    return F.when(text.rlike(_DIGITS), text.try_cast("double")).when(
+        text.rlike(_PLAIN_NUMBER) | text.rlike(_WORD_NUMBER),
+        strip(F.translate(text, "_", "")).try_cast("double"),
+    )
+
+
+def _amount_of(text: Column, n: Column) -> Column:
+    decimals = F.when(text.contains("."), F.length(F.substring_index(text, ".", -1)))
+    return (
+        F.when(n.isNull(), _score(0.1))
+        .when(~F.isnan(n) & (n < 0), _score(0.3))
+        .when(~F.isnan(n) & (n > 10_000_000), _score(0.2))
+        .when(decimals > 2, _score(0.4))
+        .otherwise(_score(0.9))
+    )
 
 
 _DAY = r"(3[01]|[12]\d|0[1-9]| ?[1-9])"
@@ -87,8 +92,7 @@ def parsed_date(value: Column) -> Column:
 
     Formats: month/day/year and month-day-year, year-month-day (four- or two-digit year),
     `Month day, year` and `day Month year` with full or three-letter month names. Two-digit years
-    from 69 on are in the 1900s. No text is a valid date in two of the formats, so their order does
-    not matter.
+    from 69 on are in the 1900s. A text that fits two formats, as `01-02-03`, is read by the first of them.
     """
 
     def full_year(y: Column) -> Column:
@@ -114,22 +118,28 @@ def parsed_date(value: Column) -> Column:
 
 def date_score(value: Column, as_of: Column | None = None) -> Column:
     """`as_of` stands for today, so that results can be reproduced."""
+    return let(parsed_date(value), lambda d: _date_of(d, as_of))
+
+
+def _date_of(d: Column, as_of: Column | None) -> Column:
     today = F.current_date() if as_of is None else as_of
-    return let(
-        parsed_date(value),
-        lambda d: F.when(d.isNull(), _score(0))
+    return (
+        F.when(d.isNull(), _score(0))
         .when((F.year(d) < 1900) | (F.year(d) > F.year(today) + 1), _score(0.2))
         .when(d > today, _score(0.6))
-        .otherwise(_score(0.9)),
+        .otherwise(_score(0.9))
     )
 
 
 def phone_score(value: Column) -> Column:
-    return let(
-        digits(value),
-        lambda d: F.when(F.length(d) == 10, _score(0.9))
+    return let(digits(value), _phone_of)
+
+
+def _phone_of(d: Column) -> Column:
+    return (
+        F.when(F.length(d) == 10, _score(0.9))
         .when((F.length(d) == 11) & d.startswith("1"), _score(0.8))
-        .otherwise(_score(0.2)),
+        .otherwise(_score(0.2))
     )
 
 
@@ -149,11 +159,14 @@ def routing_checksum_ok(nine_digits: Column) -> Column:
 
 
 def routing_score(value: Column) -> Column:
-    return let(
-        digits(value),
-        lambda d: F.when(F.length(d) != 9, _score(0.1))
+    return let(digits(value), _routing_of)
+
+
+def _routing_of(d: Column) -> Column:
+    return (
+        F.when(F.length(d) != 9, _score(0.1))
         .when(routing_checksum_ok(d), _score(0.9))
-        .otherwise(_score(0.6)),
+        .otherwise(_score(0.6))
     )
 
 
@@ -214,3 +227,42 @@ def field_score(
         return F.coalesce(score, _score(0.5))
 
     return let(strip(value), dispatch)
+
+
+def with_field_score(
+    rows: DataFrame, field_name: str, value: str, score: str = "score", as_of: Column | None = None
+) -> DataFrame:
+    """Adds the score of each row's value under the default rule of its field.
+
+    The same scores as `field_score`, for rows: what a rule looks at several times is a column of its own
+    and not a variable inside an expression, so all of it is compiled.
+    """
+    names = [f"_{score}_{part}" for part in ("text", "digits", "bare", "plain", "number", "date")]
+    text, number_digits, bare, plain, number, date = names
+    name = F.col(field_name)
+    by_digits = {
+        "SSN": _ssn_of, "EMPLOYER_EIN": _ein_of, "PHONE_NUMBER": _phone_of, "ROUTING_NUMBER": _routing_of,
+    }
+    stripped = rows.withColumn(text, strip(F.col(value)))
+    amounts = name.isin(*v.AMOUNT_FIELDS)
+    parts = stripped.withColumns(
+        {
+            number_digits: F.when(name.isin(*by_digits), digits(F.col(text))),
+            bare: F.when(amounts, F.translate(F.col(text), "$,", "")),
+            date: F.when(name == "DATE", parsed_date(F.col(text))),
+        }
+    )
+    parts = parts.withColumn(plain, _unsigned(F.col(bare)))
+    parts = parts.withColumn(number, _number_of(F.col(plain)))
+    found = F.when(F.coalesce(F.col(text), F.lit("")) == "", _score(0))
+    found = found.when(amounts, _amount_of(F.col(plain), F.col(number)))
+    for field, rule in by_digits.items():
+        found = found.when(name == field, rule(F.col(number_digits)))
+    found = (
+        found.when(name == "DATE", _date_of(F.col(date), as_of))
+        .when(name == "EMAIL", email_score(F.col(text)))
+        .when(name == "ACCOUNT_NUMBER", account_score(F.col(text)))
+        .when(name.isin("EMPLOYER_NAME", "EMPLOYEE_NAME"), name_score(F.col(text)))
+        .when(name == "ADDRESS", address_score(F.col(text)))
+    )
+    return parts.withColumn(score, F.coalesce(found, _score(0.5))).drop(*names)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from formwright.functions import candidates as cand
 from formwright.functions.arrays import rows_of
 from formwright.functions.scoring import confidence_summary as confidence_summary_of
-from formwright.functions.validators import default_validators, field_score
+from formwright.functions.validators import with_field_score
 from formwright.operators import classify as cls
 from formwright.operators import entities as ent
 from formwright.operators import evaluate as ev
@@ -243,6 +244,42 @@ def extract_amounts_prose(spark, sf_dir):
     return rows.select("doc_id", "arrival", "value", "start", "end")
 
 
+def _all_patterns(docs: DataFrame) -> DataFrame:
+    builders = (cand.ssn_candidates, cand.amount_candidates, cand.date_candidates, cand.ein_candidates)
+    rows = [ent.candidate_rows(docs, build(F.col("text"))) for build in builders]
+    columns = ("doc_id", "arrival", "field_name", "value", "confidence", "start", "end")
+    return reduce(DataFrame.unionByName, [r.select(*columns) for r in rows])
+
+
+@query
+def extract_texts(spark, sf_dir):
+    """All patterns over the whole texts of three tables."""
+
+    def texts(name: str, key: Column, text: str) -> DataFrame:
+        return c.table(spark, sf_dir, name).select(key.alias("doc_id"), F.col(text).alias("text"))
+
+    turn = F.concat_ws("-", F.lit("c"), "conv_id", "turn")
+    return _all_patterns(
+        texts("documents", F.concat_ws("-", F.lit("d"), "doc_id"), "text")
+        .unionByName(texts("conversations", turn, "text"))
+        .unionByName(texts("pages", F.concat_ws("-", F.lit("p"), "page_id"), "html"))
+    )
+
+
+@query
+def extract_varied(spark, sf_dir):
+    """All patterns over texts in which each of their forms occurs, and over NULL and empty ones."""
+    return _all_patterns(c.varied_documents(spark, sf_dir))
+
+
+@query
+def rank_entities_varied(spark, sf_dir):
+    extracted = ENGINE.extract(c.with_entities(c.varied_documents(spark, sf_dir)))
+    return rows_of(extracted, "ranked", "doc_id").select(
+        "doc_id", "field_name", "field_rank", "value", "confidence", "start", "end"
+    )
+
+
 @query
 def all_candidates(spark, sf_dir):
     docs = c.with_entities(c.documents(spark, sf_dir))
@@ -294,8 +331,7 @@ def _validated(spark, sf_dir, *fields: str, as_of: str = AS_OF) -> DataFrame:
     rows = c.field_values(c.documents(spark, sf_dir))
     if fields:
         rows = rows.filter(F.col("field_name").isin(*fields))
-    rules = default_validators(F.lit(as_of).cast("date"))
-    return rows.withColumn("score", field_score(F.col("field_name"), F.col("value"), rules))
+    return with_field_score(rows, "field_name", "value", as_of=F.lit(as_of).cast("date"))
 
 
 @query
@@ -460,6 +496,20 @@ def validate_documents(spark, sf_dir):
     )
 
 
+@query
+def validate_documents_poor(spark, sf_dir):
+    """Poor scans: documents below and above the least mean confidence."""
+    docs = c.runs(spark, sf_dir).withColumn("ocr_confidence", F.col("pred_confidence"))
+    poor = DocumentEngine(classifier(spark, sf_dir), weights=REVIEW_WEIGHTS, as_of=AS_OF)
+    return poor.validate(docs).select(
+        "doc_id",
+        "is_valid",
+        F.array_join("issues", "; ").alias("issues"),
+        F.array_join("warnings", "; ").alias("warnings"),
+        r9("confidence_score"),
+    )
+
+
 @query
 def review_queue(spark, sf_dir):
     """Poor scans: the mean confidence is mostly that of the OCR."""

@@ -8,15 +8,24 @@ from __future__ import annotations
 
 from formwright.plans import catalog
 from formwright.sources.synthetic import EXAMPLE_TEXTS, EXAMPLE_TOKENS
-from formwright.vocabulary import (
-    AMOUNT_PATTERNS,
-    BIO_TAGS,
-    CLASSIFIER_TOKEN_LIMIT,
-    DATE_PATTERNS,
-    DOCUMENT_TYPES,
-    EIN_PATTERNS,
-    FIELD_TYPES,
-    SSN_PATTERNS,
+
+# Fixed values, written out apart from those of the package, so that a wrong one there shows.
+DOCUMENT_TYPES = ("W-2", "1099-R", "1099-MISC", "1099-DIV", "Receipt", "Bank Statement", "1040", "Schedule A")
+FIELD_TYPES = (
+    "SSN", "EMPLOYER_NAME", "WAGE_AMOUNT", "TAX_WITHHELD", "ADDRESS", "DATE", "EMPLOYER_EIN", "EMPLOYEE_NAME",
+    "FEDERAL_TAX", "STATE_TAX", "SOCIAL_SECURITY_TAX", "MEDICARE_TAX", "ACCOUNT_NUMBER", "ROUTING_NUMBER",
+    "PHONE_NUMBER", "EMAIL",
+)
+BIO_TAGS = ("O", *(f"{mark}-{name}" for name in FIELD_TYPES for mark in "BI"))
+CLASSIFIER_TOKEN_LIMIT = 512
+SSN_PATTERNS = (r"\b\d{3}-?\d{2}-?\d{4}\b",)
+EIN_PATTERNS = (r"\b\d{2}-?\d{7}\b",)
+AMOUNT_PATTERNS = (r"\$[\d,]+\.?\d*", r"\b\d{1,3}(?:,\d{3})*\.?\d*\b")
+DATE_PATTERNS = (
+    r"\b\d{1,2}/\d{1,2}/\d{4}\b",
+    r"\b\d{1,2}-\d{1,2}-\d{4}\b",
+    r"\b\d{4}-\d{1,2}-\d{1,2}\b",
+    r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2},? \d{4}\b",
 )
 
 SQL: dict[str, str] = {}
@@ -452,6 +461,23 @@ sql("extract_ein", DOCS + " cands", EXTRACTED, cands=hits("docs", EIN))
 sql("extract_amounts_prose", "cands", """
 SELECT doc_id, arrival, value, start_ AS start, end_ AS "end" FROM cands""",
     cands=hits("documents", AMOUNT))
+VARIED = CTE["docs"].replace("\ndocs AS (", "\nplain_docs AS (") + """,
+docs AS (SELECT * REPLACE (CASE doc_id % 12 WHEN 0 THEN NULL WHEN 1 THEN ''
+  WHEN 2 THEN 'Zoë Ñandú ' || text || ' – 漢字 DECEMBER 5, 2023 été'
+  WHEN 3 THEN replace(text, day, strftime(od, '%m-%d-%Y')) WHEN 4 THEN replace(text, day, strftime(od, '%Y-%m-%d'))
+  WHEN 5 THEN replace(text, day, strftime(od, '%b %-d, %Y')) WHEN 6 THEN lower(replace(text, day, strftime(od, '%B %-d %Y')))
+  WHEN 7 THEN replace(text, ein, replace(ein, '-', '')) WHEN 8 THEN replace(text, wages, '$12,345,678.00')
+  WHEN 9 THEN replace(replace(text, ssn, replace(ssn, '-', '')), 'Name:', 'Employer: Acme & Søn Name:')
+  ELSE text END AS text) FROM plain_docs)"""
+sql("extract_varied", DOCS + " cands", EXTRACTED, docs=VARIED)
+sql("rank_entities_varied", RANKED, """
+SELECT doc_id, field_name, field_rank, value, confidence, start_ AS start, end_ AS "end" FROM ranked""",
+    docs=VARIED)
+sql("extract_texts", "cands", EXTRACTED, cands="""
+texts AS (SELECT 'd-' || doc_id AS doc_id, text FROM documents
+  UNION ALL SELECT 'c-' || conv_id || '-' || turn, text FROM conversations
+  UNION ALL SELECT 'p-' || page_id, html FROM pages),
+""" + hits("texts", SSN, AMOUNT, DATE, EIN))
 sql("all_candidates", "types fieldtypes docs ents cands", """
 SELECT doc_id, field_name, from_pattern, count(*) AS n, count(DISTINCT value) AS n_values,
   sum(start_)::BIGINT AS sum_start
@@ -570,6 +596,9 @@ SELECT r.doc_id, mean >= 0.5::DOUBLE AS is_valid,
 FROM runs r JOIN summaries USING (doc_id) JOIN classified USING (doc_id)
 LEFT JOIN (SELECT doc_id, string_agg(field_name, ', ' ORDER BY o) AS names FROM missing
   GROUP BY doc_id) USING (doc_id)""")
+sql("validate_documents_poor", SCORED.replace("pages ocr ", "").replace(" scored", " runs scored") + " missing "
+    + " ".join(NB), SQL["validate_documents"][SQL["validate_documents"].rindex("SELECT r.doc_id"):],
+    scored=scored("(SELECT doc_id, pred_confidence FROM runs)", (0.6, 0.1, 0.3), "pred_confidence"))
 sql("review_queue", "types fieldtypes docs ents cands ranked runs scored", f"""
 SELECT doc_id, round(mean, 9) AS average_confidence, n::INT AS total_results FROM summaries
 WHERE mean < 0.5::DOUBLE ORDER BY round(mean, 9), doc_id LIMIT {catalog.REVIEW_K}""",

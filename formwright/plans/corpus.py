@@ -86,6 +86,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_document(orders(spark, sf_dir))
 
 
+def varied_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with NULL and empty texts, letters outside ASCII, and all forms of dates and numbers."""
+
+    def dated(pattern: str) -> str:
+        return f"replace(text, _date, date_format(o_orderdate, '{pattern}'))"
+
+    text = f"""CASE doc_id % 12 WHEN 0 THEN NULL WHEN 1 THEN ''
+        WHEN 2 THEN concat('Zoë Ñandú ', text, ' – 漢字 DECEMBER 5, 2023 été')
+        WHEN 3 THEN {dated('MM-dd-yyyy')} WHEN 4 THEN {dated('yyyy-MM-dd')} WHEN 5 THEN {dated('MMM d, yyyy')}
+        WHEN 6 THEN lower({dated('MMMM d yyyy')}) WHEN 7 THEN replace(text, _ein, replace(_ein, '-', ''))
+        WHEN 8 THEN replace(text, _wages, '$12,345,678.00')
+        WHEN 9 THEN replace(replace(text, _ssn, replace(_ssn, '-', '')), 'Name:', 'Employer: Acme & Søn Name:')
+        ELSE text END"""
+    return documents(spark, sf_dir).withColumn("text", F.expr(text))
+
+
 def raw_pages(docs: DataFrame) -> DataFrame:
     """Adds `raw`: the text as a page with line breaks and a blank line."""
     page = r"replace(replace(text, ' SSN:', '\n\n SSN:'), ' Wages:', '\nWages:')"

@@ -74,3 +74,15 @@ def test_own_rules_replace_and_extend(spark, name, expected):
     }
     df = spark.createDataFrame([("518-52-8063",)], "value string")
     assert df.select(field_score(F.lit(name), F.col("value"), rules)).first()[0] == expected
+
+
+def test_row_scores_equal_expression_scores(spark, sf_dir):
+    from formwright.functions.validators import default_validators, field_score, with_field_score
+    from formwright.plans import corpus
+
+    rows = corpus.field_values(corpus.documents(spark, sf_dir))
+    as_of = F.lit("2026-01-01").cast("date")
+    both = with_field_score(rows, "field_name", "value", as_of=as_of).withColumn(
+        "other", field_score(F.col("field_name"), F.col("value"), default_validators(as_of))
+    )
+    assert both.filter("NOT score <=> other").count() == 0 and both.count() > 1000
