@@ -20,7 +20,7 @@ from formwright.operators import tokens as tok
 from formwright.plans import corpus as c
 from formwright.plans.documents import DocumentEngine
 from formwright.session import new_path
-from formwright.sources import hooks, manifest, synthetic, training
+from formwright.sources import hooks, manifest, sinks, synthetic, training
 from formwright.streaming import arriving
 from formwright.vocabulary import CLASSIFIER_TOKEN_LIMIT
 
@@ -121,6 +121,38 @@ def nested_entities(spark, sf_dir):
     )
 
 
+@query
+def training_lines(spark, sf_dir):
+    """Training texts written as line-delimited JSON and read in parallel, checked."""
+    path = new_path(spark, "training-lines")
+    samples = synthetic.synthetic_texts(c.orders(spark, sf_dir), "o_orderkey")
+    samples.select("sample_id", "text", F.col("label_id").cast("string").alias("label")).write.json(path)
+    return training.checked_labels(training.read_labelled_lines(spark, path))
+
+
+@query
+def sequence_lines(spark, sf_dir):
+    """Token sequences and their tags, written as line-delimited JSON and read in parallel."""
+    path = new_path(spark, "sequence-lines")
+    sequences = synthetic.synthetic_sequences(c.orders(spark, sf_dir), "o_orderkey")
+    sequences.select("seq_id", "tokens", "tags").write.json(path)
+    return tok.token_rows(training.read_sequence_lines(spark, path), tag=F.col("tags"))
+
+
+@query
+def json_results(spark, sf_dir):
+    """Results written as JSON by document type and read back."""
+    path = new_path(spark, "json-results")
+    sinks.write_results(engine(spark, sf_dir).process(c.runs(spark, sf_dir)), path)
+    back = spark.read.json(path)
+    return back.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.col("document_type").cast("string").alias("document_type"),
+        F.size("extracted_fields").alias("n_fields"),
+        F.round("confidence_summary.average_confidence", 9).alias("average_confidence"),
+    )
+
+
 def _digits_model():
     """A stand-in for a field model: finds the first run of digits, and fails on texts of some customers."""
     import re
@@ -535,6 +567,16 @@ def classify(spark, sf_dir):
     )
 
 
+@query
+def classify_saved(spark, sf_dir):
+    """A model that was written, saved elsewhere and loaded again."""
+    path = new_path(spark, "saved-model")
+    classifier(spark, sf_dir).save(path)
+    return cls.KeywordClassifier.load(spark, path).classify(c.documents(spark, sf_dir)).select(
+        "doc_id", "document_type", r6("classification_confidence")
+    )
+
+
 @query
 def class_probabilities(spark, sf_dir):
     docs = classifier(spark, sf_dir).with_probabilities(c.documents(spark, sf_dir))

@@ -430,6 +430,7 @@ WHERE problem IS NOT NULL GROUP BY problem""")
 sql("synthetic_docs", "samples", "SELECT sample_id, label_id, text FROM samples")
 sql("synthetic_tokens", "sequences",
     "SELECT seq_id, pos, token, coalesce(tag, 'O') AS tag FROM token_rows")
+SQL["sequence_lines"] = SQL["synthetic_tokens"]
 sql("quarantine", DOCS + " runs", """
 SELECT doc_id, path, error, od::TIMESTAMP AS ts, 'failed' AS status FROM runs WHERE error IS NOT NULL""")
 sql("missing_inputs", "", """
@@ -614,6 +615,7 @@ CLASSIFIED = """
 SELECT doc_id, document_type, round(classification_confidence, 6) AS classification_confidence
 FROM classified"""
 sql("classify", "types docs samples weights classified", CLASSIFIED)
+SQL["classify_saved"] = SQL["classify"]
 sql("class_probabilities", "types docs samples weights classified",
     "SELECT doc_id, doc_type AS document_type, round(p, 6) AS p FROM probs")
 sql("classify_prose", "types samples weights classified", CLASSIFIED,
@@ -765,6 +767,10 @@ sql("stream_scores", SCORED + " runs " + " ".join(NB), """
 SELECT doc_id, document_type, n::INT AS total_results, round(mean, 9) AS average_confidence
 FROM runs JOIN summaries USING (doc_id) JOIN classified USING (doc_id) WHERE error IS NULL""")
 SQL["stream_scores_files"] = SQL["stream_scores"]
+sql("json_results", SCORED + " runs " + " ".join(NB), """
+SELECT doc_id, document_type, n::INT AS n_fields, round(mean, 9) AS average_confidence
+FROM runs JOIN summaries USING (doc_id) JOIN classified USING (doc_id)""")
+sql("training_lines", "samples", "SELECT sample_id, text, label_id::INT AS label_id FROM samples")
 sql("stream_metrics", DOCS + " runs", """
 SELECT w AS window_start, w + INTERVAL 30 DAY AS window_end, count(*) AS total_documents,
   round(avg(seconds), 6) AS average_time, round(stddev_pop(seconds), 6) AS time_std,
