@@ -9,7 +9,6 @@ from formwright.functions.arrays import let, total
 from formwright.functions.text import strip
 from formwright.vocabulary import TEXT_LINE_CONFIDENCE, TEXT_ONLY_CONFIDENCE
 
-LINE_FIELDS = "line_no int, text string, confidence double, bbox array<array<double>>"
 LINES = (
     "array<struct<line_no:int,text:string,confidence:double,bbox:array<array<double>>>>"
 )

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from formwright.functions.arrays import let, rows_of
 from formwright.vocabulary import BIO_TAGS, IGNORED_LABEL
 
-SPANS = "array<struct<field_name:string,value:string,score:double,start:int,end:int>>"
 
 
 def tag_id(tag: Column) -> Column:

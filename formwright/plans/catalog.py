@@ -54,15 +54,19 @@ def r9(name: str) -> Column:
 ENGINE = DocumentEngine(as_of=AS_OF)
 CUSTOM_ENGINE = DocumentEngine(weights=CUSTOM_WEIGHTS, as_of=AS_OF)
 REVIEW_ENGINE = DocumentEngine(weights=REVIEW_WEIGHTS, as_of=AS_OF)
-_TRAINED: dict[tuple[str, str], DocumentEngine] = {}
+_TRAINED: dict[tuple, DocumentEngine] = {}
 
 
 def engine(spark: SparkSession, sf_dir: str) -> DocumentEngine:
     """An engine with the model trained on the synthetic texts of the orders.
 
-    It is trained once per application and folder.
+    It is trained once per application for a state of the table's files.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    files = c.table(spark, sf_dir, "orders").select(
+        "_metadata.file_path", "_metadata.file_size", F.unix_micros("_metadata.file_modification_time")
+    )
+    state = files.agg(F.count("*"), F.expr("bit_xor(xxhash64(*))"), F.expr("sum(crc32(file_path))")).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
     if key not in _TRAINED:
         samples = synthetic.synthetic_texts(c.orders(spark, sf_dir), "o_orderkey")
         _TRAINED[key] = DocumentEngine(cls.KeywordClassifier.fit(samples), as_of=AS_OF)
@@ -198,6 +202,16 @@ def quarantine(spark, sf_dir):
     )
 
 
+@query
+def path_list(spark, sf_dir):
+    """Paths written as a list with blanks around them and empty lines between, read back."""
+    path = new_path(spark, "path-list")
+    k = F.col("o_orderkey")
+    line = F.when(k % 4 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" \tscans/"), k.cast("string"), F.lit(".png ")))
+    c.table(spark, sf_dir, "orders").select(line.alias("value")).write.text(path)
+    return manifest.read_path_list(spark, path)
+
+
 @query
 def missing_inputs(spark, sf_dir):
     """Orders stand for the manifest, line items for the files that were found."""

@@ -433,6 +433,8 @@ sql("synthetic_tokens", "sequences",
 SQL["sequence_lines"] = SQL["synthetic_tokens"]
 sql("quarantine", DOCS + " runs", """
 SELECT doc_id, path, error, od::TIMESTAMP AS ts, 'failed' AS status FROM runs WHERE error IS NOT NULL""")
+sql("path_list", "", """
+SELECT 'scans/' || o_orderkey || '.png' AS path FROM orders WHERE o_orderkey % 4 <> 0""")
 sql("missing_inputs", "", """
 SELECT 'docs/' || o_orderkey || '.jpg' AS path,
   'Image file not found: docs/' || o_orderkey || '.jpg' AS error, 'failed' AS status

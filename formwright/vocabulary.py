@@ -1,10 +1,9 @@
-"""Closed vocabularies, patterns and constants shared by every module.
-
-Fixed values: everything in this module has to hold exactly these values for results to be right.
-"""
+"""Closed vocabularies, patterns and constants shared by every module."""
 
 from __future__ import annotations
 
+# Fixed values, down to the name pattern: results are right only with exactly these.
+
 # The position in the tuple is the class id.
 DOCUMENT_TYPES = (
     "W-2",
@@ -60,7 +59,7 @@ GROUP_TO_FIELD = {
     "EMAIL": "EMAIL",
 }
 
-# (field, confidence, ignore case, patterns in the order they are tried)
+# Patterns of a field, in the order they are tried.
 SSN_PATTERNS = (r"\b\d{3}-?\d{2}-?\d{4}\b",)
 AMOUNT_PATTERNS = (r"\$[\d,]+\.?\d*", r"\b\d{1,3}(?:,\d{3})*\.?\d*\b")
 DATE_PATTERNS = (
@@ -76,6 +75,7 @@ PATTERN_CONFIDENCE = {"SSN": 0.9, "WAGE_AMOUNT": 0.8, "DATE": 0.8, "EMPLOYER_EIN
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 NAME_PATTERN = r"^[A-Za-z\s\.,'-]+$"
 
+# English month names.
 MONTHS = (
     "January",
     "February",
@@ -91,6 +91,7 @@ MONTHS = (
     "December",
 )
 
+# Fixed values as well.
 DEFAULT_WEIGHTS = {"ocr": 0.3, "ner": 0.4, "validation": 0.3}
 
 # What `str.strip()` removes.
