@@ -16,6 +16,10 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
+# Arrow's own allocators keep what a batch of long texts took; the system's gives it back. Workers import this
+# module with the first function they run, before they read a batch.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Rows of an Arrow batch that are held as Python objects at once.
 ROWS_AT_A_TIME = 512
 

@@ -10,9 +10,11 @@ lookup. As pooling passes on one position a chunk and filter, training updates o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -197,13 +199,14 @@ def scores(docs: DataFrame, net: Network, keep: list[str], text: str = "text") -
 
 
 def accepted(docs: DataFrame, net: Network, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` whose text scores at least `threshold`, in one pass and without a shuffle."""
-    from pyspark.sql.functions import pandas_udf
+    """The rows of `docs` whose text scores at least `threshold`, in one pass and without a shuffle.
 
+    Null and empty texts score as in `scores`; repeated rows stay or go together; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    @pandas_udf("double")
-    def score(texts):
-        return texts.map(shared.value.score).astype(float)
+    def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in series:
+            yield pd.Series([shared.value.score(t) for t in texts], dtype=float)
 
-    return docs.where(score(text_bytes(text)) >= threshold)
+    return docs.where(F.pandas_udf(score, "double")(text_bytes(text)) >= threshold)
