@@ -16,7 +16,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +50,7 @@ class Tokenizer:
     """
 
     def __init__(self, json_path: str, ranks_path: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer as Slow
-
-        self._slow = Slow.from_file(json_path)
+        self._json_path = json_path
         self._fast = None
         if ranks_path and pattern:
             import base64
@@ -65,6 +63,13 @@ class Tokenizer:
                 "packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
             )
 
+    @cached_property
+    def _slow(self):
+        """Loaded only where a text needs it: a worker keeps what it has loaded."""
+        from tokenizers import Tokenizer as Slow
+
+        return Slow.from_file(self._json_path)
+
     def ids(self, text: str) -> np.ndarray:
         parts = [self._part(part) for part in cut_at_spaces(text)]
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
