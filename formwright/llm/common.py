@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,10 +17,6 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
-# Arrow's own allocators keep what a batch of long texts took; the system's gives it back. Workers import this
-# module with the first function they run, before they read a batch.
-pa.set_memory_pool(pa.system_memory_pool())
-
 #: Rows of an Arrow batch that are held as Python objects at once.
 ROWS_AT_A_TIME = 512
 
@@ -67,11 +64,29 @@ def map_rows(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]],
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
                 yield from as_batches(rows(batch.slice(start, ROWS_AT_A_TIME).to_pydict()), target)
+            give_back()
 
     target = arrow_schema(df.sparkSession, schema)
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are reused, and would keep what their largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def _trim_function():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return None
+
+
+_TRIM = _trim_function()
+
+
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formwright.llm.common import arrow_schema, as_batches
+from formwright.llm.common import arrow_schema, as_batches, give_back
 
 CAPACITY = 2048
 END_ID = 1
@@ -234,6 +234,7 @@ def pack(
                 if len(rows) >= 20_000:
                     yield from _batch(rows, schema)
                     rows = []
+            give_back()
         rows.extend(packer.close())
         yield from _batch(rows, schema)
 

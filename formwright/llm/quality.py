@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formwright.llm.common import labelled_sample, map_rows, text_bytes
+from formwright.llm.common import give_back, labelled_sample, map_rows, text_bytes
 
 FILTERS = 16
 WIDTH = 5
@@ -208,5 +208,6 @@ def accepted(docs: DataFrame, net: Network, text: str = "text", threshold: float
     def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in series:
             yield pd.Series([shared.value.score(t) for t in texts], dtype=float)
+            give_back()
 
     return docs.where(F.pandas_udf(score, "double")(text_bytes(text)) >= threshold)

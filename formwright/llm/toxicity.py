@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formwright.llm.common import arrow_schema, as_batches, labelled_sample, map_rows, text_bytes, written
+from formwright.llm.common import arrow_schema, as_batches, give_back, labelled_sample, map_rows, text_bytes, written
 
 #: The model is fitted on so many labelled documents at most; a quarter of them calibrates it.
 TRAIN_ROWS = 12_000
@@ -296,6 +296,8 @@ def scores(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -
             if batch.num_rows:
                 x = np.array([features(t, codes) for t in columns.pop("text")])
                 yield from as_batches({**columns, "score": shared.value.scores(x)}, target)
+            del columns
+            give_back()
 
     schema = ", ".join(f"{c} long" for c in keep) + ", score double"
     target = arrow_schema(docs.sparkSession, schema)
