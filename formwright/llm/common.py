@@ -224,6 +224,12 @@ def in_bitmap(bitmap_bytes: np.ndarray, values: np.ndarray, bits: int) -> np.nda
     return (bitmap_bytes[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1 == 1
 
 
+def hot_and_cold(keyed: DataFrame, count: str, share: int = 500) -> tuple[DataFrame, DataFrame]:
+    """The rows whose `count` is more than one in `share` of all counted, at most `share` rows, and the others."""
+    total = keyed.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    return keyed.where(F.col(count) > total // share), keyed.where(F.col(count) <= total // share)
+
+
 def join_counted(
     rows: DataFrame, keyed: DataFrame, key: list[str], count: str, how: str = "left", share: int = 500
 ) -> DataFrame:
@@ -233,9 +239,8 @@ def join_counted(
     broadcast: there can be no more than `share` of them. The others are joined by shuffle, where none is
     large. Both inputs are read twice; give written tables.
     """
-    total = keyed.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
-    hot = F.broadcast(keyed.where(F.col(count) > total // share))
-    cold = keyed.where(F.col(count) <= total // share)
+    hot, cold = hot_and_cold(keyed, count, share)
+    hot = F.broadcast(hot)
     if how == "left_semi":
         hot, cold = F.broadcast(hot.select(*key)), cold.select(*key)
     rest = rows.join(hot.select(*key), key, "left_anti").join(cold, key, how)

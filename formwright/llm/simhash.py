@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from formwright.llm.common import (
     UPPER_TO_LOWER,
     fresh,
+    hot_and_cold,
     join_counted,
     map_rows,
     row_key,
@@ -176,19 +177,25 @@ def one_of_each(
 ) -> DataFrame:
     """One row of each component, in the columns of `docs`: of the smallest id, of that id the first text by hash.
 
-    Rows without an id stay only if their whole component has none; repeated rows count as one document.
+    Rows without an id stay only if their whole component has none; repeated rows count as one document. Those
+    repeated very often are merged where they lie, before any shuffle.
     """
     prints, found = _grouped(docs, doc_id, text, shingle, budget)
     kept = (
         join_counted(prints, found, ["fp"], "n")
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("root", "k1", "k2")
+        .agg(F.count("*").alias("n"))
         .groupBy("root")
-        .agg(F.min(F.struct("k1", "k2")).alias("row"))
+        .agg(F.min(F.struct("k1", "k2", "n")).alias("row"))
         .select("row.*")
     )
-    kept = written(kept, "kept")
+    hot, cold = hot_and_cold(written(kept, "kept"), "n")
     k1, k2 = fresh(docs, "k1"), fresh(docs, "k2")
     first, second = row_key(doc_id, text)
     rows = docs.withColumns({k1: first, k2: second})
-    named = kept.select(F.col("k1").alias(k1), F.col("k2").alias(k2))
-    return rows.join(named, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*docs.columns)
+    often, seldom = (part.select(F.col("k1").alias(k1), F.col("k2").alias(k2)) for part in (hot, cold))
+    often = F.broadcast(often)
+    merged = rows.join(often, [k1, k2], "left_semi").dropDuplicates([k1, k2])
+    others = rows.join(often, [k1, k2], "left_anti").join(seldom, [k1, k2], "left_semi").dropDuplicates([k1, k2])
+    return merged.unionByName(others).select(*docs.columns)

@@ -56,6 +56,13 @@ def test_simhash(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.one_of_each(none).count() == 0
 
 
+def test_rows_repeated_very_often_stay_once(spark):
+    often = spark.range(3000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("one text many times over").alias("text"))
+    twice = spark.range(1200).select((F.col("id") % 600 + 10).alias("doc_id"), F.sha2((F.col("id") % 600).cast("string"), 256).alias("text"))
+    got = [r.doc_id for r in simhash.one_of_each(often.unionByName(twice)).collect()]
+    assert sorted(got) == [5, *range(10, 610)]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (150, 200)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
