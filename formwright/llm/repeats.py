@@ -100,7 +100,7 @@ def _windows(docs: DataFrame, width: int) -> DataFrame:
     return map_rows(docs, rows, "k1 long, k2 long, s int, w1 long, w2 long")
 
 
-def _may_have(keys: DataFrame):
+def may_have(keys: DataFrame):
     """A test on (k1, k2): false only for documents that are not in `keys`; of a fixed size."""
     shared = keys.sparkSession.sparkContext.broadcast(bitmap(keys, F.xxhash64("k1", "k2"), BITS))
 
@@ -132,7 +132,7 @@ def repeated_intervals(
     mixed = written(kinds.groupBy("v").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed-anchors")
     samples = written(join_counted(kinds, mixed, ["v"], "kinds", "left_semi").select("one.*", "c"), "mixed-runs")
     wanted = samples.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "n")).alias("runs"))
-    may = _may_have(samples)
+    may = may_have(samples)
     windows = written(
         _windows(source.where(may(F.xxhash64("k1", "k2"))).join(wanted, ["k1", "k2"]), width), "mixed-windows"
     )
@@ -181,7 +181,7 @@ def with_intervals(
     first, second = row_key(doc_id, text)
     keyed = docs.withColumns({k1: first, k2: second})
     named = found.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("intervals").alias(name))
-    may = _may_have(found)(F.xxhash64(k1, k2))
+    may = may_have(found)(F.xxhash64(k1, k2))
     none = F.expr("cast(array() AS array<struct<first: int, end: int>>)")
     columns = [*docs.columns, name]
     hit = keyed.where(may).join(named, [k1, k2], "left")
@@ -217,5 +217,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             [b" ".join(kept_words(t.encode(), i)[1]).decode() for t, i in zip(texts, intervals)], dtype=object
         )
 
-    changed = F.when(F.size(name) > 0, shorter(F.col(text), F.col(name))).otherwise(F.col(text))
+    # The function sees every row, null texts too, whatever the condition around it.
+    body = F.coalesce(F.col(text), F.lit(""))
+    changed = F.when(F.size(name) > 0, shorter(body, F.col(name))).otherwise(F.col(text))
     return found.withColumn(text, changed).select(*docs.columns)

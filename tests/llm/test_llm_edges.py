@@ -92,6 +92,13 @@ def test_repeats(odd, none):
     assert repeats.with_intervals(none).count() == 0
 
 
+def test_null_texts_behind_a_full_filter(odd, monkeypatch):
+    monkeypatch.setattr(repeats, "BITS", 6)
+    monkeypatch.setattr(repeats, "in_bitmap", lambda bits, values, n: values == values)
+    rows = repeats.without_repeats(odd.repartition(1)).where("doc_id = 3").collect()
+    assert [r.text for r in rows] == [None]
+
+
 def test_decontamination(odd, none, benchmark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(odd, benchmark).collect()} == {(6, 1), (7, 1)}
     kept = decontaminate.without_leaks(odd, benchmark)
