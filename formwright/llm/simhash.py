@@ -144,6 +144,11 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, budget: int)
         prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes"
     )
     pairs = written(links(classes.select("fp"), budget), "links")
+    return prints, grouped(classes, pairs)
+
+
+def grouped(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(fp, n, component_id, root, n_links): the written classes (fp, first, n), grouped by their written links."""
     degrees = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     roots = components(pairs).select(F.col("node").alias("fp"), "root")
     smallest = classes.join(roots, "fp").groupBy("root").agg(F.min("first").alias("smallest"))
@@ -155,7 +160,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, budget: int)
         F.coalesce("root", "fp").alias("root"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
-    return prints, written(found, "components")
+    return written(found, "components")
 
 
 def near_duplicates(
@@ -180,7 +185,11 @@ def one_of_each(
     Rows without an id stay only if their whole component has none; repeated rows count as one document. Those
     repeated very often are merged where they lie, before any shuffle.
     """
-    prints, found = _grouped(docs, doc_id, text, shingle, budget)
+    return first_of_each(docs, *_grouped(docs, doc_id, text, shingle, budget), doc_id, text)
+
+
+def first_of_each(docs: DataFrame, prints: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """What `one_of_each` keeps, by the rows' prints (k1, k2, doc_id, fp) and their components."""
     kept = (
         join_counted(prints, found, ["fp"], "n")
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
