@@ -11,6 +11,7 @@ partitions. Groups too small to estimate are pooled by language, then all togeth
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,9 +35,20 @@ STEPS = 4
 LEAST_GROUP = 150
 #: The median of the chi-squared distribution with four degrees of freedom.
 CHI2_MEDIAN = 3.3567
-#: The squared distance from which a document is rejected. Far beyond a normal tail (18.5 is passed by one in
-#: a thousand): statistics of short texts have long tails.
-LIMIT = 80.0
+#: The part of a normal group that is rejected.
+TAIL = 1e-6
+
+
+def chi2_limit(tail: float) -> float:
+    """The value that a chi-squared distribution with four degrees of freedom exceeds with probability `tail`."""
+    x = 1.0
+    for _ in range(200):  # the tail is exp(-x / 2) * (1 + x / 2)
+        x = 2 * (math.log1p(x / 2) - math.log(tail))
+    return x
+
+
+#: The squared distance from which a document is rejected, about 33.4.
+LIMIT = chi2_limit(TAIL)
 #: Histogram cells per unit of a statistic, and per power of two of a squared distance.
 CELLS = 64
 DISTANCE_CELLS = 32

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables, and columns with clashing names."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +126,12 @@ def test_outliers(odd, none):
     assert outliers.judge(none).count() == 0
 
 
+def test_outlier_limit_is_a_quantile():
+    half = outliers.LIMIT / 2
+    assert math.isclose(math.exp(-half) * (1 + half), 1e-6)
+    assert math.isclose(outliers.chi2_limit(0.5), outliers.CHI2_MEDIAN, rel_tol=1e-4)
+
+
 def test_models(spark, odd, none):
     labels = spark.createDataFrame(
         [(1, 1, 0), (2, 0, 1), (2, 1, 1), (3, 1, 0), (6, 0, 1), (7, None, None), (8, 5, 5), (None, 1, 1)],
