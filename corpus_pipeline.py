@@ -2,6 +2,10 @@
 
 Each stage reads what the one before it kept, written as Parquet, and all but the last return the columns of
 documents. `run` writes the stages' tables to the shared folder.
+
+Null and empty texts are scored, grouped and packed like any other; rows without an id are documents of their own
+unless their text is that of another one; repeated rows count as one document from the second stage on. An empty
+table stays empty through all stages. Columns beyond those of documents are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formwright.llm import decontaminate, packing, quality, repeats, similar
+from formwright.llm import decontaminate, packing, quality, repeats, simhash
 from formwright.llm.common import table, written
 from formwright.llm.queries import quality_model
 
@@ -20,8 +24,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: similar by at least 0.8 in their five-word shingles."""
-    return similar.one_of_each(docs)
+    """One document of each group of near duplicates, by the SimHash operator with its own shingles and bits."""
+    return simhash.one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

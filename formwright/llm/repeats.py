@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from formwright.functions.arrays import let
 from formwright.llm.common import (
     U64,
+    WORD,
     RollingHash,
     bitmap,
     fresh,
@@ -202,22 +204,25 @@ def kept_words(data: bytes, intervals: list[dict[str, int]]) -> tuple[int, list[
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WINDOW) -> DataFrame:
-    """`docs` with the repeated words removed from their texts; texts without any stay as they are.
+    """`docs` with the repeated words removed from their texts; texts without any stay as they are, null ones too.
 
-    What is kept of a text is joined by single blanks, and is empty if nothing is kept.
+    What is kept of a text is joined by single blanks, and is empty if nothing is kept. The words are cut out by
+    functions of Spark, one text at a time and only of texts that lose some, so no batch of texts is held.
+    An empty table stays empty.
     """
     name = fresh(docs, "intervals")
     found = with_intervals(docs, doc_id, text, width, name)
-
-    @pandas_udf("string")
-    def shorter(texts, intervals):
-        import pandas as pd
-
-        return pd.Series(
-            [b" ".join(kept_words(t.encode(), i)[1]).decode() for t, i in zip(texts, intervals)], dtype=object
+    words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1))
+    firsts = F.transform(name, lambda p: p["first"])
+    ends = F.transform(name, lambda p: p["end"])
+
+    def kept(words):
+        gaps = F.zip_with(
+            F.array_prepend(ends, F.lit(0)),
+            F.array_append(firsts, F.size(words)),
+            lambda start, end: F.slice(words, start + 1, end - start),
         )
+        return F.array_join(F.flatten(gaps), " ")
 
-    # The function sees every row, null texts too, whatever the condition around it.
-    body = F.coalesce(F.col(text), F.lit(""))
-    changed = F.when(F.size(name) > 0, shorter(body, F.col(name))).otherwise(F.col(text))
+    changed = F.when(F.size(name) > 0, let(words, kept)).otherwise(F.col(text))
     return found.withColumn(text, changed).select(*docs.columns)
