@@ -104,3 +104,102 @@ SELECT doc_id, len(words)::BIGINT AS n_words, len(words) - coalesce(n, 0) AS n_r
     sha256(coalesce(body, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (r)
 """
+
+#: CRC-32 of a short ASCII text, bit by bit: `{text}` stands for it.
+CRC32 = r"""xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({text}, ''),
+    lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"""
+
+
+def _field(name: str, value: str | None = None) -> str:
+    text = f"({value or name})::VARCHAR"
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE strlen({text}) || ':' || {text} END"
+
+
+def _tree(leaves: str, name: str, levels: int = 40) -> str:
+    """Steps of every leaf (g, i, d, n) to its group's top, as recursive SQL: `name`(g, lvl, i, d, n)."""
+    return f"""{name} AS (
+    SELECT g, 0 AS lvl, i, d, n FROM {leaves}
+    UNION ALL
+    SELECT g, lvl + 1, i // 2, sha256(d || coalesce(after, '')), (n + 1) // 2
+    FROM (SELECT *, lead(d) OVER (PARTITION BY g, lvl ORDER BY i) AS after FROM {name} WHERE n > 1 AND lvl < {levels})
+    WHERE i % 2 = 0
+)"""
+
+
+SQL["op13_merkle"] = f"""
+WITH RECURSIVE base AS (
+    SELECT doc_id, lang, {CRC32.format(text="doc_id::VARCHAR")} % 7 = 0 AS tampered,
+        {" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))} AS body,
+        {" || ".join([*(_field(c) for c in ("doc_id", "source", "lang")), _field("n_chars", "n_chars + 1"), _field("text")])} AS other
+    FROM documents
+), digests AS (
+    SELECT doc_id, CASE WHEN lang IS NULL THEN 'n' ELSE 'v' || lang END AS g, sha256(body) AS leaf,
+        sha256(CASE WHEN tampered THEN other ELSE body END) AS changed FROM base
+), leaves AS (
+    SELECT *, leaf AS d, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+        count(*) OVER (PARTITION BY g) AS n
+    FROM digests
+), {_tree("leaves", "low")}, subroots AS (
+    SELECT g AS lang_key, d AS subroot, '' AS g, d, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n
+    FROM low WHERE n = 1
+), {_tree("subroots", "high")}, walk AS (
+    SELECT l.g, l.i AS leaf_i, 0 AS lvl, l.i AS spot, l.n, l.changed AS fold, '' AS proof FROM leaves l
+    UNION ALL
+    SELECT w.g, leaf_i, w.lvl + 1, spot // 2, (w.n + 1) // 2,
+        sha256(CASE WHEN spot % 2 = 1 THEN s.d || fold ELSE fold || coalesce(s.d, '') END), proof || coalesce(s.d, '')
+    FROM walk w LEFT JOIN low s ON s.g = w.g AND s.lvl = w.lvl AND s.i = xor(w.spot, 1) WHERE w.n > 1
+), climb AS (
+    SELECT w.g, leaf_i, 0 AS lvl, s.i AS spot, s.n, fold, proof FROM walk w JOIN subroots s ON s.lang_key = w.g WHERE w.n = 1
+    UNION ALL
+    SELECT c.g, leaf_i, c.lvl + 1, spot // 2, (c.n + 1) // 2,
+        sha256(CASE WHEN spot % 2 = 1 THEN s.d || fold ELSE fold || coalesce(s.d, '') END), proof || coalesce(s.d, '')
+    FROM climb c LEFT JOIN high s ON s.lvl = c.lvl AND s.i = xor(c.spot, 1) WHERE c.n > 1
+)
+SELECT doc_id, leaf, subroot, top.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = top.d AS verified
+FROM leaves l JOIN climb c ON c.g = l.g AND c.leaf_i = l.i AND c.n = 1
+JOIN subroots s ON s.lang_key = l.g, (SELECT d FROM high WHERE n = 1) top
+"""
+
+SQL["op11_trie"] = f"""
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id
+            ORDER BY turn NULLS FIRST, md5(coalesce(role, '') || chr(0) || coalesce(text, ''))) AS j
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS base, {CRC32.format(text="conv_id::VARCHAR")} % 9 AS h
+    FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+    SELECT c.conv_id, 0 AS part, j, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND j <= h
+    UNION ALL
+    SELECT c.conv_id, 1, j, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND j > h
+), placed AS (
+    SELECT conv_id, text, strlen(text) AS bytes, row_number() OVER w AS depth,
+        list(sha256(strlen(role) || ':' || role || text)) OVER (w ROWS UNBOUNDED PRECEDING) AS hashes
+    FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, j)
+), prefixes AS (
+    SELECT conv_id, depth, bytes, sha256(array_to_string(hashes, '')) AS id,
+        CASE WHEN depth = 1 THEN '' ELSE sha256(array_to_string(hashes[:-2], '')) END AS parent,
+        depth = max(depth) OVER (PARTITION BY conv_id) AS ends
+    FROM placed
+    UNION ALL
+    SELECT conv_id, 0, 0, '', NULL, NOT EXISTS (SELECT 1 FROM placed p WHERE p.conv_id = c.conv_id) FROM convs c
+), nodes AS (
+    SELECT id, any_value(parent) AS parent, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM prefixes GROUP BY id, depth
+), kids AS (
+    SELECT parent, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), owned AS (
+    -- Each node once, by its least member, whose prefixes are the node and what is above it.
+    SELECT n.conv_id, n.depth, (n_convs - 1) * bytes AS saved, (k.n IS NULL)::BIGINT AS leaf
+    FROM nodes n LEFT JOIN kids k ON k.parent = n.id
+), sums AS (
+    SELECT p.id, sum(o.saved)::BIGINT AS saved_tokens, sum(o.leaf)::BIGINT AS n_leaves
+    FROM prefixes p JOIN owned o ON o.conv_id = p.conv_id AND o.depth >= p.depth GROUP BY p.id
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, n_leaves,
+    saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums USING (id) LEFT JOIN kids k ON k.parent = n.id LEFT JOIN nodes up ON up.id = n.parent
+"""

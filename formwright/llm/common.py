@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formwright.session import new_path
@@ -57,13 +57,15 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]
     )
 
 
-def map_rows(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
+def map_rows(
+    df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: str, at_a_time: int = ROWS_AT_A_TIME
+) -> DataFrame:
     """Applies a function from columns to columns, a few hundred rows at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
-                yield from as_batches(rows(batch.slice(start, ROWS_AT_A_TIME).to_pydict()), target)
+            for start in range(0, batch.num_rows, at_a_time):
+                yield from as_batches(rows(batch.slice(start, at_a_time).to_pydict()), target)
             give_back()
 
     target = arrow_schema(df.sparkSession, schema)
@@ -247,6 +249,35 @@ def join_counted(
     return rows.join(hot, key, "inner" if how == "left" else how).unionByName(rest)
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str, total: str | None = None) -> DataFrame:
+    """`df` with each row's place in its group, from 0, by `order` (null first), and the size of its group.
+
+    All rows are dealt into sorted ranges of (group, order), so a group with most of the rows lies in many of them.
+    What is joined back is one row for each group in each range. Rows that are equal in all of `order` are numbered
+    as they lie; give columns that tell them apart. Give a written table: ranges are found by a scan of their own.
+    """
+    r, part = fresh(df, "r"), fresh(df, "part")
+    keys = [F.col(c) for c in (*group, *order)]
+    sorted_rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(r, F.monotonically_increasing_id())
+    placed = written(sorted_rows.withColumn(part, F.shiftright(r, 33)), "placed")
+    spans = placed.groupBy(*group, part).agg(F.min(r).alias("first"), F.count("*").alias("n"))
+    whole = Window.partitionBy(*group)
+    before = F.sum("n").over(whole.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    named = spans.select(
+        *[F.col(c).alias(f"of_{c}") for c in group],
+        F.col(part).alias("of_part"),
+        (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"),
+        F.sum("n").over(whole).alias("size"),
+    )
+    same = F.col(part) == F.col("of_part")
+    for c in group:
+        same &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    found = placed.join(named, same).withColumn(name, F.col(r) + F.col("shift"))
+    if total:
+        found = found.withColumn(total, F.col("size"))
+    return found.select(*df.columns, name, *([total] if total else []))
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from formwright.llm import (
     decontaminate,
     language,
+    merkle,
     outliers,
     packing,
     quality,
@@ -18,6 +19,7 @@ from formwright.llm import (
     revisits,
     simhash,
     toxicity,
+    trie,
     url_filters,
 )
 from formwright.llm.common import map_rows, table, text_bytes
@@ -169,3 +171,19 @@ def op10_repeats(spark, sf_dir):
 
     source = found.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("text"), "intervals")
     return map_rows(source, rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+@query
+def op11_trie(spark, sf_dir):
+    """The trie of conversations that begin with the first turns of every fifth one."""
+    turns = trie.turns_of(table(spark, sf_dir, "conversations"))
+    checksum = F.crc32(F.col("conv_id").cast("string").cast("binary"))
+    rows, convs = trie.rebuilt(turns, F.col("conv_id") - F.col("conv_id") % 5, F.pmod(checksum, F.lit(9)), most=8)
+    return trie.trie(rows, convs)
+
+
+@query
+def op13_merkle(spark, sf_dir):
+    """Proofs of all documents; where 7 divides the id's checksum, the number of characters was tampered with."""
+    tampered = F.when(id_fold(7) == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle.proofs(table(spark, sf_dir, "documents"), changed={"n_chars": tampered})
