@@ -203,3 +203,30 @@ SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_co
     saved_tokens, n.ends_sha256
 FROM nodes n JOIN sums USING (id) LEFT JOIN kids k ON k.parent = n.id LEFT JOIN nodes up ON up.id = n.parent
 """
+
+SQL["op12_suffixes"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+    SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS body
+    FROM (SELECT r, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE doc_id IS NOT NULL)
+), gone AS (
+    SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY body) AS m FROM windows) WHERE m < doc_id
+), marked AS (
+    SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM gone
+), numbered AS (
+    SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS span FROM marked
+), spans AS (
+    SELECT r, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY r, span
+), gaps AS (
+    SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS lo, a AS hi FROM spans
+    UNION ALL
+    SELECT r, coalesce(max(b), 0), max(length(h)) // 2 FROM d LEFT JOIN spans USING (r) GROUP BY r
+), kept AS (
+    SELECT r, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS body, count(*) - 1 AS n
+    FROM gaps JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, (length(h) - length(body)) // 2 AS n_removed, n AS n_spans,
+    sha256(unhex(body)) AS kept_sha256
+FROM d JOIN kept USING (r)
+"""

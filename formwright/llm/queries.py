@@ -18,6 +18,7 @@ from formwright.llm import (
     repeats,
     revisits,
     simhash,
+    suffixes,
     toxicity,
     trie,
     url_filters,
@@ -182,6 +183,25 @@ def op11_trie(spark, sf_dir):
     return trie.trie(rows, convs)
 
 
+@query
+def op12_suffixes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffixes.with_earlier(docs, name="intervals")
+
+    def rows(columns):
+        out = {"doc_id": columns["doc_id"], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+        for text, intervals in zip(columns["text"], columns["intervals"]):
+            kept = suffixes.kept_bytes(text, intervals)
+            out["n_bytes"].append(len(text))
+            out["n_removed"].append(len(text) - len(kept))
+            out["n_spans"].append(len(intervals))
+            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+        return out
+
+    source = found.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("text"), "intervals")
+    return map_rows(source, rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
 @query
 def op13_merkle(spark, sf_dir):
     """Proofs of all documents; where 7 divides the id's checksum, the number of characters was tampered with."""

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from formwright.llm import induced
+from formwright.llm import induced, suffixes
 
 
 def plain_order(text, cap):
@@ -47,3 +47,85 @@ def test_suffix_order_and_common_prefixes(limit, cap, monkeypatch):
         assert sorted(place) == list(range(len(text) - 1))
         assert [text[i : i + cap] for i in place] == [text[i : i + cap] for i in order]
         assert prefix == expected
+
+
+SCHEMA = "doc_id long, text string, k1 string, k2 int, intervals int, v long"
+
+
+def plain_intervals(rows, width):
+    first = {}
+    for doc, text in rows:
+        data = (text or "").encode()
+        if doc is not None:
+            for i in range(len(data) - width + 1):
+                w = data[i : i + width]
+                first[w] = min(first.get(w, doc), doc)
+    out = []
+    for doc, text in rows:
+        data = (text or "").encode()
+        gone = [False] * len(data)
+        if doc is not None:
+            for i in range(len(data) - width + 1):
+                if first[data[i : i + width]] < doc:
+                    gone[i : i + width] = [True] * width
+        edges = np.flatnonzero(np.diff([False, *gone, False])).tolist()
+        out.append((doc, text, list(zip(edges[::2], edges[1::2]))))
+    return sorted(map(repr, out))
+
+
+def documents():
+    rng = np.random.default_rng(6)
+    words = ["tax", "wages", "été", "漢字", "form", "the", "a", "withheld", "12", "x"]
+
+    def prose(n):
+        return " ".join(rng.choice(words, n))
+
+    passage, copy = prose(40), prose(120)
+    rows = [(k, f"{prose(15)} {passage} {prose(15)}") for k in range(40)]
+    rows += [(100 + k, copy) for k in range(20)] + [(200 + k, copy[: 30 * k] + "#" + copy[30 * k :]) for k in range(12)]
+    rows += [(300, None), (301, ""), (302, "short"), (None, copy), (None, copy), (100, copy), (7, prose(60)), (7, passage)]
+    rows += [(400, "x" * 3000), (401, "x" * 200), (402, "x" * 49), (403, "x" * 50), (404, prose(9000)), (-5, passage)]
+    return rows
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 22, 2000])
+def test_intervals_against_plain_search(spark, monkeypatch, shard_bytes):
+    rows = documents()
+    df = spark.createDataFrame([(*r, "k", 1, 2, 3) for r in rows], SCHEMA)
+    monkeypatch.setattr(suffixes, "PIECE", 700)
+    found = suffixes.with_earlier(df, shard_bytes=shard_bytes)
+    assert found.columns == [*df.columns, "_intervals"]
+    got = sorted(repr((r.doc_id, r.text, [(p["first"], p["end"]) for p in r["_intervals"]])) for r in found.collect())
+    assert got == plain_intervals(rows, suffixes.WIDTH)
+
+
+@pytest.mark.parametrize("limit", [induced.IN_MEMORY, 200, 20])
+def test_shards_larger_than_memory(limit):
+    rng = np.random.default_rng(1)
+    bodies = [bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in rng.integers(8, 40, 60)]
+    bodies += bodies[:20] + [b"ab" * 20]
+    docs = rng.integers(0, 30, len(bodies))
+    lengths = np.array([len(b) for b in bodies])
+    blocks = suffixes.earlier_in_shard(np.frombuffer(b"".join(bodies), np.uint8), lengths, docs, docs, 8, limit)
+    got = {(int(run), i): int(m) for block in blocks for run, first, end, m in zip(*block) for i in range(first, end)}
+    first = {}
+    for body, doc in zip(bodies, docs.tolist()):
+        for i in range(len(body) - 7):
+            first[body[i : i + 8]] = min(first.get(body[i : i + 8], doc), doc)
+    expected = {
+        (k, i): first[body[i : i + 8]]
+        for k, body in enumerate(bodies) for i in range(len(body) - 7) if first[body[i : i + 8]] < docs[k]
+    }
+    assert got == expected
+
+
+def test_no_documents(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert suffixes.with_earlier(none).count() == 0
+    lone = spark.createDataFrame([(1, None, "k", 1, 2, 3), (None, "y" * 200, "k", 1, 2, 3)], SCHEMA)
+    assert [r["_intervals"] for r in suffixes.with_earlier(lone).collect()] == [[], []]
+
+
+def test_kept_bytes():
+    assert suffixes.kept_bytes(b"0123456789", [{"first": 0, "end": 2}, {"first": 5, "end": 9}]) == b"2349"
+    assert suffixes.kept_bytes(b"", []) == b""
