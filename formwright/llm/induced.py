@@ -178,12 +178,28 @@ def common_prefixes(text: np.ndarray, first: np.ndarray, second: np.ndarray, cap
     """How many symbols, up to `cap`, the suffixes at `first` and `second` have in common, pair by pair."""
     out = np.zeros(len(first), np.int16)
     rest = np.arange(len(first))
-    for k in range(cap):
-        a, b = first[rest] + k, second[rest] + k
-        inside = (a < len(text)) & (b < len(text))
+    step = 1
+    if text.dtype == np.uint16 and len(text) > 3:
+        # Four symbols at a time, as long as there are four.
+        step = 4
+        packed = text[:-3].astype(U64)
+        for k in (1, 2, 3):
+            packed |= text[k : len(text) - 3 + k].astype(U64) << U64(16 * k)
+        for k in range(0, cap - 3, 4):
+            a, b = first[rest] + k, second[rest] + k
+            inside = np.maximum(a, b) < len(packed)
+            same = np.zeros(len(rest), bool)
+            same[inside] = packed[a[inside]] == packed[b[inside]]
+            rest = rest[same]
+            out[rest] += 4
+            if not len(rest):
+                break
+        rest = np.arange(len(first))
+    for _ in range(cap if step == 1 else 4):
+        a, b = first[rest] + out[rest], second[rest] + out[rest]
+        inside = (a < len(text)) & (b < len(text)) & (out[rest] < cap)
         rest, a, b = rest[inside], a[inside], b[inside]
-        same = text[a] == text[b]
-        rest = rest[same]
+        rest = rest[text[a] == text[b]]
         out[rest] += 1
         if not len(rest):
             break
@@ -289,18 +305,20 @@ def _names(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, limit: int) ->
     return names, int(names.max()) + 1
 
 
-def _doubled(names: np.ndarray, cap: int) -> np.ndarray:
-    """The order of the names' suffixes, by at least `cap` names."""
-    rank, reach = names, 1
+def _doubled(names: np.ndarray, reach_wanted: int) -> np.ndarray:
+    """The order of the names' suffixes, by at least so many names."""
+    n, rank, reach = len(names), names, 1
     while True:
-        following = np.append(rank[reach:], np.full(min(reach, len(rank)), -1))[: len(rank)]
-        order = np.lexsort((following, rank))
-        a, b = rank[order], following[order]
-        new = np.empty(len(rank), np.int64)
-        new[order] = np.cumsum(np.append(False, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        following = np.zeros(n, np.int64)
+        following[: max(n - reach, 0)] = rank[reach:] + 1
+        pair = rank * (n + 1) + following
+        order = np.argsort(pair)
+        pair = pair[order]
+        new = np.empty(n, np.int64)
+        new[order] = np.cumsum(np.append(False, pair[1:] != pair[:-1]))
         rank, reach = new, 2 * reach
-        if reach >= cap or rank.max() == len(rank) - 1:
-            return np.argsort(rank, kind="stable")
+        if reach >= reach_wanted or rank[order[-1]] == n - 1:
+            return order
 
 
 def sorted_suffixes(text: np.ndarray, cap: int, limit: int = IN_MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -319,7 +337,7 @@ def sorted_suffixes(text: np.ndarray, cap: int, limit: int = IN_MEMORY) -> Itera
     if many == len(names):
         order = np.argsort(names)
     elif len(names) <= limit:
-        order = _doubled(names, cap)
+        order = _doubled(names, (cap + 1) // 2)  # a name stands for two symbols at least
     else:
         order = np.concatenate([[len(names) - 1], *(place for place, _ in sorted_suffixes(names, cap, limit))])
     ranked = seeds[order]

@@ -54,11 +54,11 @@ BITS = 26
 #: Bytes of a shard, on average.
 SHARD_BYTES = 1 << 22
 #: Bytes of texts that are hashed at once; longer texts are cut into overlapping pieces.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Symbols of a shard's text: the end of all, the end of a run, and bytes from 2 on.
 END_OF_ALL, END_OF_RUN, FIRST_BYTE = 0, 1, 2
 
-HASHES = RollingHash(61), RollingHash(83)
+HASH = RollingHash(61)
 
 
 # ---- runs ---------------------------------------------------------------------------------------
@@ -119,22 +119,28 @@ def _joined(parts, width):
 
 
 def anchors(source: DataFrame, width: int, gram: int) -> DataFrame:
-    """(v): the anchor's hash of each run."""
+    """(v): the hashes of each text's anchors, once a text (and piece of a very long one)."""
 
     def rows(columns):
-        found = [anchors_of(raw, usable, width, gram)[3] for raw, usable, _, _ in batches_of(columns["text"], width)]
+        found = []
+        for raw, usable, number, _ in batches_of(columns["text"], width):
+            first, _, _, v = anchors_of(raw, usable, width, gram)
+            owner = number[np.searchsorted(usable, first)]
+            order = np.lexsort((v, owner))
+            owner, v = owner[order], v[order]
+            found.append(v[(np.diff(owner, prepend=-1) != 0) | (v != np.roll(v, 1))])
         return {"v": signed(np.concatenate(found)) if found else []}
 
     return map_rows(source.select("text"), rows, "v long")
 
 
 def runs(source: DataFrame, again: bytes, bits: int, width: int, gram: int) -> DataFrame:
-    """(k1, k2, v, r1, r2, a, n) of the runs whose anchor may occur again: hashes of the run, first window, number of windows."""
+    """(k1, k2, v, r, a, n) of the runs whose anchor may occur again: hashes of anchor and run, first window, number of windows."""
     shared = source.sparkSession.sparkContext.broadcast(again)
 
     def rows(columns):
         known = np.frombuffer(shared.value, np.uint8)
-        out = {name: [] for name in ("k1", "k2", "v", "r1", "r2", "a", "n")}
+        out = {name: [] for name in ("k1", "k2", "v", "r", "a", "n")}
         keys = [np.array(columns[k], np.int64) for k in ("k1", "k2")]
         for raw, usable, number, place in batches_of(columns["text"], width):
             first, n, at, v = anchors_of(raw, usable, width, gram)
@@ -144,8 +150,8 @@ def runs(source: DataFrame, again: bytes, bits: int, width: int, gram: int) -> D
             first, n, at, v = first[keep], n[keep], at[keep], v[keep]
             with np.errstate(over="ignore"):
                 where = (at - first).astype(U64)
-                for name, h in zip(("r1", "r2"), HASHES):
-                    out[name].append(signed(mix(h.ranges(h.prefix(h.bytes[raw]), first, first + n + width - 1) + where)))
+                hashed = HASH.ranges(HASH.prefix(HASH.bytes[raw]), first, first + n + width - 1)
+                out["r"].append(signed(mix(hashed + where)))
             row = np.searchsorted(usable, first)
             for name, key in zip(("k1", "k2"), keys):
                 out[name].append(key[number[row]])
@@ -154,7 +160,7 @@ def runs(source: DataFrame, again: bytes, bits: int, width: int, gram: int) -> D
             out["n"].append(n)
         return {name: np.concatenate(parts) if parts else [] for name, parts in out.items()}
 
-    return map_rows(source, rows, "k1 long, k2 long, v long, r1 long, r2 long, a int, n int")
+    return map_rows(source, rows, "k1 long, k2 long, v long, r long, a int, n int")
 
 
 # ---- shards -------------------------------------------------------------------------------------
@@ -214,8 +220,8 @@ def _spots(starts: np.ndarray, lengths: np.ndarray, some: np.ndarray) -> tuple[n
     return starts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts), owner
 
 
-RUN = ["r1", "r2", "m", "g", "c"]
-STRETCHES = "r1 long, r2 long, c long, first int, end int, m long"
+RUN = ["v", "r", "m", "g", "c"]
+STRETCHES = "v long, r long, c long, first int, end int, m long"
 
 
 class _Shard:
@@ -240,13 +246,13 @@ class _Shard:
         else:
             bodies = np.frombuffer(self.file.read(), np.uint8)
         for run, first, end, m in earlier_in_shard(bodies, of["length"], of["m"], of["g"], width):
-            found = {name: of[name][run] for name in ("r1", "r2", "c")} | {"first": first, "end": end, "m": m}
+            found = {name: of[name][run] for name in ("v", "r", "c")} | {"first": first, "end": end, "m": m}
             yield from as_batches(found, target)
         self.file.close()
 
 
 def stretches(bodies: DataFrame, width: int) -> DataFrame:
-    """(r1, r2, c, first, end, m) of runs (shard, r1, r2, m, g, c, body): what each shard's suffix array tells."""
+    """(v, r, c, first, end, m) of runs (shard, v, r, m, g, c, body): what each shard's suffix array tells."""
     target = arrow_schema(bodies.sparkSession, STRETCHES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,20 +286,9 @@ def earlier_intervals(
     source = docs.where(F.col(doc_id).isNotNull()).select(*row_key(doc_id, text), text_bytes(text).alias("text"))
     again = written(anchors(source, width, gram).groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"), "anchors")
     found = written(runs(source, bitmap(again, F.col("v"), BITS), BITS, width, gram), "byte-runs")
-    kinds = written(
-        found.groupBy("r1", "r2").agg(
-            F.min("v").alias("v"),
-            F.count("*").alias("c"),
-            F.min("k1").alias("m"),
-            F.max("k1").alias("g"),
-            F.min(F.struct("k1", "k2", "a", "n")).alias("one"),
-        ),
-        "byte-run-kinds",
-    )
-    # Anchors of one document alone take nothing from any.
-    several = kinds.groupBy("v").agg(F.count("*").alias("kinds"), F.min("m").alias("least"), F.max("g").alias("greatest"))
-    several = written(several.where("least < greatest").select("v", "kinds"), "shared-anchors")
-    picked = written(join_counted(kinds, several, ["v"], "kinds", "left_semi").select("v", *RUN, "one.*"), "picked-runs")
+    # A run is told by two hashes of 64 bits, its anchor's and its own. The filter lets through some that occur once.
+    kinds = found.groupBy("v", "r").agg(F.count("*").alias("c"), F.max("k1").alias("g"), F.min(F.struct("k1", "k2", "a", "n")).alias("one"))
+    picked = written(kinds.join(again, "v", "left_semi").select("v", "r", "c", "g", F.col("one.k1").alias("m"), "one.*"), "byte-run-kinds")
     size = picked.agg(F.coalesce(F.sum(F.col("n") + (width - 1)), F.lit(0))).first()[0]
     shards = max(1, -(-size // shard_bytes))
     wanted = picked.withColumn("shard", F.pmod("v", F.lit(shards))).groupBy("k1", "k2").agg(
@@ -310,10 +305,10 @@ def earlier_intervals(
                 out["body"].append(data[part["a"] : part["a"] + part["n"] + width - 1])
         return out
 
-    schema = "shard long, r1 long, r2 long, m long, g long, c long, body binary"
+    schema = "shard long, v long, r long, m long, g long, c long, body binary"
     bodies = map_rows(source.where(may).join(wanted, ["k1", "k2"]).select("text", "runs"), cut, schema, at_a_time=64)
     taken = written(stretches(bodies, width), "stretches")
-    hits = join_counted(found, taken, ["r1", "r2"], "c", "inner").where("m < k1")
+    hits = join_counted(found, taken, ["v", "r"], "c", "inner").where("m < k1")
     gathered = hits.select(
         "k1",
         "k2",
