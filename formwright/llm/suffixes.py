@@ -9,7 +9,8 @@ form a group, and what is not of the group's least document goes. So that equal
 - Runs of anchors that occur once in the corpus hold no repeated string. Anchors are counted first, and only
   runs whose anchor occurs again are kept.
 - Equal runs are counted together before anything is gathered, with their least document, so a passage goes into
-  its shard once, however many documents have it.
+  its shard once, however many documents have it. A run that shares its anchor with no other one has nothing in its
+  shard to be compared with: its strings occur where it occurs, and it is left out of the shard.
 
 What a shard finds about a run holds for all its occurrences, and is joined back to them. Shards are made of so many
 bytes on average; one with a very common anchor may be larger than memory, which the sorter is made for.
@@ -48,7 +49,7 @@ from formwright.llm.common import (
 from formwright.llm.repeats import may_have, merge
 
 WIDTH = 50
-GRAM = 16
+GRAM = 12
 #: The filter of anchors that occur again takes 2**BITS / 8 bytes: 8 MiB. Its size never changes results.
 BITS = 26
 #: Bytes of a shard, on average.
@@ -289,6 +290,9 @@ def earlier_intervals(
     # A run is told by two hashes of 64 bits, its anchor's and its own. The filter lets through some that occur once.
     kinds = found.groupBy("v", "r").agg(F.count("*").alias("c"), F.max("k1").alias("g"), F.min(F.struct("k1", "k2", "a", "n")).alias("one"))
     picked = written(kinds.join(again, "v", "left_semi").select("v", "r", "c", "g", F.col("one.k1").alias("m"), "one.*"), "byte-run-kinds")
+    mixed = written(picked.groupBy("v").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed-anchors")
+    lone = picked.join(mixed, "v", "left_anti").where("m < g").select("v", "r", "c", F.lit(0).alias("first"), F.col("n").alias("end"), "m")
+    picked = written(join_counted(picked, mixed, ["v"], "kinds", "left_semi"), "mixed-runs")
     size = picked.agg(F.coalesce(F.sum(F.col("n") + (width - 1)), F.lit(0))).first()[0]
     shards = max(1, -(-size // shard_bytes))
     wanted = picked.withColumn("shard", F.pmod("v", F.lit(shards))).groupBy("k1", "k2").agg(
@@ -307,7 +311,7 @@ def earlier_intervals(
 
     schema = "shard long, v long, r long, m long, g long, c long, body binary"
     bodies = map_rows(source.where(may).join(wanted, ["k1", "k2"]).select("text", "runs"), cut, schema, at_a_time=64)
-    taken = written(stretches(bodies, width), "stretches")
+    taken = written(stretches(bodies, width).unionByName(lone), "stretches")
     hits = join_counted(found, taken, ["v", "r"], "c", "inner").where("m < k1")
     gathered = hits.select(
         "k1",
