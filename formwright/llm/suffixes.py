@@ -49,7 +49,7 @@ from formwright.llm.common import (
 from formwright.llm.repeats import may_have, merge
 
 WIDTH = 50
-GRAM = 12
+GRAM = 20
 #: The filter of anchors that occur again takes 2**BITS / 8 bytes: 8 MiB. Its size never changes results.
 BITS = 26
 #: Bytes of a shard, on average.
@@ -287,12 +287,13 @@ def earlier_intervals(
     source = docs.where(F.col(doc_id).isNotNull()).select(*row_key(doc_id, text), text_bytes(text).alias("text"))
     again = written(anchors(source, width, gram).groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"), "anchors")
     found = written(runs(source, bitmap(again, F.col("v"), BITS), BITS, width, gram), "byte-runs")
-    # A run is told by two hashes of 64 bits, its anchor's and its own. The filter lets through some that occur once.
+    # A run is told by two hashes of 64 bits, its anchor's and its own.
     kinds = found.groupBy("v", "r").agg(F.count("*").alias("c"), F.max("k1").alias("g"), F.min(F.struct("k1", "k2", "a", "n")).alias("one"))
-    picked = written(kinds.join(again, "v", "left_semi").select("v", "r", "c", "g", F.col("one.k1").alias("m"), "one.*"), "byte-run-kinds")
-    mixed = written(picked.groupBy("v").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed-anchors")
-    lone = picked.join(mixed, "v", "left_anti").where("m < g").select("v", "r", "c", F.lit(0).alias("first"), F.col("n").alias("end"), "m")
-    picked = written(join_counted(picked, mixed, ["v"], "kinds", "left_semi"), "mixed-runs")
+    mixed = kinds.groupBy("v").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    told = kinds.join(mixed, "v", "left").select("v", "r", "c", "g", F.col("one.k1").alias("m"), "one.*", F.col("kinds").isNotNull().alias("mixed"))
+    told = written(told.where("mixed OR m < g"), "byte-run-kinds")
+    lone = told.where("NOT mixed").select("v", "r", "c", F.lit(0).alias("first"), F.col("n").alias("end"), "m")
+    picked = told.where("mixed")
     size = picked.agg(F.coalesce(F.sum(F.col("n") + (width - 1)), F.lit(0))).first()[0]
     shards = max(1, -(-size // shard_bytes))
     wanted = picked.withColumn("shard", F.pmod("v", F.lit(shards))).groupBy("k1", "k2").agg(
