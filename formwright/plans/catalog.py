@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from formwright.functions import candidates as cand
 from formwright.functions.arrays import rows_of
-from formwright.functions.scoring import confidence_summary as confidence_summary_of
 from formwright.functions.validators import with_field_score
 from formwright.operators import classify as cls
 from formwright.operators import entities as ent
 from formwright.operators import evaluate as ev
 from formwright.operators import text_assembly as asm
 from formwright.operators import tokens as tok
+from formwright.operators.logistic import LogisticClassifier
 from formwright.plans import corpus as c
+from formwright.plans import evaluation
 from formwright.plans.documents import DocumentEngine
 from formwright.session import new_path
 from formwright.sources import hooks, manifest, sinks, synthetic, training
@@ -178,6 +179,75 @@ def hook_entities(spark, sf_dir):
     return found.select("doc_id", "big", F.get("entities", F.lit(0))["word"].alias("word"), "error")
 
 
+def _slow_model():
+    """A stand-in for a remote model: the first run of digits, but no answer in time for some customers."""
+    import re
+    import time
+
+    def find(text):
+        number = re.search("[0-9]+", text)
+        if int(re.search("Customer ([0-9]+)", text)[1]) % 1499 == 7:
+            time.sleep(20)
+        return [{"entity_group": "SSN", "word": number[0], "score": 0.5}]
+
+    return find
+
+
+@query
+def hook_slow(spark, sf_dir):
+    """Whole texts through a model that does not answer for some: the others all come back, these are failures."""
+    docs = c.documents(spark, sf_dir).select("doc_id", "text")
+    found = hooks.model_entities(docs, _slow_model, limit=4.0, at_once=4)
+    return found.select("doc_id", F.get("entities", F.lit(0))["word"].alias("word"), "error")
+
+
+def _page_reader():
+    """A stand-in for OCR: the bytes are the page's lines."""
+
+    def read(content):
+        page = content.decode()
+        if page.count("7") > 12:
+            raise ValueError("unreadable")
+        box = [[0, 0], [100, 0], [100, 10], [0, 10]]
+        lines = [line for line in page.split("\n") if line.strip()]
+        return [{"text": line, "confidence": (60 + len(line) % 40) / 100, "bbox": box} for line in lines]
+
+    return read
+
+
+def _scans(spark, sf_dir) -> str:
+    """A folder with one small file for each order: three kinds of image, and one that is none."""
+    folder = new_path(spark, "scans")
+    kind = F.expr("element_at(array('jpg', 'png', 'txt', 'jpeg'), int(doc_id % 4) + 1)")
+    pages = c.raw_pages(c.documents(spark, sf_dir))
+    files = pages.select(
+        F.concat(F.lit("page-"), "doc_id", F.lit("."), kind).alias("name"), F.col("raw").cast("binary").alias("content")
+    )
+    sinks.write_files(files, folder)
+    return folder
+
+
+def _name_and_id(path: str = "path") -> list[Column]:
+    name = F.substring_index(path, "/", -1)
+    return [F.regexp_extract(name, "[0-9]+", 0).cast("bigint").alias("doc_id"), name.alias("name")]
+
+
+@query
+def image_files(spark, sf_dir):
+    """The images of a folder by name and size; their contents are not read."""
+    return manifest.read_images(spark, _scans(spark, sf_dir)).select(*_name_and_id(), "length")
+
+
+@query
+def image_documents(spark, sf_dir):
+    """Images of a folder through OCR and text assembly; unreadable ones keep their error."""
+    images = manifest.read_images(spark, _scans(spark, sf_dir))
+    read = hooks.ocr_lines(images.withColumn("text", F.lit(None).cast("string")), _page_reader, at_once=2)
+    return asm.with_text(read).select(
+        *_name_and_id(), F.size("lines").alias("n_lines"), "text", r6("ocr_confidence"), "error"
+    )
+
+
 @query
 def label_checks(spark, sf_dir):
     samples = c.labelled_samples(c.documents(spark, sf_dir))
@@ -651,6 +721,26 @@ def holdout_report(spark, sf_dir):
     )
 
 
+LOGISTIC_STEPS = 3
+
+
+def _logistic(spark, sf_dir, steps: int = LOGISTIC_STEPS) -> LogisticClassifier:
+    return LogisticClassifier.fit(synthetic.synthetic_texts(c.orders(spark, sf_dir), "o_orderkey"), steps=steps)
+
+
+@query
+def train_logistic(spark, sf_dir):
+    """Weights of the discriminative classifier after a few steps."""
+    return _logistic(spark, sf_dir).weight_rows().withColumn("weight", r6("weight"))
+
+
+@query
+def classify_logistic(spark, sf_dir):
+    """The documents by the discriminative classifier; probabilities to six decimals."""
+    docs = _logistic(spark, sf_dir).with_probabilities(c.documents(spark, sf_dir))
+    return cls.probability_rows(docs).withColumn("p", r6("p"))
+
+
 @query
 def split_int_ids(spark, sf_dir):
     """The same split for ids of four bytes."""
@@ -833,30 +923,8 @@ def entity_match_tables(spark, sf_dir):
 
 
 def _evaluation_cells(spark, sf_dir) -> DataFrame:
-    """Sums of all that the evaluation needs, per pair of true and predicted type, from one pass.
-
-    The text of the assembled lines is the document's text, so one extraction serves entities and runs.
-    """
-    docs = ENGINE.score(c.run_documents(c.documents(spark, sf_dir)))
-    found = ev.with_matches(docs)
-    good = F.col("error").isNull()
-    mean = confidence_summary_of(F.col("fields"))["average_confidence"]
-    rows = found.select(
-        F.col("true_type").alias("true_label"),
-        F.col("pred_type").alias("pred_label"),
-        F.size("found").alias("tp"),
-        F.size("wrong").alias("fp"),
-        F.size("missed").alias("fn"),
-        F.when(good, F.col("processing_time_seconds")).alias("seconds"),
-        F.when(good, mean).alias("confidence"),
-        F.when(good, F.size("fields")).alias("n_fields"),
-        F.when(good, F.coalesce("user_corrections", F.lit(0))).alias("corrections"),
-        good.cast("int").alias("good"),
-    )
-    sums = ("tp", "fp", "fn", "seconds", "confidence", "n_fields", "corrections", "good")
-    cells = rows.groupBy("true_label", "pred_label").agg(
-        F.count("*").alias("n"), *[F.sum(name).alias(name) for name in sums]
-    )
+    """Sums of all that the evaluation needs, per pair of true and predicted type, from one pass."""
+    cells = evaluation.cells_of(ENGINE, c.run_documents(c.documents(spark, sf_dir)).withColumnRenamed("pred_type", "pred_label").withColumnRenamed("true_type", "true_label"))
     path = new_path(spark, "evaluation")
     cells.write.parquet(path)  # a row for each pair of types
     return spark.read.parquet(path)
@@ -864,21 +932,7 @@ def _evaluation_cells(spark, sf_dir) -> DataFrame:
 
 @query
 def evaluation_summary(spark, sf_dir):
-    cells = _evaluation_cells(spark, sf_dir)
-    run = cells.agg(*[F.sum(n).alias(n) for n in ("seconds", "confidence", "n_fields", "corrections", "good")])
-    per_document = lambda name: ev.ratio(F.col(name), F.col("good"))
-    metrics = run.select(
-        per_document("seconds").alias("average_time"),
-        per_document("confidence").alias("average_confidence"),
-        F.col("n_fields").alias("total_fields_extracted"),
-        per_document("corrections").alias("correction_rate"),
-        F.col("good").alias("total_documents"),
-    )
-    return ev.evaluation_summary(
-        ev.classification_metrics(cells.select("true_label", "pred_label", "n")),
-        ev.ner_metrics_of_sizes(cells),
-        ev.business_value(metrics),
-    ).withColumn("score", r6("score"))
+    return evaluation.summary_of_cells(_evaluation_cells(spark, sf_dir)).withColumn("score", r6("score"))
 
 
 # ---- streams ------------------------------------------------------------------------------------
@@ -899,6 +953,55 @@ def stream_scores_files(spark, sf_dir):
     return _streamed(spark, sf_dir, arriving.arriving_files(spark, folder, "*.parquet", 1))
 
 
+@query
+def stream_scores_odd(spark, sf_dir):
+    """Six files: every order twice, every ninth without an id, every fifth without a time, copies at one instant."""
+    folder = new_path(spark, "arriving-odd")
+    orders = c.table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderkey")).alias("doc_id"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate").cast("timestamp")).alias("arrival"),
+        F.when(F.col("o_orderkey") % 9 == 0, F.concat(F.lit("scans/"), "o_orderkey")).alias("path"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    twice = orders.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    same = F.when((F.col("copy") == 1) & F.col("doc_id").isNotNull() & (F.col("doc_id") % 2 == 0), F.lit("again"))
+    twice = twice.withColumn("path", F.coalesce("path", same)).drop("copy")
+    twice.repartition(6, "arrival", "path").write.parquet(folder)
+    path = new_path(spark, "stream_scores_odd")
+    source = arriving.arriving_files(spark, folder, "*.parquet", 1)
+    arriving.score_stream(
+        source, lambda batch: batch.select("doc_id", "arrival", F.regexp_extract("path", "[0-9]+", 0).alias("scan")),
+        hooks.failures, path, partitions=STREAM_PARTITIONS,
+    ).awaitTermination()
+    found = spark.read.parquet(f"{path}/results")
+    return found.groupBy("doc_id", F.col("arrival").cast("timestamp_ntz").alias("ts"), F.coalesce("scan", F.lit("")).alias("scan")).agg(
+        F.count("*").alias("n")
+    )
+
+
+@query
+def stream_evaluation(spark, sf_dir):
+    """Orders arrive in four files; the measures of each batch are merged, one batch is run twice."""
+    folder = new_path(spark, "arriving-runs")
+    c.table(spark, sf_dir, "orders").repartition(4, "o_orderkey").write.parquet(folder)
+    path = new_path(spark, "stream_evaluation")
+
+    def measure(batch: DataFrame) -> DataFrame:
+        docs = c.run_documents(c.with_document(batch))
+        named = docs.withColumnRenamed("pred_type", "pred_label").withColumnRenamed("true_type", "true_label")
+        return evaluation.cells_of(ENGINE, named)
+
+    source = arriving.arriving_files(spark, folder, "*.parquet", 1)
+    query = arriving.accumulate(source, measure, evaluation.CELL_KEYS, path, again=lambda number: number == 2)
+    query.awaitTermination()
+    cells = arriving.accumulated(spark, path)
+    return evaluation.summary_of_cells(cells).withColumn("score", r6("score"))
+
+
+#: Partitions of the registered streams' state; a stream keeps them for its whole life.
+STREAM_PARTITIONS = 8
+
+
 def _streamed(spark, sf_dir, source: DataFrame) -> DataFrame:
     model = engine(spark, sf_dir)
     once = source.select(
@@ -924,7 +1027,7 @@ def _streamed(spark, sf_dir, source: DataFrame) -> DataFrame:
 
     path = new_path(spark, "stream_scores")
     with_error = once.withColumn("error", F.expr(c.ERROR))
-    arriving.score_stream(with_error, process, failed, path).awaitTermination()
+    arriving.score_stream(with_error, process, failed, path, partitions=STREAM_PARTITIONS).awaitTermination()
     results = spark.read.parquet(f"{path}/results")
     return results.select("doc_id", "document_type", "total_results", r9("average_confidence"))
 

@@ -782,3 +782,57 @@ SELECT w AS window_start, w + INTERVAL 30 DAY AS window_end, count(*) AS total_d
 FROM (SELECT *, time_bucket(INTERVAL 30 DAY, od::TIMESTAMP, TIMESTAMP '1970-01-01') AS w FROM runs)
 WHERE w + INTERVAL 30 DAY <= (SELECT max(o_orderdate)::TIMESTAMP - INTERVAL 1 DAY FROM orders)
 GROUP BY w""")
+SQL["stream_evaluation"] = SQL["evaluation_summary"]
+SQL["stream_scores_odd"] = """
+SELECT CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey END AS doc_id,
+  CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate::TIMESTAMP END AS ts,
+  CASE WHEN o_orderkey % 9 = 0 THEN o_orderkey::VARCHAR ELSE '' END AS scan, 1::BIGINT AS n FROM orders"""
+sql("hook_slow", DOCS, """
+SELECT doc_id, CASE WHEN doc_id % 1499 <> 7 THEN regexp_extract(text, '[0-9]+') END AS word,
+  CASE WHEN doc_id % 1499 = 7 THEN 'timed out after 4 s' END AS error FROM docs""")
+SCAN_NAME = """'page-' || doc_id || '.' || CASE doc_id % 4 WHEN 0 THEN 'jpg' WHEN 1 THEN 'png' ELSE 'jpeg' END"""
+sql("image_files", DOCS + " pages", f"""
+SELECT doc_id, {SCAN_NAME} AS name, strlen(raw)::BIGINT AS length FROM raw_docs WHERE doc_id % 4 <> 2""")
+sql("image_documents", DOCS + " pages", f"""
+, scans AS (SELECT doc_id, raw, len(raw) - len(replace(raw, '7', '')) > 12 AS bad FROM raw_docs WHERE doc_id % 4 <> 2),
+scanned AS (SELECT doc_id, line, i FROM raw_lines WHERE trim(line) <> ''),
+joined AS (SELECT doc_id, count(*) AS n, string_agg(line, ' ' ORDER BY i) AS text,
+  avg((60 + length(line) % 40) / 100.0::DOUBLE) AS mean FROM scanned GROUP BY doc_id)
+SELECT doc_id, {SCAN_NAME} AS name, CASE WHEN NOT bad THEN n::INT END AS n_lines,
+  CASE WHEN NOT bad THEN text END AS text, CASE WHEN NOT bad THEN round(mean, 6) END AS ocr_confidence,
+  CASE WHEN bad THEN 'unreadable' END AS error FROM scans JOIN joined USING (doc_id)""")
+
+
+def logistic(steps: int, rate: float = 8.0, decay: float = 1e-4) -> str:
+    """Common table expressions of the discriminative classifier, from `samples` to `w` and the steps' number."""
+    parts = [r"""
+lg_words AS (SELECT sample_id, label_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM samples),
+lg_tf AS (SELECT sample_id, label_id, ('0x' || substr(md5(token), 1, 4))::INT % 16384 AS slot, count(*) AS n FROM lg_words GROUP BY ALL),
+lg_n AS (SELECT count(*)::DOUBLE AS total FROM samples),
+lg_idf AS (SELECT slot, ln((total + 1) / (count(*) + 1)) + 1 AS idf FROM lg_tf, lg_n GROUP BY slot, total),
+feats AS MATERIALIZED (SELECT sample_id, label_id, slot, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY sample_id)) AS value
+  FROM lg_tf JOIN lg_idf USING (slot)),
+w0 AS (SELECT DISTINCT slot, t.label_id AS k, 0::DOUBLE AS w FROM (SELECT slot FROM feats UNION ALL SELECT -1) CROSS JOIN types t)"""]
+    for k in range(1, steps + 1):
+        parts.append(f"""
+x{k} AS MATERIALIZED (SELECT sample_id, label_id, f.k, s + b.w AS x FROM (
+  SELECT sample_id, label_id, w.k, sum(value * w.w) AS s FROM feats JOIN w{k - 1} w USING (slot) GROUP BY ALL) f
+  JOIN w{k - 1} b ON b.slot = -1 AND b.k = f.k),
+e{k} AS (SELECT *, exp(x - max(x) OVER (PARTITION BY sample_id)) AS e FROM x{k}),
+m{k} AS MATERIALIZED (SELECT sample_id, k, (k = label_id)::INT - e / sum(e) OVER (PARTITION BY sample_id) AS miss FROM e{k}),
+g{k} AS (SELECT slot, k, sum(value * miss) * {rate} / total AS move FROM feats JOIN m{k} USING (sample_id), lg_n GROUP BY slot, k, total
+  UNION ALL SELECT -1, k, sum(miss) * {rate} / total FROM m{k}, lg_n GROUP BY k, total),
+w{k} AS MATERIALIZED (SELECT slot, k, w * CASE WHEN slot < 0 THEN 1 ELSE {1 - decay!r} END + move AS w FROM w{k - 1} JOIN g{k} USING (slot, k))""")
+    return ",\n".join(p.strip() for p in parts)
+
+
+CTE["logistic"] = logistic(3)
+sql("train_logistic", "types samples logistic", "SELECT slot, k::INT AS label_id, round(w, 6) AS weight FROM w3")
+sql("classify_logistic", "types docs samples logistic", r""",
+dw AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM docs),
+dt AS (SELECT doc_id, ('0x' || substr(md5(token), 1, 4))::INT % 16384 AS slot, count(*) AS n FROM dw GROUP BY ALL),
+df AS (SELECT doc_id, slot, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY doc_id)) AS value FROM dt JOIN lg_idf USING (slot)),
+ds AS (SELECT doc_id, k, sum(value * w) AS s FROM df JOIN w3 USING (slot) GROUP BY ALL),
+dx AS (SELECT d.doc_id, b.k, b.w + coalesce(s, 0) AS x FROM docs d JOIN w3 b ON b.slot = -1 LEFT JOIN ds ON ds.doc_id = d.doc_id AND ds.k = b.k),
+de AS (SELECT *, exp(x - max(x) OVER (PARTITION BY doc_id)) AS e FROM dx)
+SELECT doc_id, doc_type AS document_type, round(e / sum(e) OVER (PARTITION BY doc_id), 6) AS p FROM de JOIN types ON label_id = k""")

@@ -1,7 +1,8 @@
 """User-supplied models: OCR of image bytes and field models over texts.
 
 Both run as pandas functions over the one column they read, with the model made once per task; the other
-columns stay where they are. A document that fails becomes a row with `error` set; the others go on.
+columns stay where they are. A document that fails becomes a row with `error` set; the others go on. So does one
+whose call takes longer than `limit` seconds; calls may run `at_once` several at a time (see `sources.calls`).
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from formwright.functions.candidates import MODEL_ENTITIES
 from formwright.operators.text_assembly import LINES, text_lines
+from formwright.sources.calls import Caller
+from formwright.vocabulary import OCR_CALL_LIMIT
 
 ReadLines = Callable[[bytes], Iterable[Mapping[str, Any]]]
 ReadText = Callable[[bytes], str]
@@ -56,7 +59,14 @@ def make_first_provider(
 
 
 def _apply(
-    df: DataFrame, source: str, column: str, type_name: str, make: Callable[[], Callable], shape
+    df: DataFrame,
+    source: str,
+    column: str,
+    type_name: str,
+    make: Callable[[], Callable],
+    shape,
+    limit: float | None,
+    at_once: int,
 ) -> DataFrame:
     """`df` with the result of a model on `source`, and `error` where it failed.
 
@@ -65,17 +75,9 @@ def _apply(
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model = make()
+        caller = Caller(lambda value: shape(model(value)), limit, at_once)
         for values, skipped in batches:
-            results, errors = [], []
-            for value, skip in zip(values, skipped):
-                out, error = None, None
-                if not skip:
-                    try:
-                        out = shape(model(value))
-                    except Exception as problem:  # a bad document must not stop the others
-                        error = str(problem) or type(problem).__name__
-                results.append(out)
-                errors.append(error)
+            results, errors = caller.all([None if skip else (value,) for value, skip in zip(values, skipped)])
             yield pd.DataFrame({"result": results, "error": errors}, dtype=object)
 
     # As a random function it is neither moved nor repeated by the optimizer.
@@ -98,10 +100,13 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def ocr_lines(images: DataFrame, make_reader: Callable[[], ReadLines]) -> DataFrame:
+def ocr_lines(
+    images: DataFrame, make_reader: Callable[[], ReadLines], limit: float | None = OCR_CALL_LIMIT, at_once: int = 1
+) -> DataFrame:
     """Adds `lines` (see `LINES`) by a reader of image bytes that reports lines.
 
-    `make_reader` is called once per task; its reader gives mappings with text, confidence, bbox.
+    `make_reader` is called once per task; its reader gives mappings with text, confidence, bbox. With `at_once`
+    above one it is called from several threads.
     """
 
     def shape(lines):
@@ -115,17 +120,21 @@ def ocr_lines(images: DataFrame, make_reader: Callable[[], ReadLines]) -> DataFr
             for i, line in enumerate(lines)
         ]
 
-    return _apply(images, "content", "lines", LINES, make_reader, shape)
+    return _apply(images, "content", "lines", LINES, make_reader, shape, limit, at_once)
 
 
-def ocr_text(images: DataFrame, make_reader: Callable[[], ReadText]) -> DataFrame:
+def ocr_text(
+    images: DataFrame, make_reader: Callable[[], ReadText], limit: float | None = OCR_CALL_LIMIT, at_once: int = 1
+) -> DataFrame:
     """Adds `raw_text` by a reader of image bytes that reports plain text, and `lines` from it."""
-    read = _apply(images, "content", "raw_text", "string", make_reader, lambda text: text)
+    read = _apply(images, "content", "raw_text", "string", make_reader, lambda text: text, limit, at_once)
     return read.withColumn("lines", text_lines(F.col("raw_text")))
 
 
-def model_entities(docs: DataFrame, make_model: Callable[[], FindEntities]) -> DataFrame:
-    """Adds `entities` by a field model over `text`.
+def model_entities(
+    docs: DataFrame, make_model: Callable[[], FindEntities], limit: float | None = None, at_once: int = 1
+) -> DataFrame:
+    """Adds `entities` by a field model over `text`; without a `limit` a call may take as long as it wants.
 
     `make_model` is called once per task; its model gives mappings with entity_group, word, score,
     start, end in the order found.
@@ -143,7 +152,7 @@ def model_entities(docs: DataFrame, make_model: Callable[[], FindEntities]) -> D
             for e in entities
         ]
 
-    return _apply(docs, "text", "entities", MODEL_ENTITIES, make_model, shape)
+    return _apply(docs, "text", "entities", MODEL_ENTITIES, make_model, shape, limit, at_once)
 
 
 def failures(docs: DataFrame, at: Column | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ def read_path_list(spark: SparkSession, list_file: str) -> DataFrame:
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
     """(path, modificationTime, length, content) of the images in a folder, not below it.
 
-    Columns that are not used are not read: `select("path")` lists files only.
+    Columns that are not used are not read: `select("path")` lists files only. Empty files are left out by Spark.
     """
     return spark.read.format("binaryFile").option("pathGlobFilter", IMAGE_GLOB).load(folder)
 

@@ -107,6 +107,9 @@ PREVIEW_LENGTH = 200
 CLASSIFIER_TOKEN_LIMIT = 512
 IGNORED_LABEL = -100
 SLOW_SECONDS = 10.0
+#: Seconds that one OCR call may take.
+OCR_CALL_LIMIT = 30.0
+
 IMAGE_GLOB = "*.{jpg,png,jpeg}"
 
 BIO_TAGS = ("O",) + tuple(f"{prefix}-{name}" for name in FIELD_TYPES for prefix in ("B", "I"))
