@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formwright.llm import induced
@@ -46,7 +46,7 @@ from formwright.llm.common import (
     text_bytes,
     written,
 )
-from formwright.llm.repeats import may_have, merge
+from formwright.llm.repeats import may_have
 
 WIDTH = 50
 GRAM = 20
@@ -280,20 +280,26 @@ def stretches(bodies: DataFrame, width: int) -> DataFrame:
 # ---- documents ----------------------------------------------------------------------------------
 
 
+def _key(doc_id: str, text: str) -> tuple[Column, Column]:
+    """As `row_key`, with half of the text's hash: it only tells rows of one id apart."""
+    k1, k2 = row_key(doc_id, text)
+    return k1, F.shiftrightunsigned(k2, 32).alias("k2")
+
+
 def earlier_intervals(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
     """(k1, k2, intervals): for documents that lose bytes, the maximal intervals (first, end) of them, in order."""
-    source = docs.where(F.col(doc_id).isNotNull()).select(*row_key(doc_id, text), text_bytes(text).alias("text"))
+    source = docs.where(F.col(doc_id).isNotNull()).select(*_key(doc_id, text), text_bytes(text).alias("text"))
     again = written(anchors(source, width, gram).groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"), "anchors")
     found = written(runs(source, bitmap(again, F.col("v"), BITS), BITS, width, gram), "byte-runs")
     # A run is told by two hashes of 64 bits, its anchor's and its own.
     kinds = found.groupBy("v", "r").agg(F.count("*").alias("c"), F.max("k1").alias("g"), F.min(F.struct("k1", "k2", "a", "n")).alias("one"))
     mixed = kinds.groupBy("v").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    told = kinds.join(mixed, "v", "left").select("v", "r", "c", "g", F.col("one.k1").alias("m"), "one.*", F.col("kinds").isNotNull().alias("mixed"))
+    told = kinds.join(mixed, "v", "left").select("v", "r", "c", "g", F.col("one.k1").alias("m"), "one.k2", "one.a", "one.n", F.col("kinds").isNotNull().alias("mixed"))
     told = written(told.where("mixed OR m < g"), "byte-run-kinds")
     lone = told.where("NOT mixed").select("v", "r", "c", F.lit(0).alias("first"), F.col("n").alias("end"), "m")
-    picked = told.where("mixed")
+    picked = told.where("mixed").withColumn("k1", F.col("m"))
     size = picked.agg(F.coalesce(F.sum(F.col("n") + (width - 1)), F.lit(0))).first()[0]
     shards = max(1, -(-size // shard_bytes))
     wanted = picked.withColumn("shard", F.pmod("v", F.lit(shards))).groupBy("k1", "k2").agg(
@@ -314,19 +320,25 @@ def earlier_intervals(
     bodies = map_rows(source.where(may).join(wanted, ["k1", "k2"]).select("text", "runs"), cut, schema, at_a_time=64)
     taken = written(stretches(bodies, width).unionByName(lone), "stretches")
     hits = join_counted(found, taken, ["v", "r"], "c", "inner").where("m < k1")
-    gathered = hits.select(
-        "k1",
-        "k2",
-        F.struct((F.col("a") + F.col("first")).alias("first"), (F.col("a") + F.col("end") + (width - 1)).alias("end")).alias("part"),
-    ).groupBy("k1", "k2").agg(F.collect_set("part").alias("parts"))
+    # An interval as one number, first and end, so that a document's are an array of numbers.
+    interval = F.shiftleft((F.col("a") + F.col("first")).cast("long"), 32) + (F.col("a") + F.col("end") + (width - 1))
+    gathered = hits.groupBy("k1", "k2").agg(F.collect_list(interval).alias("parts"))
 
     def merged(columns):
-        joined = [merge([(p["first"], p["end"]) for p in parts]) for parts in columns["parts"]]
-        return {"k1": columns["k1"], "k2": columns["k2"], "intervals": joined}
+        return {"k1": columns["k1"], "k2": columns["k2"], "intervals": [_merged(np.array(p, np.int64)) for p in columns["parts"]]}
 
     return map_rows(gathered, merged, "k1 long, k2 long, intervals array<struct<first: int, end: int>>")
 
 
+def _merged(parts: np.ndarray) -> list[dict[str, int]]:
+    """Overlapping and adjoining intervals as one, from numbers with the first place above and the end below 32 bits."""
+    parts.sort()
+    first, end = parts >> 32, np.maximum.accumulate(parts & 0xFFFFFFFF)
+    heads = np.flatnonzero(np.append(True, first[1:] > end[:-1]))
+    ends = end[np.append(heads[1:] - 1, len(end) - 1)]
+    return [{"first": a, "end": b} for a, b in zip(first[heads].tolist(), ends.tolist())]
+
+
 def with_earlier(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, name: str = "intervals", **how
 ) -> DataFrame:
@@ -339,7 +351,7 @@ def with_earlier(
     name = fresh(docs, name)
     found = written(earlier_intervals(docs, doc_id, text, width, **how), "byte-intervals")
     k1, k2 = fresh(docs, "k1"), fresh(docs, "k2")
-    first, second = row_key(doc_id, text)
+    first, second = _key(doc_id, text)
     keyed = docs.withColumns({k1: first, k2: second})
     named = found.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("intervals").alias(name))
     may = may_have(found)(F.xxhash64(k1, k2))
