@@ -243,9 +243,8 @@ def image_documents(spark, sf_dir):
     """Images of a folder through OCR and text assembly; unreadable ones keep their error."""
     images = manifest.read_images(spark, _scans(spark, sf_dir))
     read = hooks.ocr_lines(images.withColumn("text", F.lit(None).cast("string")), _page_reader, at_once=2)
-    return asm.with_text(read).select(
-        *_name_and_id(), F.size("lines").alias("n_lines"), "text", r6("ocr_confidence"), "error"
-    )
+    confidence = F.when(F.col("error").isNull(), r6(F.col("ocr_confidence"))).alias("ocr_confidence")
+    return asm.with_text(read).select(*_name_and_id(), F.size("lines").alias("n_lines"), "text", confidence, "error")
 
 
 @query
