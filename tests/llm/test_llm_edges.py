@@ -127,9 +127,10 @@ def test_outliers(odd, none):
 
 
 def test_outlier_limit_is_a_quantile():
-    half = outliers.LIMIT / 2
-    assert math.isclose(math.exp(-half) * (1 + half), 1e-6)
-    assert math.isclose(outliers.chi2_limit(0.5), outliers.CHI2_MEDIAN, rel_tol=1e-4)
+    assert math.isclose(outliers.chi2_tail(outliers.LIMIT), outliers.TAIL, rel_tol=1e-6)
+    # Known quantiles of the distribution with seven degrees of freedom.
+    assert math.isclose(outliers.chi2_limit(0.5), 6.3458, rel_tol=1e-4)
+    assert math.isclose(outliers.chi2_limit(0.001), 24.3219, rel_tol=1e-4)
 
 
 def test_models(spark, odd, none):

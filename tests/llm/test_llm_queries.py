@@ -222,32 +222,80 @@ def brute_counts(text):
     )
 
 
-def brute_distances(rows, least, steps=outliers.STEPS):
-    """Squared distances per row of one group's vectors, by the documented method."""
-    x = np.array(rows)
-    floors = np.diag(outliers.FLOORS)
+def brute_distances(groups):
+    """Scaled squared distances of each row of {(lang, source): vectors}, by the documented method."""
+    size, prior, floors = outliers.SIZE, outliers.PRIOR, np.array(outliers.FLOORS)
+    groups = {g: np.array(x) for g, x in groups.items()}
+    languages = {lang: [g for g in groups if g[0] == lang] for lang, _ in groups}
 
     def quantile(cells, part):
-        return np.sort(cells)[int(np.ceil(part * len(cells) - 1e-9)) - 1]
+        return np.sort(cells, axis=0)[int(np.ceil(part * len(cells) - 1e-9)) - 1]
 
-    cells = np.floor(x * outliers.CELLS)
-    q = np.array([[quantile(cells[:, i], p) for i in range(4)] for p in (0.25, 0.5, 0.75)])
-    mean = (q[1] + 0.5) / outliers.CELLS
-    cov = np.diag(((q[2] - q[0]) / (outliers.CELLS * 1.349)) ** 2) + floors
+    def drawn(own, n, whole):
+        return (own * n + whole * prior) / (n + prior)
 
-    def distance():
-        return np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean)
+    def robust(x):
+        low, middle, high = (quantile(np.floor(x * outliers.CELLS), p) for p in (0.25, 0.5, 0.75))
+        return (middle + 0.5) / outliers.CELLS, ((high - low) / (outliers.CELLS * 1.349)) ** 2
 
     def cell(d):
         return np.floor(np.log2(np.maximum(d, 1e-6)) * outliers.DISTANCE_CELLS)
 
-    for _ in range(steps):
-        c = cell(distance())
-        near = x[c <= quantile(c, outliers.SUPPORT)]
-        mean, cov = near.mean(0), np.cov(near.T, bias=True) + floors
-    d = distance()
-    middle = 2 ** ((quantile(cell(d), 0.5) + 0.5) / outliers.DISTANCE_CELLS)
-    return d * outliers.CHI2_MEDIAN / max(middle, 1e-3)
+    def distance(x, mean, cov):
+        return np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean)
+
+    def weights(d):
+        """One for each of the closest part; equal cells share what is left."""
+        c, left, out = cell(d), outliers.SUPPORT * len(d), np.zeros(len(d))
+        for value in np.unique(c):
+            same = c == value
+            out[same] = min(1.0, left / same.sum())
+            left -= out[same].sum()
+            if left <= 1e-9:
+                break
+        return out
+
+    def moments(x, w):
+        mean = w @ x / w.sum()
+        return mean, (x * w[:, None]).T @ x / w.sum() - np.outer(mean, mean)
+
+    whole = {lang: np.concatenate([groups[g] for g in members]) for lang, members in languages.items()}
+    centre = {}
+    for g, x in groups.items():
+        own, of_all = robust(x), robust(whole[g[0]])
+        centre[g] = drawn(own[0], len(x), of_all[0]), drawn(own[1], len(x), of_all[1]) + floors
+    now = {(g, 0): (m, np.diag(v)) for g, (m, v) in centre.items()}
+    z = {g: (x - centre[g][0]) / np.sqrt(centre[g][1]) for g, x in groups.items()}
+    for start, bound in ((1, np.tanh), (2, lambda v: v / np.linalg.norm(v, axis=1)[:, None] * np.sqrt(size))):
+        for g, v in z.items():
+            y, all_y = bound(v), np.concatenate([bound(z[h]) for h in languages[g[0]]])
+            found = drawn(y.T @ y / len(y), len(y), all_y.T @ all_y / len(all_y))
+            now[g, start] = centre[g][0], found * np.sqrt(np.outer(centre[g][1], centre[g][1])) + np.diag(floors)
+    for step in range(outliers.MOST_STEPS):
+        w = {(g, s): weights(distance(groups[g], *now[g, s])) for g, s in now}
+        later = {}
+        for g, s in now:
+            own = moments(groups[g], w[g, s])
+            near = np.concatenate([w[h, s] for h in languages[g[0]]])
+            of_all = moments(np.concatenate([groups[h] for h in languages[g[0]]]), near)
+            n = w[g, s].sum()
+            later[g, s] = drawn(own[0], n, of_all[0]), drawn(own[1], n, of_all[1]) + np.diag(floors)
+        fall = max(np.linalg.slogdet(now[k][1])[1] - np.linalg.slogdet(later[k][1])[1] for k in now)
+        now = later
+        if step and fall <= outliers.LEAST_FALL:
+            break
+    best = {g: min((np.linalg.slogdet(now[g, s][1])[1], s) for s in range(outliers.STARTS))[1] for g in groups}
+    d = {g: distance(x, *now[g, best[g]]) for g, x in groups.items()}
+
+    def middle(values):
+        return 2 ** ((quantile(cell(values), 0.5) + 0.5) / outliers.DISTANCE_CELLS)
+
+    out = {}
+    for g in groups:
+        all_d = np.concatenate([d[h] for h in languages[g[0]]])
+        k = max(1.0, (1 - np.minimum(floors / np.diag(now[g, best[g]][1]), 1)).sum())
+        out[g] = d[g] * k * (1 - 2 / (9 * k)) ** 3 / max(drawn(middle(d[g]), len(d[g]), middle(all_d)), 1e-3)
+    return out
 
 
 def test_outliers(spark, docs):
@@ -268,17 +316,18 @@ def test_outliers(spark, docs):
             capitals = sum(c.isupper() and c.isalpha() for c in text)
             vector = (
                 np.log1p(counts[0]), np.log1p(len(set(words))), np.log(counts[1] / counts[0]), np.sqrt(capitals / counts[1]),
+                np.sqrt(counts[2] / counts[1]), np.sqrt(counts[3] / sum(bool(words_of(x)) for x in text.split("\n"))),
+                np.sqrt(counts[4] / counts[0]),
             )
             groups[(lang, source)].append((key, vector))
         else:
             assert not r.kept and r.distance2 is None
+    expected = brute_distances({g: [v for _, v in members] for g, members in groups.items()})
     for group, members in groups.items():
-        if len(members) < outliers.LEAST_GROUP:
-            assert all(got[k].kept and got[k].distance2 is None for k, _ in members)
-            continue
-        expected = brute_distances([v for _, v in members], outliers.LEAST_GROUP)
-        np.testing.assert_allclose([got[k].distance2 for k, _ in members], expected, rtol=1e-5, atol=1e-7)
-        assert [got[k].kept for k, _ in members] == (expected <= outliers.LIMIT).tolist()
+        np.testing.assert_allclose([got[k].distance2 for k, _ in members], expected[group], rtol=1e-5, atol=1e-7)
+        assert [got[k].kept for k, _ in members] == (expected[group] <= outliers.LIMIT).tolist()
+    # A capital-heavy text is rejected; a document alone in its language is its own centre.
+    assert not got[rows[len(docs) * 4][0]].kept and got[9903].kept and got[9903].distance2 < 1e-6
 
 
 def brute_languages(pages, model):
