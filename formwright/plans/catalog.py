@@ -772,6 +772,13 @@ def bio_spans(spark, sf_dir):
     return tok.span_rows(c.tagged_sequences(spark, sf_dir)).withColumn("score", r6("score"))
 
 
+@query
+def bio_spans_rows(spark, sf_dir):
+    """Spans of a token table, in blocks so small that sequences cross them."""
+    tokens = tok.token_rows(c.tagged_sequences(spark, sf_dir), tag=F.col("tags"), score=F.col("scores"))
+    return tok.spans_of_rows(tokens, block=16).withColumn("score", r6("score"))
+
+
 @query
 def encode_tags(spark, sf_dir):
     return tok.token_rows(c.encoded_sequences(spark, sf_dir), label_id=F.col("true_ids"))

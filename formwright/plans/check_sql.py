@@ -646,7 +646,7 @@ SELECT 0.3::DOUBLE AS weight_ocr, 0.4::DOUBLE AS weight_ner, 0.3::DOUBLE AS weig
   (count(*) + 1) * 8 AS total_parameters, (SELECT count(*) FROM samples) AS training_documents
 FROM vocab""")
 
-sql("bio_spans", "sequences", """
+SPANS = """
 SELECT seq_id, kind AS field_name, string_agg(token, ' ' ORDER BY pos) AS value,
   round(avg(score), 6) AS score, min(pos)::INT AS start, (max(pos) + 1)::INT AS "end"
 FROM (SELECT *, sum(starts::INT) OVER (PARTITION BY seq_id ORDER BY pos) AS span
@@ -655,7 +655,9 @@ FROM (SELECT *, sum(starts::INT) OVER (PARTITION BY seq_id ORDER BY pos) AS span
     FROM (SELECT seq_id, pos, token, coalesce(tag, 'O') AS tag, coalesce(tag, 'O')[3:] AS kind,
         ((seq_id * 13 + pos * 29) % 100) / 100.0::DOUBLE AS score,
         lag(coalesce(tag, 'O')) OVER (PARTITION BY seq_id ORDER BY pos) AS before FROM token_rows)))
-WHERE tag <> 'O' GROUP BY seq_id, span, kind""")
+WHERE tag <> 'O' GROUP BY seq_id, span, kind"""
+sql("bio_spans", "sequences", SPANS)
+sql("bio_spans_rows", "sequences", SPANS)
 sql("encode_tags", "sequences tag_ids", "SELECT seq_id, pos, token, label_id FROM encoded")
 sql("token_metrics", "sequences tag_ids", """,
 pairs AS (SELECT label_id AS t, CASE WHEN (seq_id + pos) % 6 = 0 THEN 0 ELSE label_id END AS p
