@@ -8,7 +8,8 @@ are compared along the diagonal.
 An item leaks into a document if some `SPAN` consecutive tokens of it stand in the document with at most
 `SPAN` // 5 of them substituted. Items of fewer tokens, but at least `LEAST`, must stand there whole, with at
 most a fifth substituted. The three masks are such that each of these overlaps has a seed without a
-substitution: the search finds them all.
+substitution: the search finds them all. Items shorter than a mask must stand there token by token; each of their
+lengths has a mask of its own, without ignored positions.
 
 The seeds of documents are first tested against a bitmap of the benchmark's, whose size is fixed.
 """
@@ -37,6 +38,7 @@ from formwright.llm.common import (
 #: The token positions that each mask looks at.
 MASKS = ((0, 1, 2, 3, 7), (0, 1, 2, 4, 5), (0, 3, 5, 6, 7))
 SPAN = 13
+#: Shorter items must stand in a document unchanged.
 LEAST = 8
 #: The bitmap of the benchmark's seeds takes 2**BITS / 8 bytes: 2 MiB. Each seed sets and asks two bits.
 BITS = 24
@@ -68,11 +70,16 @@ def seeds(values: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
 def allowed(n: int) -> tuple[int, int]:
     """The length of an overlap with an item of `n` tokens, and how many of them may be substituted."""
     span = min(n, SPAN)
-    return span, span // 5
+    return span, span // 5 if n >= LEAST else 0
+
+
+def masks_of(n: int) -> list[tuple[int, tuple[int, ...]]]:
+    """The numbers and masks of the seeds of an item of `n` tokens."""
+    return list(enumerate(MASKS)) if n >= LEAST else [(len(MASKS) + n, tuple(range(n)))]
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
-    """(item_id, tokens): the items long enough to search for, equal texts once, by the smallest id."""
+    """(item_key, item_id, tokens): the items that have tokens, equal texts once, by the smallest id."""
     source = (
         benchmark.select(F.col(item_id).cast("long").alias("item_id"), text_bytes(text).alias("text"))
         .groupBy("text")
@@ -81,7 +88,7 @@ def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
 
     def rows(columns):
         found = [signed(tokens(t)) for t in columns["text"]]
-        keep = [i for i, f in enumerate(found) if len(f) >= LEAST]
+        keep = [i for i, f in enumerate(found) if len(f)]
         return {
             "item_key": [columns["item_key"][i] for i in keep],
             "item_id": [columns["item_id"][i] for i in keep],
@@ -98,7 +105,7 @@ def _item_seeds(items: DataFrame) -> DataFrame:
         out = {"seed": [], "item_key": [], "at": []}
         for key, values in zip(columns["item_key"], columns["tokens"]):
             words = np.array(values, np.int64).view(U64)
-            for number, mask in enumerate(MASKS):
+            for number, mask in masks_of(len(words)):
                 found = seeds(words, mask, number)
                 out["seed"].append(signed(found))
                 out["item_key"].append(np.full(len(found), key, np.int64))
@@ -120,7 +127,7 @@ def _known(bits: np.ndarray, found: np.ndarray) -> np.ndarray:
     return at[in_bitmap(bits, found[at] >> U64(32), BITS)]
 
 
-def _hits(docs: DataFrame, filter_bytes) -> DataFrame:
+def _hits(docs: DataFrame, filter_bytes, masks: list[tuple[int, tuple[int, ...]]]) -> DataFrame:
     """A row for each stretch of a document with hits in the bitmap: its tokens and its seeds."""
 
     def rows(columns):
@@ -128,7 +135,7 @@ def _hits(docs: DataFrame, filter_bytes) -> DataFrame:
         out = {"k1": [], "k2": [], "doc_id": [], "first": [], "around": [], "seeds": []}
         for k1, k2, key, text in zip(*(columns[c] for c in ("k1", "k2", "doc_id", "text"))):
             words = tokens(text)
-            found = [(s, _known(bits, s)) for s in (seeds(words, m, i) for i, m in enumerate(MASKS))]
+            found = [(s, _known(bits, s)) for s in (seeds(words, m, i) for i, m in masks)]
             at = np.concatenate([a for _, a in found])
             if not len(at):
                 continue
@@ -179,7 +186,7 @@ def leaks(
 
     `start` is the document's token where the overlap with the most equal tokens begins (the first of these),
     `n_tokens` its length. Equal items count as one, under the smallest id. Null and empty texts have no
-    tokens; items with fewer than `LEAST` are too short to tell and never leak. Rows with the same id and text
+    tokens, and items without tokens never leak. Rows with the same id and text
     are one document here; null ids stay null. Empty tables give no rows.
     """
     items = written(_items(benchmark, item_id, item_text), "items")
@@ -190,7 +197,9 @@ def leaks(
     source = docs.select(
         *row_key(doc_id, text), F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")
     )
-    hits = written(_hits(source, filter_bytes), "seed-hits")
+    short = items.select(F.size("tokens").alias("n")).where(F.col("n") < LEAST).distinct().collect()
+    masks = [*masks_of(LEAST), *[m for row in short for m in masks_of(row.n)]]
+    hits = written(_hits(source, filter_bytes, masks), "seed-hits")
     pairs = (
         hits.select("k1", "k2", "first", F.inline("seeds").alias("seed", "place"))
         .join(item_seeds, "seed")

@@ -221,3 +221,25 @@ def test_pipeline(spark, tmp_path, sf_dir):
     whole = corpus_pipeline.run(spark, sf_dir)
     assert whole.agg(F.sum("length")).first()[0] == packing.pack(state).agg(F.sum("length")).first()[0]
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_short_items_leak_whole(spark):
+    items = ["Paris, France", "yes", "one two three four five six seven", "", None, "?!", "one two three four five six seven eight"]
+    texts = {
+        1: "he was born in paris (France) long ago",
+        2: "paris is in france",
+        3: "Yes. one two three four five SIX seven; eight",
+        4: "one two three four other six seven",
+        5: "one two three four five six other eight",
+        6: "yesterday",
+        7: None,
+    }
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.n_tokens, r.n_equal) for r in decontaminate.leaks(docs, benchmark).collect()}
+    # Seven tokens need all of them, eight allow one substitution.
+    assert got == {
+        (1, 0): (4, 2, 2), (3, 1): (0, 1, 1), (3, 2): (1, 7, 7), (3, 6): (1, 8, 8), (5, 6): (0, 8, 7),
+    }
+    kept = decontaminate.without_leaks(docs, benchmark).collect()
+    assert sorted(r.doc_id for r in kept) == [2, 4, 6, 7]

@@ -16,11 +16,11 @@ def leaks_into(text, items):
     words = np.array(brute_tokens(text), dtype=object)
     for own in items:
         span = min(len(own), 13)
-        if len(own) < 8 or len(words) < span:
+        if not len(own) or len(words) < span:
             continue
         same = (words[:, None] == own[None, :]).astype(int)
         counts = sum(same[j : len(words) - span + 1 + j, j : len(own) - span + 1 + j] for j in range(span))
-        if (counts >= span - span // 5).any():
+        if (counts >= span - (span // 5 if span >= 8 else 0)).any():
             return True
     return False
 

@@ -95,13 +95,14 @@ def brute_leaks(docs, items):
     for item_id, item in items:
         own = brute_tokens(item)
         span = min(len(own), 13)
-        if len(own) < 8:
+        if not own:
             continue
+        most = span // 5 if len(own) >= 8 else 0  # shorter items stand there unchanged
         for doc_id, text in docs:
             words = brute_tokens(text)
             for i in range(len(words) - span + 1):
                 for j in range(len(own) - span + 1):
-                    if sum(a == b for a, b in zip(words[i : i + span], own[j : j + span])) >= span - span // 5:
+                    if sum(a == b for a, b in zip(words[i : i + span], own[j : j + span])) >= span - most:
                         found.add((doc_id, item_id))
     return found
 
@@ -116,14 +117,14 @@ def test_decontamination_with_substitutions(spark, con, docs):
             mixed = [f"other{i}" if change and rng.random() < 1 / change else w for i, w in enumerate(words)]
             rows.append((1000 + 10 * n + change, "before it stands this " + " ".join(mixed) + " and that"))
     items.append((90, "one two three four five six seven eight nine"))
-    items.append((91, "far too short an item"))
+    items.append((91, "quite a short item"))
     rows += [(2000, "so One, two three four FIVE six; seven other nine"), (2001, "one two other four five other seven eight nine"),
-             (2002, "far too short an item"), (2003, None), (2004, "")]
+             (2002, "quite a short item"), (2003, None), (2004, ""), (2005, "quite a shorter item")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()}
     assert got == brute_leaks(rows, items)
-    assert (2000, 90) in got and (2001, 90) not in got
+    assert (2000, 90) in got and (2001, 90) not in got and (2002, 91) in got and (2005, 91) not in got
     kept = {r.doc_id for r in decontaminate.without_leaks(d, b).collect()}
     assert kept == {r[0] for r in rows} - {k for k, _ in got}
 
