@@ -16,6 +16,10 @@ from formwright.llm.common import fresh
 
 #: Hexadecimal digits of the digest that rules and expressions are joined on.
 PREFIX_DIGITS = 8
+#: Rules of one prefix that are held in one row.
+RULES_TOGETHER = 256
+#: Rules that take more than this are not broadcast by hint.
+BROADCAST_BYTES = 8 << 20
 DEFAULT_VERDICT = "allow"
 #: Parts that the rows of one address are dealt into.
 SALTS = 64
@@ -96,11 +100,25 @@ def judge(
 
 def _matches(keys: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, path, salt, best): for the distinct keys that a rule fits, that rule."""
-    depth = rules.agg(
-        F.max(F.size(F.split("rule_host", r"\."))).alias("labels"),
-        F.max(F.length(F.regexp_replace("rule_path", "[^/]", ""))).alias("slashes"),
-    ).first()
+    depth = (
+        rules.groupBy("prefix")
+        .agg(
+            F.max(F.size(F.split("rule_host", r"\."))).alias("labels"),
+            F.max(F.length(F.regexp_replace("rule_path", "[^/]", ""))).alias("slashes"),
+            F.count("*").alias("n"),
+            F.sum(F.octet_length("rule_host") + F.octet_length("rule_path") + 200).alias("bytes"),
+        )
+        .agg(F.max("labels").alias("labels"), F.max("slashes").alias("slashes"), F.max("n").alias("n"), F.sum("bytes").alias("bytes"))
+        .first()
+    )
     labels, slashes = depth["labels"] or 0, depth["slashes"] or 0
+    # Rules that share a prefix lie in pieces of about so many, however many one directory has.
+    pieces = -(-(depth["n"] or 1) // RULES_TOGETHER)
+    piece = F.pmod(F.xxhash64("rule_host", "rule_path"), F.lit(pieces)).alias("piece")
+    rule = F.struct("digest", "rule_host", "rule_path", "action")
+    by_prefix = rules.groupBy("prefix", piece).agg(F.collect_list(rule).alias("rules")).drop("piece")
+    if (depth["bytes"] or 0) <= BROADCAST_BYTES:
+        by_prefix = F.broadcast(by_prefix)
     # Only as many labels and slashes as some rule has: the URL's own length does not matter.
     suffixes = F.expr(
         rf"transform(sequence(1, least(size(split(host, '[.]')), {max(labels, 1)})), i -> substring_index(host, '.', -i))"
@@ -116,13 +134,9 @@ def _matches(keys: DataFrame, rules: DataFrame) -> DataFrame:
         .withColumn("digest", _digest(F.col("suffix"), F.col("anchor")))
         .withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
     )
-    r = rules.alias("r")
-    found = expressions.alias("e").join(
-        r,
-        (F.col("e.prefix") == F.col("r.prefix"))
-        & (F.col("e.digest") == F.col("r.digest"))
-        & F.col("e.path").startswith(F.col("r.rule_path")),
-    )
+    # The short prefix finds candidates; the whole digest and the path confirm them.
+    near = expressions.join(by_prefix, "prefix").select("host", "path", "salt", "digest", F.explode("rules").alias("r"))
+    found = near.where((F.col("digest") == F.col("r.digest")) & F.startswith(F.col("path"), F.col("r.rule_path")))
     rank = F.struct(
         (F.length("r.rule_host") + F.length("r.rule_path")).alias("size"),
         F.length("r.rule_host").alias("host_size"),

@@ -243,3 +243,26 @@ def test_short_items_leak_whole(spark):
     }
     kept = decontaminate.without_leaks(docs, benchmark).collect()
     assert sorted(r.doc_id for r in kept) == [2, 4, 6, 7]
+
+
+def test_rules_are_joined_on_the_prefix_alone(spark, monkeypatch):
+    rules = spark.createDataFrame(
+        [("a.org", f"/dir/{i}", "block") for i in range(40)] + [("a.org", "/dir/7x", "allow"), ("b.org", "/", "block")],
+        "host string, path string, action string",
+    )
+    pages = spark.createDataFrame([(i, f"http://w.a.org/dir/{i}x") for i in range(50)], "page_id long, url string")
+
+    def verdicts():
+        return {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(pages, rules).collect()}
+
+    got = verdicts()
+    assert got[7] == ("a.org/dir/7x", "allow") and got[12] == ("a.org/dir/12", "block")
+    assert got[45] == ("a.org/dir/4", "block")
+    # Every prefix equal: only the digests tell the rules apart; rules lie in many pieces, and nothing is broadcast.
+    monkeypatch.setattr(url_filters, "PREFIX_DIGITS", 0)
+    monkeypatch.setattr(url_filters, "RULES_TOGETHER", 3)
+    monkeypatch.setattr(url_filters, "BROADCAST_BYTES", 0)
+    assert verdicts() == got
+    plan = url_filters.judge(pages, rules)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert joins and all("prefix" in line and "digest" not in line for line in joins)
