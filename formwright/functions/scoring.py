@@ -31,9 +31,10 @@ def normalized_weights(weights: Mapping[str, float] | None = None) -> dict[str,
 
 
 def composite_confidence(
-    source: Column, model: Column, validation: Column, weights: Mapping[str, float] | None = None
+    source: Column, model: Column, validation: Column, weights: Mapping[str, float] | Column | None = None
 ) -> Column:
-    w = normalized_weights(weights)
+    """`weights` as a column is a struct that is normalized already, such as `operators.weights` gives."""
+    w = weights if isinstance(weights, Column) else normalized_weights(weights)
     weighted = source * w["ocr"] + model * w["ner"] + validation * w["validation"]
     return F.least(weighted, F.lit(1.0))
 
@@ -41,7 +42,7 @@ def composite_confidence(
 def scored_fields(
     ranked: Column,
     source_confidence: Column,
-    weights: Mapping[str, float] | None = None,
+    weights: Mapping[str, float] | Column | None = None,
     validators: Mapping[str, Validator] | None = None,
 ) -> Column:
     """Validation score and composite confidence for each ranked candidate."""

@@ -17,6 +17,7 @@ from formwright.operators import evaluate as ev
 from formwright.operators import text_assembly as asm
 from formwright.operators import tokens as tok
 from formwright.operators.logistic import LogisticClassifier
+from formwright.operators.weights import with_weights
 from formwright.plans import corpus as c
 from formwright.plans import evaluation
 from formwright.plans.documents import DocumentEngine
@@ -144,6 +145,39 @@ def sequence_lines(spark, sf_dir):
     return tok.token_rows(training.read_sequence_lines(spark, path), tag=F.col("tags"))
 
 
+@query
+def object_texts(spark, sf_dir):
+    """Training texts in files of one JSON object each, every file read by several tasks."""
+    folder = new_path(spark, "objects")
+    samples = synthetic.synthetic_texts(c.orders(spark, sf_dir), "o_orderkey")
+    row = F.struct("sample_id", "text", F.col("label_id").cast("string").alias("label"))
+    files = samples.groupBy(F.expr("sample_id div 16384").alias("file")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    content = F.to_json(F.struct(F.col("rows.text").alias("texts"), F.col("rows.label").alias("labels")))
+    name = F.concat(F.lit("objects-"), F.col("file").cast("string"), F.lit(".json"))
+    sinks.write_files(files.select(name.alias("name"), content.cast("binary").alias("content")), folder)
+    read = training.read_labelled_objects(spark, f"{folder}/*.json", block_bytes=1 << 16)
+    file = F.regexp_extract(F.substring_index("path", "/", -1), "[0-9]+", 0).cast("bigint")
+    return read.select(file.alias("file"), "sample_id", "text", "label")
+
+
+@query
+def batch_results(spark, sf_dir):
+    """Results written as JSON by batch, one batch a second time with fewer rows, and two of the three read back."""
+    path = new_path(spark, "batch-results")
+    results = engine(spark, sf_dir).process(c.runs(spark, sf_dir))
+    part = F.col("doc_id") % 3
+    for batch, rows in ((0, part == 0), (1, part >= 1), (2, part == 2), (1, part == 1)):
+        sinks.write_batch(results.where(rows), path, batch)
+    back = sinks.read_batches(spark, path, results.schema).where("batch_id < 2")
+    return back.select(
+        "batch_id",
+        "doc_id",
+        "document_type",
+        F.size("extracted_fields").alias("n_fields"),
+        F.round("confidence_summary.average_confidence", 9).alias("average_confidence"),
+    )
+
+
 @query
 def json_results(spark, sf_dir):
     """Results written as JSON by document type and read back."""
@@ -529,6 +563,22 @@ def custom_weights(spark, sf_dir):
     return _field_scores(CUSTOM_ENGINE, c.runs(spark, sf_dir))
 
 
+@query
+def weights_by_provider(spark, sf_dir):
+    """Documents scored with their customer's weights: some need no division, some customers have none."""
+    k = F.col("c_custkey")
+    given = {
+        "ocr": F.when(k % 5 == 1, 0.5).otherwise(1 + k % 5),
+        "ner": F.when(k % 5 == 1, 0.25).otherwise(1 + k % 3),
+        "validation": F.when(k % 5 == 1, 0.255).otherwise(k % 4),
+    }
+    rows = F.array(*[F.struct(F.lit(part).alias("part"), w.alias("weight")) for part, w in given.items()])
+    weights = c.table(spark, sf_dir, "customer").where(k % 4 != 0).select(k.alias("provider"), F.inline(rows))
+    orders = c.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.col("o_custkey").alias("provider"))
+    docs = c.run_documents(c.with_document(orders))
+    return _field_scores(DocumentEngine(weights="weights", as_of=AS_OF), with_weights(docs, weights))
+
+
 @query
 def confidence_summary(spark, sf_dir):
     return ENGINE.summaries(c.runs(spark, sf_dir)).select(

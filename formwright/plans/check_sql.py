@@ -561,6 +561,19 @@ SELECT doc_id, field_name, value, round(source_confidence, 6) AS source_confiden
   confidence AS model_confidence, validation_score, round(composite, 6) AS confidence FROM scored"""
 sql("composite_confidence", SCORED, FIELD_SCORES)
 sql("custom_weights", SCORED, FIELD_SCORES, scored=scored("ocr", (0.5, 0.25, 0.25)))
+CUSTOMER_WEIGHTS = """
+given AS (
+  SELECT c_custkey, CASE WHEN c_custkey % 5 = 1 THEN 0.5::DOUBLE ELSE 1 + c_custkey % 5 END AS a,
+    CASE WHEN c_custkey % 5 = 1 THEN 0.25::DOUBLE ELSE 1 + c_custkey % 3 END AS b,
+    CASE WHEN c_custkey % 5 = 1 THEN 0.255::DOUBLE ELSE c_custkey % 4 END AS c
+  FROM customer WHERE c_custkey % 4 <> 0),
+divisors AS (SELECT *, CASE WHEN abs(a + b + c - 1) > 0.01 THEN a + b + c ELSE 1 END AS whole FROM given),
+weighted AS (
+  SELECT ocr.*, coalesce(a / whole, 0.3::DOUBLE) AS wa, coalesce(b / whole, 0.4::DOUBLE) AS wb,
+    coalesce(c / whole, 0.3::DOUBLE) AS wc
+  FROM ocr JOIN orders ON o_orderkey = doc_id LEFT JOIN divisors ON c_custkey = o_custkey)"""
+sql("weights_by_provider", SCORED.replace("scored", "weighted scored"), FIELD_SCORES,
+    weighted=CUSTOMER_WEIGHTS, scored=scored("weighted", ("wa", "wb", "wc")))
 sql("confidence_summary", SCORED, """
 SELECT doc_id, n::INT AS total_results, round(mean, 9) AS average_confidence,
   high::INT AS high_confidence_count, medium::INT AS medium_confidence_count,
@@ -774,6 +787,12 @@ SQL["stream_scores_files"] = SQL["stream_scores"]
 sql("json_results", SCORED + " runs " + " ".join(NB), """
 SELECT doc_id, document_type, n::INT AS n_fields, round(mean, 9) AS average_confidence
 FROM runs JOIN summaries USING (doc_id) JOIN classified USING (doc_id)""")
+sql("batch_results", SCORED + " runs " + " ".join(NB), """
+SELECT doc_id % 3 AS batch_id, doc_id, document_type, n::INT AS n_fields, round(mean, 9) AS average_confidence
+FROM runs JOIN summaries USING (doc_id) JOIN classified USING (doc_id) WHERE doc_id % 3 < 2""")
+sql("object_texts", "samples", """
+SELECT file, row_number() OVER (PARTITION BY file ORDER BY k) - 1 AS sample_id, text, label
+FROM (SELECT sample_id // 16384 AS file, sample_id AS k, text, label_id::VARCHAR AS label FROM samples)""")
 sql("training_lines", "samples", "SELECT sample_id, text, label_id::INT AS label_id FROM samples")
 sql("stream_metrics", DOCS + " runs", """
 SELECT w AS window_start, w + INTERVAL 30 DAY AS window_end, count(*) AS total_documents,

@@ -33,11 +33,12 @@ class DocumentEngine:
     Documents are rows (doc_id, text, ocr_confidence) with, where there are any, `entities` of a
     field model, and the metadata columns path, processing_time_seconds, timestamp, ocr_processor.
     All methods work within the row: a corpus is processed in one pass, without a shuffle, and the
-    same expressions serve batches and streams.
+    same expressions serve batches and streams. `weights` may name a column of the documents (see
+    `operators.weights`).
     """
 
     classifier: KeywordClassifier | None = None
-    weights: Mapping[str, float] | None = None
+    weights: Mapping[str, float] | str | None = None
     validators: Mapping[str, Validator] | None = None
     as_of: str | None = None
     min_confidence: float = 0.3
@@ -50,9 +51,8 @@ class DocumentEngine:
     # Built once per engine: these expressions have many parts, each a call to the JVM.
     @cached_property
     def _fields(self) -> Column:
-        return scored_fields(
-            F.col("ranked"), F.col("ocr_confidence"), self.weights, self._rules()
-        )
+        weights = F.col(self.weights) if isinstance(self.weights, str) else self.weights
+        return scored_fields(F.col("ranked"), F.col("ocr_confidence"), weights, self._rules())
 
     @cached_property
     def _summary(self) -> Column:
@@ -195,8 +195,8 @@ class DocumentEngine:
         )
 
     def stats(self, spark: SparkSession) -> DataFrame:
-        """One row: the configured weights and the facts about the classifier."""
-        w = normalized_weights(self.weights)
+        """One row: the configured weights (the default ones if documents have their own) and facts about the classifier."""
+        w = normalized_weights(None if isinstance(self.weights, str) else self.weights)
         info = self.classifier.info() if self.classifier else {}
         row = [
             (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from formwright.sources.json_objects import BLOCK_BYTES, paired, read_arrays
 from formwright.vocabulary import DOCUMENT_TYPES
 
 _MODULUS = 2_147_483_647  # prime
@@ -15,7 +16,7 @@ def read_labelled_texts(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, text, label) of a JSON object with parallel arrays `texts` and `labels`.
 
     Positions only one of the arrays has give NULL on the other side; see `label_violations`. The
-    object is read as one row: sets too large for that come as a table of the same columns.
+    object is read as one row: `read_labelled_objects` reads larger ones.
     """
     data = spark.read.schema("texts array<string>, labels array<string>").json(path, multiLine=True)
     return data.select(F.posexplode(F.arrays_zip("texts", "labels")).alias("sample_id", "s")).select(
@@ -23,6 +24,22 @@ def read_labelled_texts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_labelled_objects(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(path, sample_id, text, label) of files with such an object each, every file read by several tasks.
+
+    Positions only one of the arrays has give NULL on the other side.
+    """
+    both = paired(read_arrays(spark, path, block_bytes), "texts", "labels", "string")
+    return both.select("path", F.col("pos").alias("sample_id"), F.col("texts").alias("text"), F.col("labels").alias("label"))
+
+
+def read_sequence_objects(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(path, seq_id, tokens, tags) of files with an object of token and tag lists each, every file read by several tasks."""
+    both = paired(read_arrays(spark, path, block_bytes), "texts", "labels", "array<string>")
+    named = both.select("path", F.col("pos").alias("seq_id"), F.col("texts").alias("tokens"), F.col("labels").alias("tags"))
+    return _same_length(named)
+
+
 def read_labelled_lines(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, text, label) of line-delimited JSON with these fields, read in parallel."""
     return spark.read.schema("sample_id bigint, text string, label string").json(path)
