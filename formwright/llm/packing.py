@@ -1,12 +1,15 @@
 """Packing of tokenized documents into windows by multiway Karmarkar-Karp differencing.
 
 Every task tokenizes its documents and packs them as it goes. Each document gives as many whole windows as
-it has; the rest joins a batch. When a batch holds enough for `BATCH_WINDOWS` windows, its rests, cut into
-parts, are the numbers to divide: each starts as a partial partition of one part, and
+it has; rests of documents that fit into one window are kept whole. When a batch of them fills about `BATCH_WINDOWS`
+windows, they are the numbers to divide: each starts as a partial partition of one number, and
 the two partial partitions whose windows differ most are merged again and again, the fullest windows of one
 with the emptiest of the other, until one partition into near-equal windows is left. If its fullest window
 exceeds the capacity, the partition is made anew with one window more.
 
+What then is free in the windows is topped up with the rests of longer documents, which are cut in any case; only where
+there are too few of them, with documents that come next, uncut where one fits.
+
 Nothing is shuffled and no document's ids leave their task, so memory is bounded by one batch and the text
 at hand. A task's result depends on its rows and their order alone.
 """
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
@@ -29,10 +33,14 @@ from formwright.llm.common import arrow_schema, as_batches, give_back
 CAPACITY = 2048
 END_ID = 1
 BATCH_WINDOWS = 48
-#: Ids left in a batch, and the longest part then cut: the last parts are small, to level the windows out.
-PARTS = ((24 * 1024, 512), (8 * 1024, 256), (2 * 1024, 128), (512, 32), (128, 8), (0, 2))
-#: A batch is closed this many ids a window before its windows are full, as room for what cannot be levelled.
-SLACK = 2
+#: Rests of longer documents held back to top windows up, as a share of a batch; what is more is divided as well.
+RESERVE = 0.25
+#: Free ids in open windows, as a share of a batch, beyond which the next documents top them up.
+MOST_FREE = 0.125
+#: Less than this is not topped up, and no document is cut into a smaller piece but in a task's last batch.
+LEAST_PIECE = 16
+#: Short documents are one number together up to so many ids.
+BUNDLE = 128
 #: Texts longer than this are tokenized in pieces, cut where no token can lie across.
 PIECE_CHARS = 1 << 17
 SPECIAL = "<|endoftext|>"
@@ -156,54 +164,143 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
         ways += 1
 
 
+class Window:
+    """A window being filled: (doc_id, start, ids, doc_tokens) one after the other, and the ids still free."""
+
+    def __init__(self, capacity: int, rests: list[tuple] = ()):
+        self.rests = list(rests)
+        self.free = capacity - sum(len(r[2]) for r in self.rests)
+
+    def put(self, rest: tuple) -> None:
+        self.rests.append(rest)
+        self.free -= len(rest[2])
+
+
+def _size(bundle: list[tuple]) -> int:
+    return sum(len(rest[2]) for rest in bundle)
+
+
 class Packer:
-    """Packs documents given one after the other; `pieces` yields their rows."""
+    """Packs documents given one after the other; `add` and `close` yield the pieces' rows."""
 
     def __init__(self, task: int, capacity: int = CAPACITY, batch_windows: int = BATCH_WINDOWS):
         self.capacity = capacity
-        self.room = batch_windows * capacity - min(SLACK * batch_windows, capacity // 2)
+        self.target = batch_windows * capacity
+        self.least = min(LEAST_PIECE, max(capacity // 4, 1))
+        self.bundle = min(BUNDLE, capacity // 4)
         self.next_sequence = task << 40
-        self.waiting: list[tuple] = []  # (doc_id, start, ids, doc_tokens)
-        self.held = 0
+        self.whole: list[list[tuple]] = []  # bundles of documents that fit into one window
+        self.whole_ids = 0
+        self.fill: deque[tuple] = deque()  # rests of longer documents
+        self.fill_ids = 0
+        self.open: list[Window] = []
 
     def add(self, doc_id, ids: np.ndarray) -> Iterator[tuple]:
         whole = len(ids) // self.capacity * self.capacity
         for start in range(0, whole, self.capacity):
-            yield self._piece(doc_id, start, ids[start : start + self.capacity], len(ids), self._number(), 0)
-        start = whole
-        while start < len(ids):
-            left = self.room - self.held
-            part = next(most for least, most in PARTS if left > least)
-            end = min(start + part, len(ids), start + left)
-            self.waiting.append((doc_id, start, ids[start:end], len(ids)))
-            self.held += end - start
-            start = end
-            if self.held == self.room:
-                yield from self.close()
+            yield from self._emit(Window(self.capacity, [(doc_id, start, ids[start : start + self.capacity], len(ids))]))
+        if whole == len(ids):
+            return
+        # A copy: a slice would hold all of a long document's ids.
+        rest = (doc_id, whole, ids[whole:].copy(), len(ids))
+        if whole or sum(w.free for w in self.open) > MOST_FREE * self.target:
+            yield from self._top_up(rest, self.least)
+        else:
+            if self.whole and _size(self.whole[-1]) + len(rest[2]) <= self.bundle:
+                self.whole[-1].append(rest)
+            else:
+                self.whole.append([rest])
+            self.whole_ids += len(rest[2])
+        if self.whole_ids + max(self.fill_ids - RESERVE * self.target, 0) >= self.target:
+            yield from self._divide()
+
+    def _divide(self) -> Iterator[tuple]:
+        numbers, self.whole, self.whole_ids = self.whole, [], 0
+        while self.fill_ids > RESERVE * self.target:
+            numbers.append([self._next_fill()])
+        for window in windows_of([_size(n) for n in numbers], self.capacity):
+            yield from self._opened(Window(self.capacity, [r for i in sorted(window) for r in numbers[i]]), self.least)
+        while self.open and self.fill:
+            yield from self._top_up(self._next_fill(), self.least)
 
     def close(self) -> Iterator[tuple]:
-        sizes = [len(ids) for _, _, ids, _ in self.waiting]
-        for window in windows_of(sizes, self.capacity) if sizes else []:
-            number, offset = self._number(), 0
-            parts = [self.waiting[i] for i in sorted(window)]
-            while parts:
-                doc_id, start, ids, total = parts.pop(0)
-                run = [ids]
-                # Parts of one document that follow each other in a window are one piece.
-                while parts and parts[0][2].base is ids.base and parts[0][1] == start + sum(map(len, run)):
-                    run.append(parts.pop(0)[2])
-                ids = np.concatenate(run)
-                yield self._piece(doc_id, start, ids, total, number, offset)
-                offset += len(ids)
-        self.waiting, self.held = [], 0
-
-    def _number(self) -> int:
+        """The last batch: the count rises by one window at most, then the longest documents are cut to top up."""
+        while self.open and self.fill:
+            yield from self._top_up(self._next_fill(), self.least)
+        numbers = []
+        for bundle in sorted(self.whole, key=_size, reverse=True):
+            place = self._best(_size(bundle))
+            if place is None:
+                numbers.append(bundle)
+            else:
+                for rest in bundle:
+                    place.put(rest)
+        numbers += [[rest] for rest in self.fill]
+        self.whole, self.whole_ids, self.fill, self.fill_ids = [], 0, deque(), 0
+        for window in self.open:
+            yield from self._emit(window)
+        self.open = []
+        numbers.sort(key=_size)
+        cut: list[tuple] = []
+        least = -(-sum(map(_size, numbers)) // self.capacity)
+        ways = least
+        while numbers:
+            found = difference([_size(n) for n in numbers], ways)
+            if max(sum(_size(numbers[i]) for i in window) for window in found) <= self.capacity:
+                break
+            if ways == least:
+                ways += 1
+            else:
+                cut += numbers.pop()
+        if numbers:
+            filled = [Window(self.capacity, [r for i in sorted(window) for r in numbers[i]]) for window in found]
+            self.open = filled + [Window(self.capacity) for _ in range(ways - len(filled))]
+        for rest in cut:
+            yield from self._top_up(rest, 1)
+        for window in self.open:
+            yield from self._emit(window)
+        self.open = []
+
+    def _next_fill(self) -> tuple:
+        rest = self.fill.popleft()
+        self.fill_ids -= len(rest[2])
+        return rest
+
+    def _best(self, size: int) -> Window | None:
+        """The open window with the least free ids that still holds `size`."""
+        return min((w for w in self.open if w.free >= size), key=lambda w: w.free, default=None)
+
+    def _top_up(self, rest: tuple, least: int) -> Iterator[tuple]:
+        """Puts a rest into open windows, cut only if none holds it; what no window has room for is held back."""
+        doc_id, start, ids, total = rest
+        while len(ids) and self.open:
+            place = self._best(len(ids)) or max(self.open, key=lambda w: w.free)
+            n = min(place.free, len(ids))
+            if 0 < len(ids) - n < least:
+                n = max(len(ids) - least, 1)
+            place.put((doc_id, start, ids[:n], total))
+            start, ids = start + n, ids[n:]
+            self.open.remove(place)
+            yield from self._opened(place, least)
+        if len(ids):
+            self.fill.append((doc_id, start, ids, total))
+            self.fill_ids += len(ids)
+
+    def _opened(self, window: Window, least: int) -> Iterator[tuple]:
+        """Keeps a window open if it is worth topping up."""
+        if window.free >= least:
+            self.open.append(window)
+        else:
+            yield from self._emit(window)
+
+    def _emit(self, window: Window) -> Iterator[tuple]:
+        if not window.rests:
+            return
+        number, offset = self.next_sequence, 0
         self.next_sequence += 1
-        return self.next_sequence - 1
-
-    @staticmethod
-    def _piece(doc_id, start, ids, total, sequence, offset) -> tuple:
-        return doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, sequence, offset
+        for doc_id, start, ids, total in window.rests:
+            yield doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, number, offset
+            offset += len(ids)
 
 
 def pack(
@@ -218,6 +315,7 @@ def pack(
 
     A document is its text's ids and `end_id`; a null or empty text has `end_id` alone. Rows are packed as
     they are: repeated rows and ids each take their place, null ids stay null. An empty table gives no rows.
+    Very long texts give whole windows at once; only their last ids wait to be packed.
     `sequence_id` holds the task in its upper bits, so tasks need not know of each other; each task leaves at
     most one batch that is not full.
     """

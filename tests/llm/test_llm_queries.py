@@ -187,6 +187,45 @@ def test_packing(spark, sf_dir, docs):
     check_packing(packing.pack(d).collect(), odd, tokenizer)
 
 
+def packed(sizes, capacity=2048, windows=48):
+    """Packs documents of these sizes in one task; checks that each id lies in one place, and gives (pieces, padding)."""
+    packer = packing.Packer(0, capacity, windows)
+    rows = [r for k, n in enumerate(sizes) for r in packer.add(k, np.arange(n, dtype="<u4"))]
+    rows += packer.close()
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r[0]].append((r[1], r[2]))
+        sequences[r[5]].append((r[6], r[2]))
+    for k, n in enumerate(sizes):
+        assert [start for start, _ in sorted(pieces[k])] == [0, *np.cumsum([m for _, m in sorted(pieces[k])])[:-1]]
+        assert sum(m for _, m in pieces[k]) == n
+    for members in sequences.values():
+        members.sort()
+        assert [at for at, _ in members] == [0, *np.cumsum([m for _, m in members])[:-1]]
+        assert sum(m for _, m in members) <= capacity
+    return pieces, 1 - sum(sizes) / max(len(sequences) * capacity, 1)
+
+
+def test_documents_that_fit_are_seldom_cut(docs):
+    rng = np.random.default_rng(3)
+    short = rng.integers(1, 1500, 4000)
+    sizes = np.where(rng.random(4000) < 0.12, rng.integers(2049, 9000, 4000), short).tolist()
+    pieces, padding = packed(sizes)
+    fit = [k for k, n in enumerate(sizes) if n <= 2048]
+    assert sum(len(pieces[k]) > 1 for k in fit) < 0.05 * len(fit)
+    assert padding < 0.01
+
+
+@pytest.mark.parametrize("capacity", [2, 16, 2048])
+def test_packing_of_odd_sizes(capacity):
+    rng = np.random.default_rng(4)
+    for sizes in ([], [1], [capacity], [capacity + 1] * 7, [1] * 3000, [capacity * 11 // 20 + 1] * 500, rng.integers(1, 3 * capacity, 700).tolist()):
+        _, padding = packed(list(sizes), capacity, 12)
+        least = -(-sum(sizes) // capacity)
+        if capacity > 100 and least:
+            assert sum(sizes) / (1 - padding) / capacity <= 1.03 * least + 1
+
+
 def test_cuts_do_not_change_ids():
     tokenizer = packing.public_tokenizer()
     text = "Some words, 12 numbers 3.5 and\n\nlines  é " * 40
