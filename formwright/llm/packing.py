@@ -224,7 +224,7 @@ class Packer:
             yield from self._top_up(self._next_fill(), self.least)
 
     def close(self) -> Iterator[tuple]:
-        """The last batch: the count rises by one window at most, then the longest documents are cut to top up."""
+        """The last batch: its count rises by one window at most, then the longest documents are cut to top up."""
         while self.open and self.fill:
             yield from self._top_up(self._next_fill(), self.least)
         numbers = []
@@ -237,9 +237,6 @@ class Packer:
                     place.put(rest)
         numbers += [[rest] for rest in self.fill]
         self.whole, self.whole_ids, self.fill, self.fill_ids = [], 0, deque(), 0
-        for window in self.open:
-            yield from self._emit(window)
-        self.open = []
         numbers.sort(key=_size)
         cut: list[tuple] = []
         least = -(-sum(map(_size, numbers)) // self.capacity)
@@ -254,9 +251,15 @@ class Packer:
                 cut += numbers.pop()
         if numbers:
             filled = [Window(self.capacity, [r for i in sorted(window) for r in numbers[i]]) for window in found]
-            self.open = filled + [Window(self.capacity) for _ in range(ways - len(filled))]
+            self.open += filled + [Window(self.capacity) for _ in range(ways - len(filled))]
         for rest in cut:
             yield from self._top_up(rest, 1)
+        # Windows that the others have room for are dissolved, so a task has at most about one more than it must.
+        while sum(w.free for w in self.open) >= 2 * self.capacity:
+            emptiest = max(self.open, key=lambda w: w.free)
+            self.open.remove(emptiest)
+            for rest in emptiest.rests:
+                yield from self._top_up(rest, 1)
         for window in self.open:
             yield from self._emit(window)
         self.open = []
