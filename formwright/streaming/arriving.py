@@ -35,21 +35,33 @@ def first_arrivals(docs: DataFrame, remembered: str | None = None) -> DataFrame:
 
     Of the copies in a batch the first by (`arrival`, null last; hash of the row) is taken. Nothing is dropped for its time:
     rows without one, or behind all others, are rows like any other. Rows without an id are told apart by all their
-    columns. The state is one flag a key, in RocksDB; a batch looks up its own keys and no others. With `remembered`
-    (such as "30 days") a key is forgotten so long after its last row, which bounds the state and costs a scan of its
-    times at each batch. Whole rows go through the state's function as text; give ids and paths, not images.
+    columns. The state is a row a key, in RocksDB; a batch looks up its own keys and no others, so the stream's output mode
+    is "update". With `remembered` (such as "30 days") a key is forgotten so long after its last row, which bounds the state
+    and costs a scan of its times at each batch and a call of Python for each key; the output mode is "append" then. Give ids
+    and paths, not images.
     """
-    spark = docs.sparkSession
-    milliseconds = None
-    if remembered:
-        milliseconds = spark.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL {remembered})").first()[0]
     row = F.xxhash64(*docs.columns)
     keyed = docs.select(
         F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.concat(F.lit("#"), row.cast("string"))).alias("key"),
         F.coalesce(F.unix_micros("arrival"), F.lit(_LAST)).alias("moment"),
         row.alias("hash"),
-        F.to_json(F.struct(*docs.columns), _TEXT).alias("row"),
+        F.struct(*docs.columns).alias("row"),
+    )
+    if remembered:
+        return _forgetting(keyed, docs, remembered)
+    # Within a batch the current time is one value, so a key is new where the batches it came in have one time.
+    seen = keyed.withColumn("batch", F.current_timestamp()).groupBy("key").agg(
+        F.min("batch").alias("first"),
+        F.max("batch").alias("last"),
+        F.min_by("row", F.struct("moment", "hash")).alias("row"),
     )
+    return seen.where(F.col("first") == F.col("last")).select("row.*")
+
+
+def _forgetting(keyed: DataFrame, docs: DataFrame, remembered: str) -> DataFrame:
+    """The rows of new keys; a key is forgotten some time after its last row."""
+    spark = docs.sparkSession
+    milliseconds = spark.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL {remembered})").first()[0]
 
     def first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -58,13 +70,13 @@ def first_arrivals(docs: DataFrame, remembered: str | None = None) -> DataFrame:
         best = min(min(zip(f["moment"], f["hash"], f["row"])) for f in frames)
         known = state.exists
         state.update((True,))
-        if milliseconds:
-            state.setTimeoutDuration(milliseconds)
+        state.setTimeoutDuration(milliseconds)
         if not known:
             yield pd.DataFrame({"row": [best[2]]})
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if milliseconds else GroupStateTimeout.NoTimeout
-    found = keyed.groupBy("key").applyInPandasWithState(first, "row string", "seen boolean", "append", timeout)
+    texts = keyed.withColumn("row", F.to_json("row", _TEXT))
+    timeout = GroupStateTimeout.ProcessingTimeTimeout
+    found = texts.groupBy("key").applyInPandasWithState(first, "row string", "seen boolean", "append", timeout)
     return found.select(F.from_json("row", docs.schema, _TEXT).alias("row")).select("row.*")
 
 
@@ -125,6 +137,7 @@ def score_stream(
     writer = (
         first_arrivals(docs, remembered)
         .writeStream.foreachBatch(write)
+        .outputMode("append" if remembered else "update")
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True)
     )

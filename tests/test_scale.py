@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from formwright.plans import corpus as c
+from formwright.sources import hooks
+from formwright.streaming import arriving
 
 
 def test_documents_are_made_by_many_tasks(spark, sf_dir, monkeypatch):
@@ -12,3 +14,20 @@ def test_documents_are_made_by_many_tasks(spark, sf_dir, monkeypatch):
     assert len(sizes) == 15 and max(r["count"] for r in sizes) < 200
     monkeypatch.undo()
     assert c.orders(spark, sf_dir).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_first_arrivals_call_no_python(spark, tmp_path):
+    """A stream of few large batches has as many keys as rows: a call of Python for each took most of the time."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(i % 3 or None, f"2024-01-0{1 + i % 5}", f"p{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id int, arrival string, path string").withColumn("arrival", F.to_timestamp("arrival"))
+    docs = docs.withColumn("error", F.lit(None).cast("string"))
+    docs.coalesce(1).write.mode("append").parquet(folder)
+    docs.withColumn("path", F.concat(F.lit("0"), "path")).coalesce(1).write.mode("append").parquet(folder)
+    source = arriving.arriving_files(spark, folder, "*.parquet", 1)
+    assert "Python" not in arriving.first_arrivals(source)._jdf.queryExecution().analyzed().toString()
+    arriving.score_stream(source, lambda b: b.select("doc_id", "arrival", "path"), hooks.failures, out).awaitTermination()
+    found = spark.read.parquet(f"{out}/results").collect()
+    ids = sorted(r.doc_id for r in found if r.doc_id)
+    assert ids == [1, 2] and len(found) == 2 + 20  # rows without an id: ten a file, told apart by their paths
+    assert all(str(r.arrival.date()) == "2024-01-01" for r in found if r.doc_id)
