@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from formwright.plans import catalog
 from formwright.plans import corpus as c
-from formwright.sources import hooks
+from formwright.sources import hooks, sinks
 from formwright.streaming import arriving
 
 
@@ -31,3 +32,16 @@ def test_first_arrivals_call_no_python(spark, tmp_path):
     ids = sorted(r.doc_id for r in found if r.doc_id)
     assert ids == [1, 2] and len(found) == 2 + 20  # rows without an id: ten a file, told apart by their paths
     assert all(str(r.arrival.date()) == "2024-01-01" for r in found if r.doc_id)
+
+
+def test_written_results_are_packed_and_read_once(spark, sf_dir, tmp_path):
+    results = catalog.ENGINE.process(c.runs(spark, sf_dir).where("doc_id < 200"))
+    path = str(tmp_path / "results")
+    sinks.write_results(results, path)
+    files = [f for f in (tmp_path / "results").rglob("part-*")]
+    assert files and all(f.name.endswith(".json.gz") for f in files)
+    texts = results.select(F.to_json(F.struct("*"))).collect()
+    assert sum(f.stat().st_size for f in files) * 4 < sum(len(t[0]) for t in texts)
+    back = sinks.read_results(spark, path, results.schema).select(results.columns)
+    assert back.schema.simpleString() == results.schema.simpleString()
+    assert back.exceptAll(results).count() == 0 and back.count() == results.count()
