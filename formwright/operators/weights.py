@@ -55,5 +55,6 @@ def with_weights(
     else:
         dealt = docs.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
         copies = sets.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        joined = dealt.join(copies, same & (F.col("_salt") == F.col("_part")), "left").drop("_salt", "_part")
+        # Spark takes the copies for no more than the sets and would send them all through the driver.
+        joined = dealt.join(copies.hint("merge"), same & (F.col("_salt") == F.col("_part")), "left").drop("_salt", "_part")
     return joined.withColumn(name, F.coalesce("_weights", defaults)).drop("_provider", "_weights")

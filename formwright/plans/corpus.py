@@ -39,12 +39,15 @@ PARTITIONS = "spark.formwright.corpusPartitions"
 ROWS_A_TASK = 16384
 
 
-def spread(keys: DataFrame, key: str = "o_orderkey") -> DataFrame:
-    """The rows dealt by key into tasks of a few seconds: a file of a few MB of keys, one task to Spark, gives GB of texts."""
+def spread(keys: DataFrame, key: str = "o_orderkey", rows: DataFrame | None = None) -> DataFrame:
+    """The rows dealt by key into tasks of a few seconds: a file of a few MB of keys, one task to Spark, gives GB of texts.
+
+    They are counted, or the `rows` they were made of, one of each.
+    """
     spark = keys.sparkSession
     partitions = spark.conf.get(PARTITIONS, None)
     if not partitions:
-        partitions = max(-(-keys.count() // ROWS_A_TASK), spark.sparkContext.defaultParallelism)
+        partitions = max(-(-(keys if rows is None else rows).count() // ROWS_A_TASK), spark.sparkContext.defaultParallelism)
     return keys.repartition(int(partitions), key)
 
 

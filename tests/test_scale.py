@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from formwright.operators.weights import with_weights
 from formwright.plans import catalog
 from formwright.plans import corpus as c
 from formwright.sources import hooks, sinks
@@ -45,3 +46,15 @@ def test_written_results_are_packed_and_read_once(spark, sf_dir, tmp_path):
     back = sinks.read_results(spark, path, results.schema).select(results.columns)
     assert back.schema.simpleString() == results.schema.simpleString()
     assert back.exceptAll(results).count() == 0 and back.count() == results.count()
+
+
+def test_many_sets_of_weights_are_not_broadcast(spark, tmp_path):
+    """By its file the table is small; its sets, a copy for each part of the documents, are not."""
+    part = F.element_at(F.array(F.lit("ocr"), F.lit("ner")), (F.col("id") % 2 + 1).cast("int"))
+    path = str(tmp_path / "weights")
+    spark.range(200_000).select((F.col("id") / 2).cast("long").alias("provider"), part.alias("part"), F.lit(1.0).alias("weight")).write.parquet(path)
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") % 7).alias("provider"))
+    joined = with_weights(docs, spark.read.parquet(path), broadcast_bytes=1 << 20)
+    assert {(r.provider, r.weights.ocr) for r in joined.collect()} == {(i, 0.5) for i in range(7)}
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
