@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formwright.functions.text import strip
-from formwright.vocabulary import IMAGE_GLOB
+from formwright.vocabulary import IMAGE_ENDINGS, IMAGE_GLOB
 
 
 def read_path_list(spark: SparkSession, list_file: str) -> DataFrame:
@@ -24,6 +24,13 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", IMAGE_GLOB).load(folder)
 
 
+def read_packed_images(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for files packed into a table (see `sinks.pack_files`); contents that are not used are not read either."""
+    packed = spark.read.parquet(folder)
+    ending = F.substring_index("path", ".", -1)
+    return packed.where(ending.isin(*IMAGE_ENDINGS) & F.col("path").contains(".") & (F.col("length") > 0))
+
+
 def missing_inputs(manifest: DataFrame, scanned: DataFrame) -> DataFrame:
     """Manifest rows without a scanned file, as failures.
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from formwright.operators.weights import with_weights
 from formwright.plans import catalog
 from formwright.plans import corpus as c
-from formwright.sources import hooks, sinks
+from formwright.sources import hooks, manifest, sinks
 from formwright.streaming import arriving
 
 
@@ -58,3 +58,28 @@ def test_many_sets_of_weights_are_not_broadcast(spark, tmp_path):
     assert {(r.provider, r.weights.ocr) for r in joined.collect()} == {(i, 0.5) for i in range(7)}
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_most_scans_are_packed(spark, sf_dir, tmp_path, monkeypatch):
+    """A file for each order took a block of the disk for each; now their number does not grow with the orders."""
+    monkeypatch.setattr(catalog, "new_path", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(catalog, "LOOSE_BELOW", 40)
+    found = {r.name: r.length for r in catalog.image_files(spark, sf_dir).collect()}
+    pages = c.raw_pages(c.documents(spark, sf_dir)).where("doc_id % 4 <> 2").selectExpr("doc_id", "octet_length(raw) AS n").collect()
+    kinds = ("jpg", "png", "txt", "jpeg")
+    assert found == {f"page-{p.doc_id}.{kinds[p.doc_id % 4]}": p.n for p in pages}
+    assert 0 < len(list((tmp_path / "scans").glob("page-*"))) <= 40
+    assert sum(f.stat().st_size for f in (tmp_path / "packed-scans").rglob("*.parquet")) < 150 * 1500
+
+
+def test_packed_files_read_like_files(spark, tmp_path):
+    rows = [("a.png", b"\x00\xff"), ("b.jpg", b"j"), ("c.jpeg", b""), ("d.txt", b"no"), ("e.PNG", b"no"), ("jpg", b"no"), ("f.png.bak", b"no")]
+    files = spark.createDataFrame(rows, "name string, content binary").repartition(3)
+    loose, packed = str(tmp_path / "loose"), str(tmp_path / "packed")
+    sinks.write_files(files, loose)
+    sinks.pack_files(files, packed)
+    names = F.substring_index("path", "/", -1).alias("name")
+    images = [manifest.read_images(spark, loose), manifest.read_packed_images(spark, packed)]
+    assert images[0].columns == images[1].columns
+    got = [sorted(map(tuple, d.select(names, "length", "content").collect())) for d in images]
+    assert got[0] == got[1] and [g[0] for g in got[0]] == ["a.png", "b.jpg"]
