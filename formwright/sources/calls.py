@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-import queue
 import threading
 import time
 from collections import deque
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 #: Calls that may hang in one task; with more of them the model is no longer called there.
 MOST_HANGING = 32
+#: Batches that are read while calls of an earlier one are still waited for.
+AHEAD = 4
+
+
+class _Batch:
+    """The results and errors of a batch, and how many of its values are open."""
+
+    def __init__(self, values: Sequence[tuple | None]):
+        self.results: list = [None] * len(values)
+        self.errors: list = [None] * len(values)
+        self.todo = deque((self, place, value[0]) for place, value in enumerate(values) if value is not None)
+        self.open = len(self.todo)
+
+    def settle(self, place: int, result: Any, error: str | None) -> None:
+        self.results[place], self.errors[place] = result, error
+        self.open -= 1
 
 
 class Caller:
@@ -21,6 +36,8 @@ class Caller:
     after `MOST_HANGING` of these the remaining values get errors without a call, so that a dead service ends the
     task soon instead of filling it with threads. The count sinks as such calls end. Without a limit, and one at a
     time, calls are plain ones.
+
+    The threads take value after value themselves, so a call that answers costs no thread and no waking of another.
     """
 
     def __init__(self, function: Callable[[Any], Any], limit: float | None = None, at_once: int = 1):
@@ -29,65 +46,98 @@ class Caller:
         self.function = function
         self.limit = limit
         self.at_once = at_once
-        self._done: queue.Queue[tuple[int, Any, str | None]] = queue.Queue()
+        self._changed = threading.Condition()
+        self._todo: deque[tuple[_Batch, int, Any]] = deque()
+        self._running: dict[int, tuple[_Batch, int, float]] = {}  # number of the call: (batch, place, its start)
         self._number = 0
-        self._hanging: set[int] = set()
+        self._workers = 0  # threads whose call is not given up
+        self._hanging = 0
 
     def all(self, values: Sequence[tuple | None]) -> tuple[list, list]:
         """(results, errors) in the order of `values`: tuples of one value, or None to be passed over."""
-        results: list = [None] * len(values)
-        errors: list = [None] * len(values)
-        todo = deque((place, value[0]) for place, value in enumerate(values) if value is not None)
+        return next(self.batches([values]))
+
+    def batches(self, batches: Iterable[Sequence[tuple | None]]) -> Iterator[tuple[list, list]]:
+        """`all` for each batch, in order. Calls of the next ones begin while slow calls of one are waited for."""
         if self.limit is None and self.at_once == 1:
-            for place, value in todo:
-                results[place], errors[place] = self._call(value)
-            return results, errors
-        running: dict[int, tuple[int, float]] = {}  # number of the call: (place, its end)
-        while todo or running:
-            while todo and len(running) < self.at_once:
-                place, value = todo.popleft()
-                if len(self._hanging) >= MOST_HANGING:
-                    while not self._done.empty():
-                        self._settle(self._done.get(), running, results, errors)
-                if len(self._hanging) >= MOST_HANGING:
-                    errors[place] = f"not called: {len(self._hanging)} earlier calls do not end"
-                    continue
-                running[self._start(value)] = (place, time.monotonic() + (self.limit or float("inf")))
-            if not running:
-                continue
-            self._collect(running, results, errors)
-        return results, errors
-
-    def _collect(self, running: dict[int, tuple[int, float]], results: list, errors: list) -> None:
-        """Waits until a call has ended or its time is up."""
-        end = min(until for _, until in running.values())
+            for values in batches:
+                batch = _Batch(values)
+                for _, place, value in batch.todo:
+                    batch.settle(place, *self._call(value))
+                yield batch.results, batch.errors
+            return
+        waiting: deque[_Batch] = deque()
         try:
-            wait = None if end == float("inf") else max(end - time.monotonic(), 0)
-            self._settle(self._done.get(timeout=wait), running, results, errors)
-        except queue.Empty:
-            now = time.monotonic()
-            for number in [n for n, (_, until) in running.items() if until <= now]:
-                place, _ = running.pop(number)
-                errors[place] = f"timed out after {self.limit:g} s"
-                self._hanging.add(number)
-
-    def _settle(self, answer: tuple, running: dict[int, tuple[int, float]], results: list, errors: list) -> None:
-        """Takes the answer of a call, or forgets the call if it was given up."""
-        number, result, error = answer
-        self._hanging.discard(number)
-        if number in running:
-            place, _ = running.pop(number)
-            results[place], errors[place] = result, error
-
-    def _start(self, value: Any) -> int:
-        self._number += 1
-        number = self._number
-
-        def work() -> None:
-            self._done.put((number, *self._call(value)))
-
-        threading.Thread(target=work, daemon=True).start()
-        return number
+            for values in batches:
+                batch = _Batch(values)
+                waiting.append(batch)
+                with self._changed:
+                    self._todo.extend(batch.todo)
+                self._settled(waiting[0], len(waiting) >= AHEAD)
+                while waiting and not waiting[0].open:
+                    done = waiting.popleft()
+                    yield done.results, done.errors
+            for batch in waiting:
+                self._settled(batch, True)
+                yield batch.results, batch.errors
+        finally:  # a reader that stops early wants no more calls
+            with self._changed:
+                self._todo.clear()
+
+    def _settled(self, batch: _Batch, whole: bool) -> None:
+        """Waits until the batch has no open values or, if it need not be `whole`, until no value waits for its turn."""
+        with self._changed:
+            while batch.open:
+                now = time.monotonic()
+                if self.limit is not None:
+                    self._give_up(now)
+                if self._hanging >= MOST_HANGING:
+                    while self._todo:
+                        held, place, _ = self._todo.popleft()
+                        held.settle(place, None, f"not called: {self._hanging} earlier calls do not end")
+                    if not batch.open:
+                        break
+                while self._workers < min(self.at_once, len(self._todo) + len(self._running)):
+                    self._workers += 1
+                    threading.Thread(target=self._work, daemon=True).start()
+                if not whole and not self._todo:
+                    break
+                # A call that begins later ends later than a limit from now.
+                ends = [start + self.limit for _, _, start in self._running.values()] if self.limit else []
+                self._changed.wait(None if self.limit is None else max(min([now + self.limit, *ends]) - now, 0))
+
+    def _give_up(self, now: float) -> None:
+        for number in [n for n, (_, _, start) in self._running.items() if start + self.limit <= now]:
+            batch, place, _ = self._running.pop(number)
+            batch.settle(place, None, self._timed_out())
+            self._hanging += 1
+            self._workers -= 1
+
+    def _timed_out(self) -> str:
+        return f"timed out after {self.limit:g} s"
+
+    def _work(self) -> None:
+        """Calls value after value; ends when none is left, or with a call that was given up."""
+        while True:
+            with self._changed:
+                if not self._todo or self._hanging >= MOST_HANGING:
+                    self._workers -= 1
+                    self._changed.notify()
+                    return
+                batch, place, value = self._todo.popleft()
+                self._number += 1
+                number, start = self._number, time.monotonic()
+                self._running[number] = (batch, place, start)
+            result, error = self._call(value)
+            with self._changed:
+                if self._running.pop(number, None) is None:
+                    self._hanging -= 1
+                    return
+                if self.limit is not None and time.monotonic() - start > self.limit:
+                    result, error = None, self._timed_out()
+                batch.settle(place, result, error)
+                if not batch.open:
+                    self._changed.notify()
 
     def _call(self, value: Any) -> tuple[Any, str | None]:
         try:

@@ -76,8 +76,8 @@ def _apply(
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model = make()
         caller = Caller(lambda value: shape(model(value)), limit, at_once)
-        for values, skipped in batches:
-            results, errors = caller.all([None if skip else (value,) for value, skip in zip(values, skipped)])
+        rows = ([None if skip else (value,) for value, skip in zip(values, skipped)] for values, skipped in batches)
+        for results, errors in caller.batches(rows):
             yield pd.DataFrame({"result": results, "error": errors}, dtype=object)
 
     # As a random function it is neither moved nor repeated by the optimizer.

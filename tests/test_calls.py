@@ -58,6 +58,32 @@ def test_a_dead_model_is_not_called_for_ever(monkeypatch):
     assert caller.all([("a",), ("b",)])[1][1] is None
 
 
+def test_calls_that_answer_cost_no_thread_each(monkeypatch):
+    started, make = [0], threading.Thread
+
+    def counted(*args, **kwargs):
+        started[0] += 1
+        return make(*args, **kwargs)
+
+    monkeypatch.setattr(threading, "Thread", counted)
+    results, errors = calls.Caller(lambda x: x + 1, limit=5.0, at_once=4).all([(x,) for x in range(2000)])
+    assert results == list(range(1, 2001)) and not any(errors)
+    assert started[0] <= 4
+
+
+def test_the_next_batches_do_not_wait_for_slow_calls():
+    def work(x):
+        time.sleep(0.8 if x % 10 == 9 else 0)
+        return x
+
+    start = time.monotonic()
+    caller = calls.Caller(work, limit=0.5, at_once=4)
+    found = list(caller.batches([(x,) if x != 4 else None for x in range(first, first + 10)] for first in range(0, 80, 10)))
+    assert time.monotonic() - start < 1.6  # eight calls of 0.5 s, four at once
+    assert [r for results, _ in found for r in results] == [None if x % 10 == 9 or x == 4 else x for x in range(80)]
+    assert [e for _, errors in found for e in errors] == ["timed out after 0.5 s" if x % 10 == 9 else None for x in range(80)]
+
+
 @pytest.mark.parametrize("limit, at_once", [(0, 1), (-1, 1), (None, 0)])
 def test_limits_that_make_no_sense(limit, at_once):
     with pytest.raises(ValueError):
