@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formwright.functions.arrays import rows_of
@@ -39,7 +39,7 @@ PARTITIONS = "spark.formwright.corpusPartitions"
 ROWS_A_TASK = 16384
 
 
-def spread(keys: DataFrame, key: str = "o_orderkey", rows: DataFrame | None = None) -> DataFrame:
+def spread(keys: DataFrame, key: str | Column = "o_orderkey", rows: DataFrame | None = None) -> DataFrame:
     """The rows dealt by key into tasks of a few seconds: a file of a few MB of keys, one task to Spark, gives GB of texts.
 
     They are counted, or the `rows` they were made of, one of each.
@@ -98,6 +98,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_document(orders(spark, sf_dir))
 
 
+def batch_documents(batch: DataFrame) -> DataFrame:
+    """The documents of a batch of orders.
+
+    A file of a batch may hold the keys of one remainder of their hash; dealt by that hash again, they would all go to few
+    tasks, so they are dealt by the hash of another one.
+    """
+    return with_document(spread(batch.select("o_orderkey", "o_orderdate"), F.xxhash64("o_orderkey")))
+
+
 def varied_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with NULL and empty texts, letters outside ASCII, and all forms of dates and numbers."""
 

@@ -18,6 +18,15 @@ def test_documents_are_made_by_many_tasks(spark, sf_dir, monkeypatch):
     assert c.orders(spark, sf_dir).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_batches_dealt_by_key_before_are_spread(spark, sf_dir):
+    """A file with the keys of one remainder of their hash gave work to two of eight tasks."""
+    dealt = c.table(spark, sf_dir, "orders").repartition(4, "o_orderkey").withColumn("file", F.spark_partition_id())
+    for file in range(4):
+        docs = c.batch_documents(dealt.where(F.col("file") == file))
+        sizes = [r["count"] for r in docs.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < sum(sizes) / 4
+
+
 def test_first_arrivals_call_no_python(spark, tmp_path):
     """A stream of few large batches has as many keys as rows: a call of Python for each took most of the time."""
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
