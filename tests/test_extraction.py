@@ -13,6 +13,7 @@ from formwright.functions.candidates import (
     model_candidates,
     pattern_candidates,
     ranked_fields,
+    ranked_values,
 )
 from formwright.operators import entities as ent
 
@@ -220,3 +221,31 @@ def test_one_document_with_most_of_the_matches(spark):
     assert sizes[0] == len(expected)
     first = ent.ranked_rows(ranked.filter("doc_id = 0")).orderBy(F.desc("start")).first()
     assert big[first.start : first.end] == first.value
+
+
+def test_values_of_texts_are_ranked_as_candidates_are(spark):
+    """Short texts type by type, long ones and those with many entities by sorting: the same fields but for their places."""
+    page = "$1,000.50 SSN 123-45-6789 or 123456789, 12-3456789, 01/02/2023 1-2-2023 March 5, 2023 $1,000.50 é 漢 7\u0001 7"
+    model = [("MONEY", "$1,000.50", 0.9), ("MONEY", "$1,000.50", 0.95), ("MONEY", "7", 0.2), ("MONEY", "x", 0.8), ("MONEY", "y", 0.1)]
+    model += [("DATE", None, 0.31), ("DATE", None, 0.9), ("DATE", "01/02/2023", float("nan")), ("DATE", "z", 0.1), ("DATE", "z", 0.9), ("NONE", "q", 0.9)]
+    texts = [page, page * 20, "", None]
+    rows = [(t, None if e is None else [(*x, 0, 1) for x in e]) for t in texts for e in (None, [], model, model * 9)]
+    entity = "array<struct<entity_group:string,word:string,score:double,start:int,end:int>>"
+    docs = spark.createDataFrame(rows, f"text string, entities {entity}")
+
+    def kept(ranked):
+        names = ("type_ord", "field_name", "field_rank", "value", "confidence")
+        return F.to_json(F.transform(ranked, lambda f: F.struct(*[f[n].alias(n) for n in names])))
+
+    whole = ranked_fields(ent.all_candidates(F.col("text"), F.col("entities")))
+    for old, new in docs.select(kept(whole), kept(ranked_values(F.col("text"), F.col("entities")))).collect():
+        assert old == new
+    plain = docs.select(F.size(ranked_values(F.col("text"))).alias("n")).distinct().collect()
+    assert {r.n for r in plain} >= {0}
+
+
+def test_places_are_not_looked_for_where_nobody_reads_them(spark):
+    docs = spark.createDataFrame([(1, "SSN 518-52-8063")], "doc_id int, text string")
+    got = ent.with_ranked_fields(docs, places=False).first().ranked
+    assert [(f.field_name, f.value, f.start) for f in got][0] == ("SSN", "518-52-8063", None)
+    assert ent.with_ranked_fields(docs).first().ranked[0].start == 4

@@ -86,3 +86,15 @@ def test_row_scores_equal_expression_scores(spark, sf_dir):
         "other", field_score(F.col("field_name"), F.col("value"), default_validators(as_of))
     )
     assert both.filter("NOT score <=> other").count() == 0 and both.count() > 1000
+
+
+def test_usual_values_score_as_by_the_whole_rule(spark):
+    from formwright.functions.validators import field_score, with_field_score
+
+    amounts = ["5", "$5.", "5.12", "5.123", "1,234,567.89", "9999999.99", "10000000", "10000001", "$12,345,678.00", ",5", "5,", "$$5",
+               "-5", "1,,2", ".5", "$", "5\n", " 5 ", " 5 ", "5.12\n", "a\nb", "", " ", None, "٥"]
+    rows = [(name, text) for text in amounts for name in ("WAGE_AMOUNT", "SSN", "ADDRESS", "OTHER")]
+    df = spark.createDataFrame(rows, "field_name string, value string")
+    scored = with_field_score(df, "field_name", "value").withColumn("one", field_score(F.col("field_name"), F.col("value")))
+    for row in scored.collect():
+        assert row.one == row.score, row
