@@ -52,8 +52,8 @@ WIDTH = 50
 GRAM = 20
 #: The filter of anchors that occur again takes 2**BITS / 8 bytes: 8 MiB. Its size never changes results.
 BITS = 26
-#: Bytes of a shard, on average.
-SHARD_BYTES = 1 << 22
+#: Bytes of a shard, on average. Sorting takes about 120 bytes of memory for each of them, in every task of an executor.
+SHARD_BYTES = 1 << 20
 #: Bytes of texts that are hashed at once; longer texts are cut into overlapping pieces.
 PIECE = 1 << 18
 #: Symbols of a shard's text: the end of all, the end of a run, and bytes from 2 on.

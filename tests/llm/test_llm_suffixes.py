@@ -1,5 +1,7 @@
 """External induced sorting against plain sorting, and removal of bytes against a plain search."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -119,6 +121,21 @@ def test_shards_larger_than_memory(limit):
     assert got == expected
 
 
+def test_memory_of_a_shard():
+    """A shard of average size is sorted in each task of an executor, beside its heap."""
+    rng = np.random.default_rng(4)
+    words = rng.integers(97, 123, (3000, 6)).astype(np.uint8)
+    data = words[rng.integers(0, 3000, suffixes.SHARD_BYTES // 6)].ravel()
+    lengths = np.full(len(data) // 80, 80)
+    docs = rng.integers(0, 5000, len(lengths))
+    tracemalloc.start()
+    for _ in suffixes.earlier_in_shard(data[: 80 * len(lengths)], lengths, docs, docs + 1, suffixes.WIDTH):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
 def test_no_documents(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert suffixes.with_earlier(none).count() == 0
