@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from formwright import vocabulary as v
 from formwright.functions.arrays import let
-from formwright.functions.text import digits, java_pattern, piece_starts, pieces, unmarked
+from formwright.functions.text import MARK, digits, java_pattern, marked, piece_starts, pieces, unmarked
 
 CANDIDATES = (
     "array<struct<type_ord:int,field_name:string,value:string,confidence:double,"
@@ -113,6 +113,66 @@ def pattern_candidates(text: Column, *fields: str) -> Column:
     return let(unmarked(text), all_of)
 
 
+#: Numbers of sources that are no pattern: the model, and below it whatever is to be counted with the candidates.
+MODEL = -1
+
+_GIVEN = "struct<field_name:string,confidence:double,arrival:int,start:int,end:int>"
+#: The field of each pattern by its number.
+SEARCHED_FIELDS = tuple(field for field, patterns, _ in _SEARCHES for _ in patterns)
+
+
+def _source(number: int, content: Column, starts: Column, given: Column) -> Column:
+    return F.struct(
+        F.lit(number).alias("number"),
+        content.cast("string").alias("content"),
+        starts.cast("array<int>").alias("starts"),
+        given.cast(_GIVEN).alias("given"),
+    )
+
+
+def search_sources(text: Column) -> Column:
+    """One element for each pattern: its number, and the text with its matches marked.
+
+    `starts` are those of the pieces, of long texts only: in a short one they are cheaper to count where a piece is read.
+    """
+
+    def source(number: int, pattern: str) -> Column:
+        cut = marked(unmarked(text), pattern)
+        starts = F.when(F.length(text) > SHORT_TEXT, piece_starts(F.split(cut, MARK, -1)))
+        return _source(number, cut, starts, F.lit(None))
+
+    searches = [_searched_for(p, ignore_case) for _, patterns, ignore_case in _SEARCHES for p in patterns]
+    return F.array(*[source(number, pattern) for number, pattern in enumerate(searches)])
+
+
+def given_source(
+    number: int,
+    field_name: Column,
+    value: Column,
+    start: Column,
+    end: Column,
+    confidence: Column | None = None,
+    arrival: Column | None = None,
+) -> Column:
+    """One value with its place, in the form of `search_sources`."""
+    given = F.struct(
+        field_name.alias("field_name"),
+        (F.lit(None) if confidence is None else confidence).cast("double").alias("confidence"),
+        (F.lit(None) if arrival is None else arrival).cast("int").alias("arrival"),
+        start.cast("int").alias("start"),
+        end.cast("int").alias("end"),
+    )
+    return _source(number, value, F.lit(None), given)
+
+
+def model_sources(entities: Column) -> Column:
+    """The model's entities in that form, those outside the vocabulary too."""
+    return F.transform(
+        F.coalesce(entities, F.array().cast(MODEL_ENTITIES)),
+        lambda e, i: given_source(MODEL, field_of_group(e["entity_group"]), e["word"], e["start"], e["end"], e["score"], i),
+    )
+
+
 def ssn_candidates(text: Column) -> Column:
     return pattern_candidates(text, "SSN")
 

@@ -49,12 +49,12 @@ def word_tokens(value: Column) -> Column:
     return F.regexp_extract_all(F.lower(value), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-_MARK = "\u0001"
+MARK = "\u0001"
 
 
 def unmarked(text: Column) -> Column:
     """The text with the character that marks matches replaced by another control character."""
-    return F.when(text.contains(_MARK), F.translate(text, _MARK, "\u0002")).otherwise(text)
+    return F.when(text.contains(MARK), F.translate(text, MARK, "\u0002")).otherwise(text)
 
 
 def pieces(text: Column, pattern: str) -> Column:
@@ -63,7 +63,12 @@ def pieces(text: Column, pattern: str) -> Column:
     `text` is `unmarked`, and the pattern matches no control characters. Marking the matches and
     cutting at the marks takes one run of the pattern.
     """
-    return F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    return F.split(marked(text, pattern), MARK, -1)
+
+
+def marked(text: Column, pattern: str) -> Column:
+    """The `unmarked` text with a mark before and after each match."""
+    return F.regexp_replace(text, pattern, f"{MARK}$0{MARK}")
 
 
 def piece_starts(cut: Column) -> Column:

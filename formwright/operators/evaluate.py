@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formwright.functions.arrays import let, rows_of
+from formwright.functions.candidates import given_source
 from formwright.functions.text import preview
+from formwright.operators import entities as ent
 from formwright.vocabulary import DOCUMENT_TYPES, FIELD_TYPES, IGNORED_LABEL
 
 ENTITY_KEY = ("doc_id", "field_name", "value", "start", "end")
@@ -235,6 +237,64 @@ def matched_rows(docs: DataFrame) -> DataFrame:
     return rows_of(docs, both, "doc_id")
 
 
+TRUTH, DOCUMENT = -2, -3
+
+
+def matches_of_texts(docs: DataFrame, entities: str = "entities", truth: str = "true_entities", min_confidence: float = 0.3) -> DataFrame:
+    """`match_entities` of the candidates in texts and the true entities of the same rows, and a row for each document.
+
+    That row has no flags set. Candidates are grouped by document, so documents that were dealt by their id are not
+    shuffled again. `_row` tells documents with one id apart.
+    """
+    none = F.expr("cast(array() AS array<struct<field_name: string, value: string, start: int, end: int>>)")
+    true = F.transform(
+        F.coalesce(entity_keys(truth), none),
+        lambda e: given_source(TRUTH, e["field_name"], e["value"], e["start"], e["end"]),
+    )
+    nothing = F.lit(None).cast("string")
+    others = F.concat(true, F.array(given_source(DOCUMENT, nothing, nothing, F.lit(None), F.lit(None))))
+    keep = ("_row", "doc_id")
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = ent.candidate_table(numbered, *keep, entities=entities, others=others)
+    # True entities are told apart by their places too, those of a text by their values alone.
+    given = F.col("source") <= TRUTH
+    sided = rows.withColumns(
+        {
+            "side": F.when(given, F.col("source")).otherwise(F.lit(0)),
+            "true_start": F.when(given, F.col("given_start")),
+            "true_end": F.when(given, F.col("given_end")),
+        }
+    )
+    key = (*keep, "field_name", "value", "side", "true_start", "true_end")
+    first = ent.first_of_equals(sided, *key, min_confidence=min_confidence)
+    predicted = F.col("side") == 0
+    start = F.when(predicted, F.coalesce("start", F.lit(0))).otherwise(F.col("true_start"))
+    end = F.when(predicted, F.coalesce("end", F.length("value"))).otherwise(F.col("true_end"))
+    kept = first.where(~predicted | ~F.col("rejected"))
+    placed = kept.select(*keep, "field_name", "value", start.alias("start"), end.alias("end"), "side")
+    return placed.groupBy(*keep, *ENTITY_KEY[1:]).agg(
+        F.max((F.col("side") == 0).cast("int")).alias("in_pred"),
+        F.max((F.col("side") == TRUTH).cast("int")).alias("in_true"),
+    )
+
+
+def distinct_entities(candidates: DataFrame, *keep: str, min_confidence: float = 0.3) -> DataFrame:
+    """The rows that `entity_rows` gives for a document's ranked fields, from a `candidate_table`."""
+    first = ent.first_of_equals(candidates, *keep, "field_name", "value", min_confidence=min_confidence)
+    start, end = F.coalesce("start", F.lit(0)), F.coalesce("end", F.length("value"))
+    return first.where("NOT rejected").select(*keep, "field_name", "value", start.alias("start"), end.alias("end"))
+
+
+def matches_only(matches: DataFrame) -> DataFrame:
+    """The entities among `matches_of_texts`."""
+    return matches.where("in_pred = 1 OR in_true = 1").select(*ENTITY_KEY, "in_pred", "in_true")
+
+
+def sizes_of_matches(matches: DataFrame) -> DataFrame:
+    """`match_sizes` from `matches_of_texts`."""
+    return matches.groupBy("_row", "doc_id").agg(*_match_counts()).drop("_row")
+
+
 def match_sizes(docs: DataFrame) -> DataFrame:
     """Per document `with_matches` how many entities were found, wrong and missed."""
     return docs.select(
