@@ -146,3 +146,36 @@ def test_no_documents(spark):
 def test_kept_bytes():
     assert suffixes.kept_bytes(b"0123456789", [{"first": 0, "end": 2}, {"first": 5, "end": 9}]) == b"2349"
     assert suffixes.kept_bytes(b"", []) == b""
+
+
+def repeating_texts(spark, n):
+    rng = np.random.default_rng(8)
+    once = [bytes(rng.integers(97, 123, 400).astype(np.uint8)).decode() for _ in range(n)]
+    return spark.createDataFrame([(t,) for t in [*once, *once[::2]]], "text string").select(suffixes.text_bytes("text").alias("text"))
+
+
+def test_filter_of_anchors_grows_with_them(spark, monkeypatch):
+    """One that is full lets the runs of every text pass, so that all are shuffled and kept."""
+    monkeypatch.setattr(suffixes, "BITS", 15)
+    source = repeating_texts(spark, 1500)
+    known = suffixes.written(suffixes.anchors(source, 50, 20), "anchors")
+    (again, bits), mixed, hot = suffixes.filters(known)
+    assert len(again) == 1 << bits >> 3
+    assert np.unpackbits(np.frombuffer(again, np.uint8)).mean() < 1 / 4
+    keyed = source.selectExpr("1L AS k1", "1L AS k2", "text")
+    every = suffixes.runs(keyed, (b"\xff" * len(again), bits), mixed, hot, 50, 20).count()
+    assert 2 / 3 * every <= suffixes.runs(keyed, (again, bits), mixed, hot, 50, 20).count() < 0.8 * every
+
+
+def test_shuffled_files_are_removed_when_a_table_is_written(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = manager.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size())}
+
+    before = shuffled()
+    suffixes.earlier_intervals(spark.createDataFrame([(k, "y" * 60 + str(k % 3) * 60) for k in range(50)], "doc_id long, text string"))
+    left = [name for name in shuffled() - before if name.startswith("shuffle_")]
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
