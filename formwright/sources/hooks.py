@@ -72,6 +72,8 @@ def _apply(
 
     Rows that failed earlier are passed over. Image bytes are not kept: nothing after this needs them.
     """
+    if at_once > 1:
+        df = in_long_tasks(df)
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model = make()
@@ -93,6 +95,19 @@ def _apply(
     )
 
 
+#: Tasks a core of calls that are waited for.
+LONG_TASKS = 4
+
+
+def in_long_tasks(df: DataFrame) -> DataFrame:
+    """The rows in few tasks, without a shuffle, for calls that are waited for several at a time.
+
+    At the end of its rows a task waits for the last calls with a part of those it may have, and at their begin for its model.
+    So many short tasks wait much longer for the same calls than a few that go on.
+    """
+    return df.coalesce(LONG_TASKS * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores in front until no column has it."""
     while name in df.columns:

@@ -120,3 +120,13 @@ def test_files_are_written_whole_and_read_as_images(spark, tmp_path):
 def test_the_manifest_does_not_read_contents(spark, sf_dir):
     plan = catalog.image_files(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[-1]
+
+
+def test_calls_that_are_waited_for_are_made_in_few_long_tasks(spark):
+    most = hooks.LONG_TASKS * spark.sparkContext.defaultParallelism
+    docs = spark.range(3 * most).selectExpr("id AS doc_id", "string(id) AS text").repartition(3 * most)
+    make = lambda: lambda text: []
+    several = hooks.model_entities(docs, make, limit=4.0, at_once=4)
+    assert several.rdd.getNumPartitions() == most
+    assert several.count() == 3 * most
+    assert hooks.model_entities(docs, make).rdd.getNumPartitions() == 3 * most
